@@ -6,16 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heliograph.llm.html_extract import extract_pages
+from heliograph.llm.language_id import identify_languages
 from heliograph.llm.license_scan import scan_licenses
+from heliograph.llm.near_dups import near_duplicates
 from heliograph.llm.quality_rules import quality_rules
 from heliograph.llm.secret_scan import scan_secrets
 from heliograph.llm.shared import table
+from heliograph.llm.source_mix import mix_sources
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -25,5 +45,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op2_quality_rules, op7_license_scan, op10_secret_scan)
+    ops = (op1_language_id, op2_quality_rules, op4_near_duplicates, op5_source_mix, op6_html_extract, op7_license_scan, op10_secret_scan)
     return {f.__name__: f for f in ops}

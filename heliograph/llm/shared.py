@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +87,67 @@ def min_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if step.where("moved").limit(1).count() == 0:
             return labels
     raise RuntimeError(f"labels still move after {max_rounds} rounds")
+
+
+def map_texts(df: DataFrame, carry: tuple[str, ...], text: str, make: Callable[[], Callable[[list], list[tuple]]], fields: dict[str, pa.DataType], schema: str, binary: bool = False) -> DataFrame:
+    """``carry`` as it is, and new columns worked out from ``text`` in Arrow batches.
+
+    ``make`` is called once a task and returns a function from a batch's texts (UTF-8 bytes if ``binary``) to a tuple of
+    ``fields`` for each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            column = batch.column(len(carry))
+            rows = work((column.cast(pa.binary()) if binary else column).to_pylist())
+            new = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(fields.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *new], [*carry, *fields])
+
+    picked = df.select(*carry, F.col(text).cast("string").alias("_text"))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
+    return picked.mapInArrow(run, f"{kept}, {schema}" if kept else schema)
+
+
+def grouped_stream(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[tuple, list[list]], list[tuple]], fields: dict[str, pa.DataType], schema: str, parts: int | None = None) -> DataFrame:
+    """Fold each group of ``keys`` (its other columns as lists, rows in ``order``) to result tuples, many small groups a task.
+
+    Rows are dealt by the keys and sorted; groups are cut from the sorted stream, so a group costs no more than its rows.
+    """
+    names = df.columns
+    rest = [i for i, c in enumerate(names) if c not in keys]
+    at = [names.index(k) for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_key, held = None, [[] for _ in rest]
+        out: list[tuple] = []
+
+        def packed() -> pa.RecordBatch:
+            rows, out[:] = list(out), []
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(fields.values())], list(fields))
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            ids = list(zip(*[columns[i] for i in at], strict=True))
+            begin = 0
+            for i in range(len(ids) + 1):
+                if i < len(ids) and i > begin and ids[i] == ids[i - 1]:
+                    continue
+                if i == begin:
+                    continue
+                key = ids[i - 1]
+                if key != held_key:
+                    if held_key is not None:
+                        out.extend(fold(held_key, held))
+                    held_key, held = key, [[] for _ in rest]
+                for to, c in zip(held, rest, strict=True):
+                    to.extend(columns[c][begin:i])
+                begin = i
+            if len(out) > 5000:
+                yield packed()
+        if held_key is not None:
+            out.extend(fold(held_key, held))
+        yield packed()
+
+    dealt = df.repartition(parts, *keys) if parts else df.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
