@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.shared import grouped_stream, map_texts, min_labels, written
+from heliograph.llm.shared import grouped_stream, map_texts, min_labels, window_hashes, words, written
 
 SHINGLE = 3
 RADIUS = 2
@@ -97,6 +97,17 @@ class BKTree:
         return out
 
 
+def near_few(members: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links of each member to its nearest and to its first neighbour among the members before it."""
+    tree, rank, out = BKTree(), {}, []
+    for i, x in enumerate(members):
+        if near := tree.near(x, radius):
+            out += [(signed(x), signed(y)) for y in {min(near, key=lambda y: ((x ^ y).bit_count(), rank[y])), min(near, key=rank.__getitem__)}]
+        rank[x] = i
+        tree.add(x)
+    return out
+
+
 def shard_links(members: list[int], radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints."""
     tree, parent, out = BKTree(), {}, []
@@ -162,7 +173,7 @@ def even_blocks(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, max_tree: int = MAX_TREE) -> DataFrame:
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, max_tree: int = MAX_TREE, within=shard_links) -> DataFrame:
     """``a, b``: a spanning forest (per shard) of all pairs of ``distinct.fp`` that differ in ``radius`` bits or fewer.
 
     ``blocks - radius`` blocks of such a pair are equal at least. A shard with more than ``max_tree`` members is keyed again by
@@ -173,7 +184,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, max_t
     fields, schema = {"a": pa.int64(), "b": pa.int64()}, "a long, b long"
 
     def fold(_, columns: list[list]) -> list[tuple]:
-        return shard_links([x & (2**64 - 1) for x in columns[0]], radius)
+        return within([x & (2**64 - 1) for x in columns[0]], radius)
 
     small = keyed.join(counts.where(F.col("n") <= max_tree).select("key"), "key")
     out = grouped_stream(small.select("key", "fp"), ["key"], ["fp"], fold, fields, schema)
@@ -216,3 +227,39 @@ def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rooted = written(rooted, "rooted")
     least = written(rooted.groupBy("label").agg(F.min("least").alias("component")), "components")
     return written(rooted.join(least, "label").select("fp", "component"), "classes")
+
+
+#: Deduplication proper: fingerprints of word pairs within six bits propose pairs, which five-word shingles then verify.
+DEDUP_SHINGLE = 2
+DEDUP_RADIUS = 6
+DEDUP_BLOCKS = 9
+VERIFY_SHINGLE = 5
+SIMILARITY = 0.8
+
+
+def shingle_set(text: Column) -> Column:
+    """The distinct hashes of a text's five-word shingles; of the whole text if it is shorter."""
+    tokens = words(F.lower(text))
+    whole = F.array(F.xxhash64(F.array_join(tokens, " ")))
+    return F.when(F.size(tokens) < VERIFY_SHINGLE, whole).otherwise(F.array_distinct(window_hashes(F.transform(tokens, lambda w: F.xxhash64(w)), VERIFY_SHINGLE)))
+
+
+def near_duplicate_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct ``doc_id`` of the documents that aren't the first of their group.
+
+    Equal fingerprints are one node. In each shard a node is linked to its nearest and its first neighbour; a link holds if the
+    two texts' shingle sets have Jaccard similarity ``similarity``; groups are connected components of links that hold.
+    """
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    marked = written(with_fingerprints(base, ("doc_id",), "text", DEDUP_SHINGLE), "fingerprints")
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    pairs = links(nodes.select("fp"), DEDUP_RADIUS, DEDUP_BLOCKS, within=near_few)
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    linked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes, "fp").where("least is not null")
+    sets = base.join(linked, F.col("doc_id") == F.col("least")).select("fp", shingle_set(F.col("text")).alias("s")).dropDuplicates(["fp"])
+    sets = written(sets, "shingle-sets")
+    held = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
+    both = F.size(F.array_intersect("sa", "sb"))
+    held = held.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    groups = classes(nodes, held)
+    return marked.join(groups, "fp").where("doc_id > component").select("doc_id").distinct()

@@ -87,8 +87,8 @@ def host_verdicts(rated: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFram
     return out.select("host", "docs", "failures", "host_rate", (F.col("host_rate") > max_rate).alias("host_rejected"))
 
 
-def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """A row for each document: ``carry`` columns, the measures, ``base_failed``, ``soft_failed``, ``host_rejected``, ``kept``.
+def judged(docs: DataFrame, carry: tuple[str, ...], text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """A row for each document: ``carry`` columns as struct ``row``, the measures, ``base_failed``, ``soft_failed``, ``host_rejected``, ``kept``.
 
     A document is dropped if the base rule fails it, or if its host is rejected and a soft rule fails the document too: clean
     documents of a poor host stay. The measures are written once; the hosts' table joins them by size (AQE broadcasts it only
@@ -98,4 +98,10 @@ def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: s
     hosts = host_verdicts(rated, max_rate).where("host_rejected").select(F.col("host").alias("bad"), "host_rejected")
     out = rated.join(hosts, F.col("host").eqNullSafe(F.col("bad")), "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     kept = ~F.col("base_failed") & ~(F.col("host_rejected") & F.col("soft_failed"))
-    return out.select(*[F.col("row")[c].alias(c) for c in carry], *FEATURES, "base_failed", "soft_failed", "host_rejected", kept.alias("kept"))
+    return out.select("row", *FEATURES, "base_failed", "soft_failed", "host_rejected", kept.alias("kept"))
+
+
+def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """``judged`` with the ``carry`` columns side by side with the measures."""
+    out = judged(docs, carry, text, host, max_rate)
+    return out.select(*[F.col("row")[c].alias(c) for c in carry], *[c for c in out.columns if c != "row"])

@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heliograph.llm.decontaminate import contaminated
 from heliograph.llm.html_extract import extract_pages
 from heliograph.llm.language_id import identify_languages
 from heliograph.llm.license_scan import scan_licenses
 from heliograph.llm.near_dups import near_duplicates
+from heliograph.llm.passages import shared_passages
+from heliograph.llm.pii import find_pii
 from heliograph.llm.quality_rules import quality_rules
 from heliograph.llm.secret_scan import scan_secrets
 from heliograph.llm.shared import table
@@ -24,6 +27,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_shared_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,10 +47,18 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_quality_rules, op4_near_duplicates, op5_source_mix, op6_html_extract, op7_license_scan, op10_secret_scan)
+    ops = (op1_language_id, op2_quality_rules, op3_shared_passages, op4_near_duplicates, op5_source_mix, op6_html_extract, op7_license_scan, op8_decontaminate, op9_pii, op10_secret_scan)
     return {f.__name__: f for f in ops}
