@@ -32,8 +32,9 @@ SEED = 42
 MAX_TREE = 2048
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """Bits set in over half of the shingles' hashes. ASCII letters are lower-cased; words are cut at ASCII white space."""
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, distinct: bool = False) -> int:
+    """Bits set in over half of the shingles' hashes, repeats included unless ``distinct``. ASCII letters are lower-cased; words
+    are cut at ASCII white space."""
     tokens = (text or b"").lower().split()
     if not tokens:
         return 0
@@ -41,6 +42,8 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         parts = [b" ".join(tokens)]
     else:
         parts = map(b" ".join, zip(*[tokens[i:] for i in range(shingle)], strict=False))
+    if distinct:
+        parts = set(parts)
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(p, SEED) for p in parts), dtype=np.uint64)
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -51,11 +54,11 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def with_fingerprints(docs: DataFrame, carry: tuple[str, ...], text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def with_fingerprints(docs: DataFrame, carry: tuple[str, ...], text: str = "text", shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
     """``carry`` and ``fp``, the fingerprint as a long."""
 
     def make():
-        return lambda texts: [(signed(fingerprint(t, shingle)),) for t in texts]
+        return lambda texts: [(signed(fingerprint(t, shingle, distinct)),) for t in texts]
 
     return map_texts(docs, carry, text, make, {"fp": pa.int64()}, "fp long", binary=True)
 
@@ -229,10 +232,10 @@ def classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return written(rooted.join(least, "label").select("fp", "component"), "classes")
 
 
-#: Deduplication proper: fingerprints of word pairs within six bits propose pairs, which five-word shingles then verify.
-DEDUP_SHINGLE = 2
-DEDUP_RADIUS = 6
-DEDUP_BLOCKS = 9
+#: Deduplication proper: fingerprints of the distinct words within five bits propose pairs, which five-word shingles verify.
+DEDUP_SHINGLE = 1
+DEDUP_RADIUS = 5
+DEDUP_BLOCKS = 8
 VERIFY_SHINGLE = 5
 SIMILARITY = 0.8
 
@@ -251,7 +254,7 @@ def near_duplicate_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     two texts' shingle sets have Jaccard similarity ``similarity``; groups are connected components of links that hold.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = written(with_fingerprints(base, ("doc_id",), "text", DEDUP_SHINGLE), "fingerprints")
+    marked = written(with_fingerprints(base, ("doc_id",), "text", DEDUP_SHINGLE, distinct=True), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     pairs = links(nodes.select("fp"), DEDUP_RADIUS, DEDUP_BLOCKS, within=near_few)
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
