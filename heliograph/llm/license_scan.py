@@ -106,10 +106,10 @@ def rules() -> list[tuple[str, int, str, str]]:
     for short, name in _GNU:
         for v in _GNU_VERSIONS[short]:
             label = f"{short}-{v.replace(' ', '.')}"
-            add(label, FULL, f"{name} license( as published by the free software foundation)?( either)? version {v}( 0)?", "public")
-            add(f"{label}-or-later", FULL, f"{name} license( as published by the free software foundation)?( either)? version {v}( 0)?( of the license)? or( at your option)? any later version", "public")
-            add(f"{label}-or-later", FULL, f"{name} license( version)? {v}( 0)? or later", "public")
-            add(f"{label}-only", FULL, f"{name} license( version)? {v}( 0)? only", "public")
+            add(label, FULL, f"(gnu)? {name} license( as published by the free software foundation)?( either)? version {v}( 0)?", "public")
+            add(f"{label}-or-later", FULL, f"(gnu)? {name} license( as published by the free software foundation)?( either)? version {v}( 0)?( of the license)? or( at your option)? any later version", "public")
+            add(f"{label}-or-later", FULL, f"(gnu)? {name} license( version)? {v}( 0)? or later", "public")
+            add(f"{label}-only", FULL, f"(gnu)? {name} license( version)? {v}( 0)? only", "public")
             add(label, NAMED, f"(gnu )?{short}( version| v)? {v}( 0)?".replace("(gnu )?", ""), short)
             add(label, NAMED, f"{short}v{v.split()[0]}" + "".join(f" {x}" for x in v.split()[1:]), f"{short}v{v.split()[0]}")
         add(short, BARE, f"{name} license", "public")
