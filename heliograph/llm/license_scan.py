@@ -187,10 +187,12 @@ def scan_licenses(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: s
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    gate = "(?i)" + "|".join(rf"(?<![0-9a-z]){k}(?![0-9a-z])" for k in KEYWORDS)
-    apart = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
+    apart = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     df = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), body.alias("body"))
-    df = df.select("row", F.size(F.array_remove(F.split("body", apart, -1), "")).cast("long").alias("n_words"), F.when(F.col("body").rlike(gate), spaced(F.col("body"))).alias("spaced"))
+    # other letters' lower case doesn't matter to the gate, which only decides who is looked at closely
+    df = df.select("row", "body", F.array_remove(F.split(F.lower("body"), apart, -1), "").alias("tokens"))
+    gate = F.arrays_overlap("tokens", F.array(*[F.lit(k) for k in KEYWORDS]))
+    df = df.select("row", F.size("tokens").cast("long").alias("n_words"), F.when(gate, spaced(F.col("body"))).alias("spaced"))
     df = written(df.withColumn("row_id", F.monotonically_increasing_id()), "spaced")
 
     gated = df.where("spaced is not null")
