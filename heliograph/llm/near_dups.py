@@ -15,6 +15,7 @@ shingle; repeated rows have one class; null ids take no part in the least id; an
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -100,19 +101,42 @@ class BKTree:
         return out
 
 
-def near_few(members: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links of each member to its nearest and to its first neighbour among the members before it."""
-    tree, rank, out = BKTree(), {}, []
-    for i, x in enumerate(members):
+def near_few(columns: list[list], radius: int) -> list[tuple[int, int]]:
+    """Pairs of ids: each member with its nearest and with its first neighbour among the members before it."""
+    tree, held, out = BKTree(), {}, []
+    for i, (fp, me) in enumerate(zip(*columns, strict=True)):
+        x = fp & (2**64 - 1)
         if near := tree.near(x, radius):
-            out += [(signed(x), signed(y)) for y in {min(near, key=lambda y: ((x ^ y).bit_count(), rank[y])), min(near, key=rank.__getitem__)}]
-        rank[x] = i
-        tree.add(x)
+            out += {(me, held[y][1]) for y in (min(near, key=lambda y: ((x ^ y).bit_count(), held[y][0])), min(near, key=held.__getitem__))}
+        if x not in held:
+            held[x] = (i, me)
+            tree.add(x)
     return out
 
 
-def shard_links(members: list[int], radius: int) -> list[tuple[int, int]]:
+def all_apart(columns: list[list], radius: int) -> list[tuple[int, int]]:
+    """All pairs of ids within the radius whose groups differ. One end of such a pair is outside the commonest group, so only
+    those members search the tree."""
+    fps, ids, groups = columns
+    tree, at = BKTree(), defaultdict(list)
+    for fp, me, group in zip(fps, ids, groups, strict=True):
+        x = fp & (2**64 - 1)
+        tree.add(x)
+        at[x].append((me, group))
+    common = Counter(groups).most_common(1)[0][0]
+    return [
+        (me, other)
+        for fp, me, group in zip(fps, ids, groups, strict=True)
+        if group != common
+        for y in tree.near(fp & (2**64 - 1), radius)
+        for other, theirs in at[y]
+        if theirs != group
+    ]
+
+
+def shard_links(columns: list[list], radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct fingerprints."""
+    members = [x & (2**64 - 1) for x in columns[0]]
     tree, parent, out = BKTree(), {}, []
 
     def top(x: int) -> int:
@@ -176,41 +200,55 @@ def even_blocks(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, max_tree: int = MAX_TREE, within=shard_links) -> DataFrame:
-    """``a, b``: a spanning forest (per shard) of all pairs of ``distinct.fp`` that differ in ``radius`` bits or fewer.
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, max_tree: int = MAX_TREE, within=shard_links, across=cross_links) -> DataFrame:
+    """``a, b``: what ``within`` finds in each shard of ``distinct``; by default a spanning forest of all pairs of ``fp`` that
+    differ in ``radius`` bits or fewer.
 
     ``blocks - radius`` blocks of such a pair are equal at least. A shard with more than ``max_tree`` members is keyed again by
-    ``blocks + 2`` blocks, with ``blocks + 2 - radius`` of them equal: a finer key that the pair also shares.
+    ``blocks + 2`` blocks, with ``blocks + 2 - radius`` of them equal: a finer key that the pair also shares. Columns beside
+    ``fp`` go to ``within`` too; with a column ``group``, shards of one group are left out. Without ``across``, a tree and a block
+    that meet are one shard to ``within``.
     """
-    keyed = distinct.select("fp", F.explode(block_keys(F.col("fp"), even_blocks(blocks), blocks - radius)).alias("key"))
-    counts = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shards")
+    rest = [c for c in distinct.columns if c != "fp"]
+    mixed = F.min("group") < F.max("group") if "group" in rest else F.count(F.lit(1)) > 1
+
+    def keyed_by(df: DataFrame, n: int) -> DataFrame:
+        return df.select("fp", *rest, F.explode(block_keys(F.col("fp"), even_blocks(n), n - radius)).alias("key"))
+
+    def sizes_of(df: DataFrame) -> DataFrame:
+        return written(df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), mixed.alias("mixed")).where("mixed").select("key", "n"), "shards")
+
     fields, schema = {"a": pa.int64(), "b": pa.int64()}, "a long, b long"
 
     def fold(_, columns: list[list]) -> list[tuple]:
-        return within([x & (2**64 - 1) for x in columns[0]], radius)
+        return within(columns, radius)
 
+    keyed = keyed_by(distinct, blocks)
+    counts = sizes_of(keyed)
     small = keyed.join(counts.where(F.col("n") <= max_tree).select("key"), "key")
-    out = grouped_stream(small.select("key", "fp"), ["key"], ["fp"], fold, fields, schema)
+    out = grouped_stream(small.select("key", "fp", *rest), ["key"], ["fp", *rest], fold, fields, schema)
     if counts.where(F.col("n") > max_tree).limit(1).count() == 0:
         return out
 
     # members of large shards, keyed again; what is still large is cut in trees
-    dense = written(keyed.join(counts.where(F.col("n") > max_tree).select("key"), "key").select("fp").distinct(), "dense")
-    finer = dense.select("fp", F.explode(block_keys(F.col("fp"), even_blocks(blocks + 2), blocks + 2 - radius)).alias("key"))
-    sizes = written(finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shards")
-    finer = finer.join(sizes, "key").withColumn("trees", F.ceil(F.col("n") / max_tree)).withColumn("tree", F.pmod(F.xxhash64("fp"), "trees"))
-    whole = grouped_stream(finer.where("trees = 1").select("key", "fp"), ["key"], ["fp"], fold, fields, schema)
+    dense = written(keyed.join(counts.where(F.col("n") > max_tree).select("key"), "key").select("fp", *rest).distinct(), "dense")
+    finer = keyed_by(dense, blocks + 2)
+    finer = finer.join(sizes_of(finer), "key").withColumn("trees", F.ceil(F.col("n") / max_tree)).withColumn("tree", F.pmod(F.xxhash64("fp", *rest), "trees"))
+    whole = grouped_stream(finer.where("trees = 1").select("key", "fp", *rest), ["key"], ["fp", *rest], fold, fields, schema)
     # each tree of a large shard meets each block of its fingerprints: (tree, block) is one bounded group
     cut = finer.where("trees > 1")
-    nodes = cut.select("key", F.col("tree").alias("node"), F.explode(F.sequence("tree", F.col("trees") - 1)).alias("query"), "fp", F.lit(0).alias("role"))
-    asks = cut.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tree"))).alias("node"), F.col("tree").alias("query"), "fp", F.lit(1).alias("role"))
+    nodes = cut.select("key", F.col("tree").alias("node"), F.explode(F.sequence("tree", F.col("trees") - 1)).alias("query"), "fp", *rest, F.lit(0).alias("role"))
+    asks = cut.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tree"))).alias("node"), F.col("tree").alias("query"), "fp", *rest, F.lit(1).alias("role"))
 
     def meet(_, columns: list[list]) -> list[tuple]:
-        fps = [x & (2**64 - 1) for x in columns[0]]
-        split = columns[1].index(1) if 1 in columns[1] else len(fps)
-        return cross_links(fps[:split], fps[split:], radius)
-
-    crossed = grouped_stream(nodes.union(asks).select("key", "node", "query", "fp", "role"), ["key", "node", "query"], ["role", "fp"], meet, fields, schema)
+        *found, roles = columns
+        if across is None:
+            return within(list(zip(*dict.fromkeys(zip(*found, strict=True)), strict=True)), radius)
+        fps = [x & (2**64 - 1) for x in found[0]]
+        split = roles.index(1) if 1 in roles else len(fps)
+        return across(fps[:split], fps[split:], radius)
+
+    crossed = grouped_stream(nodes.union(asks).select("key", "node", "query", "fp", *rest, "role"), ["key", "node", "query"], ["role", "fp"], meet, fields, schema)
     return out.union(whole).union(crossed)
 
 
@@ -248,21 +286,34 @@ def shingle_set(text: Column) -> Column:
 
 
 def near_duplicate_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """Distinct ``doc_id`` of the documents that aren't the first of their group.
+    """Distinct ``doc_id`` (integers) of the documents that aren't the first of their group.
 
-    Equal fingerprints are one node. In each shard a node is linked to its nearest and its first neighbour; a link holds if the
-    two texts' shingle sets have Jaccard similarity ``similarity``; groups are connected components of links that hold.
+    Copies (equal fingerprint and equal hash of the words) are one node, named by its least id. A link is a pair of nodes within
+    the radius whose texts' shingle sets have Jaccard similarity ``similarity``; groups are connected components. Links are found
+    in two rounds: each node is tried with its nearest and its first neighbour in a shard, which joins large groups at few
+    pairs; then every pair within the radius whose ends are still in different groups is tried, so that no link is lost.
+
+    Null and empty texts are copies of one another; rows of one id are one document; rows without an id name no node.
     """
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    marked = written(with_fingerprints(base, ("doc_id",), "text", DEDUP_SHINGLE, distinct=True), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    pairs = links(nodes.select("fp"), DEDUP_RADIUS, DEDUP_BLOCKS, within=near_few)
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    linked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(nodes, "fp").where("least is not null")
-    sets = base.join(linked, F.col("doc_id") == F.col("least")).select("fp", shingle_set(F.col("text")).alias("s")).dropDuplicates(["fp"])
-    sets = written(sets, "shingle-sets")
-    held = pairs.join(sets.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    held = held.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-    groups = classes(nodes, held)
-    return marked.join(groups, "fp").where("doc_id > component").select("doc_id").distinct()
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    digest = F.xxhash64(F.array_join(words(F.lower("text")), " "))
+    marked = written(with_fingerprints(base.withColumn("digest", digest), ("doc_id", "digest"), "text", DEDUP_SHINGLE, distinct=True), "fingerprints")
+    nodes = written(marked.groupBy("fp", "digest").agg(F.min("doc_id").alias("id")).where("id is not null"), "nodes")
+
+    def held(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        sets = base.join(ends, F.col("doc_id") == F.col("id")).select("id", shingle_set(F.col("text")).alias("s")).dropDuplicates(["id"])
+        sets = written(sets, "shingle-sets")
+        both = F.size(F.array_intersect("sa", "sb"))
+        sized = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        return written(sized.where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "held")
+
+    first = held(links(nodes.select("fp", "id"), DEDUP_RADIUS, DEDUP_BLOCKS, within=near_few, across=None))
+    labels = min_labels(first).withColumnRenamed("node", "id")
+    grouped = written(nodes.select("fp", "id").join(labels, "id", "left").select("fp", "id", F.coalesce("label", "id").alias("group")), "grouped")
+    rest = held(links(grouped, DEDUP_RADIUS, DEDUP_BLOCKS, within=all_apart, across=None))
+    if rest.limit(1).count():
+        labels = min_labels(first.union(rest)).withColumnRenamed("node", "id")
+    least = nodes.join(labels, "id", "left").select("fp", "digest", F.coalesce("label", "id").alias("least"))
+    return marked.join(least, ["fp", "digest"]).where("doc_id > least").select("doc_id").distinct()

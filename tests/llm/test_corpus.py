@@ -234,3 +234,29 @@ def test_language_profiles():
     assert language_id.predict("that dog with the cat", profiles, grams)[0] == "en"
     assert language_id.predict("nicht die katze", profiles, grams)[0] == "de"
     assert language_id.predict("12 34 !", profiles, grams) == ("und", 0.0)
+
+
+@pytest.mark.parametrize("cap", [2048, 6])
+def test_deduplication_loses_no_link_within_the_radius(spark, cap, monkeypatch):
+    monkeypatch.setattr(near_dups.links, "__defaults__", (near_dups.RADIUS, near_dups.BLOCKS, cap, near_dups.shard_links, near_dups.cross_links))
+    r = np.random.default_rng(11)
+    base = prose(120, 70).split()
+    texts = []
+    for i in range(40):
+        w = list(base)
+        for at in r.integers(0, len(w), r.integers(0, 5)):
+            w[at] = f"new{i}{at}"
+        texts.append(" ".join(w))
+    texts += [" ".join(r.permutation(base)) for _ in range(3)] + [texts[0], None, "", "a b a b", "b a"]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    fps = [near_dups.fingerprint((t or "").encode(), 1, True) for t in texts]
+    linked = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= near_dups.DEDUP_RADIUS and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    label = list(range(len(texts)))
+    for _ in texts:
+        label = [min(label[j] for j in range(len(texts)) if linked(i, j)) for i in range(len(texts))]
+    want = [i for i, x in enumerate(label) if x < i]
+    assert 3 < len(want) < len(texts) - 5
+    assert sorted(x.doc_id for x in near_dups.near_duplicate_ids(docs(spark, texts)).collect()) == want
