@@ -12,11 +12,12 @@ out and isn't learned from; repeated rows are predicted each; extra columns are
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+import sys
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,83 +25,144 @@ from pyspark.sql.window import Window
 
 from heliograph.llm.shared import map_texts
 
-#: Length of n-grams, n-grams in a profile, and in a document's.
-SIZES = (1, 2, 3)
+#: N-grams of one to three letters in a profile, and in a document's.
 PROFILE = 300
 #: Profiles are sent to tasks: so many languages at most, checked.
 MAX_LANGS = 2000
-#: Distinct counts that a task holds before it passes them on.
+#: Distinct counts that a task holds before it passes them on, and code points read at a time.
 FLUSH = 400_000
+PIECE = 1_000_000
 UNKNOWN = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-class Grams(dict):
-    """The n-grams of a word with a space on either side; remembers a bounded number of words."""
+@cache
+def letter_table() -> np.ndarray:
+    """For each code point, whether it is a letter."""
+    table = np.zeros(sys.maxunicode + 1, dtype=bool)
+    for m in _LETTERS.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
+        table[m.start() : m.end()] = True
+    return table
 
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) > 200_000:
-            self.clear()
-        padded = f" {word} "
-        out = tuple(padded[i : i + n] for n in SIZES for i in range(len(padded) - n + 1) if n > 1 or 0 < i < len(padded) - 1)
-        if len(word) < 40:
-            self[word] = out
-        return out
 
+class Grams:
+    """The n-grams of a text's words, each word with a space on either side, as numbers.
 
-def count_grams(text: str, grams: Grams) -> Counter:
-    return Counter(chain.from_iterable(map(grams.__getitem__, _LETTERS.findall(text.lower()))))
+    An n-gram is its code points in 21 bits each, from the top: numbers sort as the n-grams do.
+    """
 
+    def __init__(self) -> None:
+        self.letters = letter_table()
 
-def ranked(counts: Counter, size: int = PROFILE) -> list[str]:
+    def pieces(self, text: str) -> Iterator[np.ndarray]:
+        """All n-grams with repeats, for PIECE code points at a time."""
+        c = np.frombuffer(f" {text.lower()}  ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        for i in range(1, len(c) - 1, PIECE):
+            p = c[i - 1 : i + PIECE + 1].astype(np.int64)
+            letter = self.letters[p]
+            p[~letter] = 32
+            top, mid = p << 42, p << 21
+            two = top[:-2] | mid[1:-1]
+            yield np.concatenate([top[1:-1][letter[1:-1]], two[letter[:-2] | letter[1:-1]], (two | p[2:])[letter[1:-1]]])
+
+
+def tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    ends = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], np.ones(min(1, len(keys)), bool)]))
+    return keys[ends], np.diff(ends, prepend=-1)
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(parts) == 1:
+        return parts[0]
+    keys, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def count_grams(text: str, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a text in order, and how often each occurs."""
+    return merged([tally(k) for k in grams.pieces(text)])
+
+
+def ranked(counted: tuple[np.ndarray, np.ndarray], size: int = PROFILE) -> np.ndarray:
     """The most frequent n-grams, best first; ties by the n-gram."""
-    if len(counts) > size:
-        least = sorted(counts.values(), reverse=True)[size - 1]
-        items = [(-n, g) for g, n in counts.items() if n >= least]
-    else:
-        items = [(-n, g) for g, n in counts.items()]
-    items.sort()
-    return [g for _, g in items[:size]]
+    keys, counts = counted
+    return keys[np.argsort(-counts, kind="stable")[:size]]
+
 
+class Postings:
+    """Profiles turned round: for each n-gram, the languages that rank it."""
 
-def predict(text: str | None, profiles: dict[str, dict[str, int]], grams: Grams) -> tuple[str, float]:
+    def __init__(self, profiles: dict[str, dict[int, int]]) -> None:
+        self.langs = sorted(profiles)
+        rows = np.array(sorted((int(g), i, rank) for i, x in enumerate(self.langs) for g, rank in profiles[x].items()), dtype=np.int64).reshape(-1, 3)
+        self.keys, self.lang, self.rank = rows[:, 0].copy(), rows[:, 1].copy(), rows[:, 2].copy()
+
+    def nearest(self, top: np.ndarray) -> tuple[str, float]:
+        """The language at the least out-of-place distance; an n-gram that a profile lacks counts PROFILE places."""
+        if not len(top) or not self.langs:
+            return UNKNOWN, 0.0
+        low = np.searchsorted(self.keys, top)
+        many = np.searchsorted(self.keys, top, side="right") - low
+        place = np.repeat(np.arange(len(top)), many)
+        at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(len(place))
+        gained = np.bincount(self.lang[at], PROFILE - np.abs(self.rank[at] - place), minlength=len(self.langs))
+        best = int(gained.argmax())
+        return self.langs[best], float(gained[best]) / (PROFILE * len(top))
+
+
+def predict(text: str | None, profiles: dict[str, dict[int, int]] | Postings, grams: Grams) -> tuple[str, float]:
     """Label and score of one text; the score is 1 less the share of the largest distance possible."""
-    top = ranked(count_grams(text, grams)) if text else []
-    if not top or not profiles:
-        return UNKNOWN, 0.0
-    best, label = None, UNKNOWN
-    for lang in sorted(profiles):
-        ranks = profiles[lang]
-        far = sum(abs(ranks[g] - i) if g in ranks else PROFILE for i, g in enumerate(top))
-        if best is None or far < best:
-            best, label = far, lang
-    return label, 1 - best / (PROFILE * len(top))
-
-
-def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, dict[str, int]]:
-    """Rank by n-gram for each language, from all rows with a text and a language."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, held = Grams(), defaultdict(Counter)
-
-        def passed() -> pd.DataFrame:
-            rows = [(x, g, n) for x, c in held.items() for g, n in c.items()]
+    known = profiles if isinstance(profiles, Postings) else Postings(profiles)
+    return known.nearest(ranked(count_grams(text or "", grams)))
+
+
+def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, dict[int, int]]:
+    """Rank by n-gram for each language, from all rows with a text and a language.
+
+    Tasks count, and hold a bounded number of n-grams before they pass their counts on.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
+        waiting: dict[str, list[np.ndarray]] = defaultdict(list)
+        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+        def settle() -> None:
+            for x, parts in waiting.items():
+                new = tally(np.concatenate(parts))
+                held[x] = merged([held[x], new]) if x in held else new
+            waiting.clear()
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            for x, (keys, counts) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(keys), pa.string()), pa.array(keys), pa.array(counts)], ["lang", "gram", "n"])
             held.clear()
-            return pd.DataFrame(rows, columns=["lang", "gram", "n"])
 
+        size = 0
         for batch in batches:
-            for x, t in zip(batch["lang"], batch["text"], strict=True):
-                held[x].update(count_grams(t, grams))
-            if sum(map(len, held.values())) > FLUSH:
-                yield passed()
-        yield passed()
-
-    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counts = rows.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+            for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for keys in grams.pieces(t):
+                    waiting[x].append(keys)
+                    size += len(keys)
+                    if size > 4 * PIECE:
+                        settle()
+                        size = 0
+            if sum(len(k) for k, _ in held.values()) > FLUSH:
+                yield from passed()
+        settle()
+        yield from passed()
+
+    rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
+    counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE).select("lang", "gram", "rank")
-    out: dict[str, dict[str, int]] = defaultdict(dict)
+    out: dict[str, dict[int, int]] = defaultdict(dict)
     for row in top.limit(PROFILE * MAX_LANGS + 1).collect():
         out[row["lang"]][row["gram"]] = row["rank"] - 1
     if len(out) > MAX_LANGS:
@@ -108,12 +170,12 @@ def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang")
     return dict(out)
 
 
-def predict_languages(docs: DataFrame, profiles: dict[str, dict[str, int]], carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+def predict_languages(docs: DataFrame, profiles: dict[str, dict[int, int]], carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``carry``, ``lang_pred`` and ``score`` for each row; only the text is an input."""
 
     def make():
-        grams = Grams()
-        return lambda texts: [predict(t, profiles, grams) for t in texts]
+        grams, known = Grams(), Postings(profiles)
+        return lambda texts: [predict(t, known, grams) for t in texts]
 
     return map_texts(docs, carry, text, make, {"lang_pred": pa.string(), "score": pa.float64()}, "lang_pred string, score double")
 
