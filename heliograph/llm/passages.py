@@ -2,9 +2,10 @@
 
 Each document gives seeds: minimizers of the hashes of its k-mers of words, the first of equal ones. Every seed that several
 documents hold belongs to the one with the least id, its owner; all other holders are matched with the owner only, so a passage
-that a third of all documents share costs one match a document, not one a pair. The matches of a document with an owner are
-chained in order by a Fenwick tree of prefix maxima, with costs for gaps; a chain's two stretches of words are then aligned
-(bit-parallel longest common subsequence), grown at both ends while words are equal, and kept from MIN_WORDS on at SIMILARITY.
+that a third of all documents share costs one match a document, not one a pair. A document and an owner with MIN_SEEDS seeds
+are compared whole: the equal runs of FINE words are chained in order by a Fenwick tree of prefix maxima, with costs for gaps; a
+chain's two stretches of words are aligned (bit-parallel longest common subsequence), grown at both ends while words are equal,
+cut at the widest gap and aligned again while they aren't similar, and kept from MIN_WORDS on at SIMILARITY.
 
 Documents that share a passage are linked through the owners of its seeds. Defined results: null and empty texts and null ids
 share nothing; repeated rows of an id are one document; a passage repeated inside one document counts at its first place; case
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.shared import grouped_stream, map_texts, written
+from heliograph.llm.shared import map_texts, written
 
 #: Words in a k-mer, and k-mers in a window that gives one seed: a shared run of K + WINDOW - 1 words has a common seed.
 K = 8
@@ -32,8 +33,9 @@ SIMILARITY = 0.8
 #: Score of a seed, and cost of a word skipped on either side between two seeds.
 SEED_SCORE = 8.0
 GAP_COST = 0.08
-#: Words beside a chain within which its ends may grow.
-MARGIN = 64
+#: Words of an equal run that anchors a chain of two documents, and words between anchors of a longer one.
+FINE = 4
+STEP = 24
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -148,6 +150,47 @@ def aligned(a: np.ndarray, b: np.ndarray, core_a: tuple[int, int], core_b: tuple
     return a0, a1, b0, b1, common(a[a0:a1], b[b0:b1]) / max(a1 - a0, b1 - b0, 1)
 
 
+def anchors(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Places ``(a's, b's)`` of equal runs of FINE words, each run at its first place; of a longer equal stretch its ends and
+    every STEP-th place."""
+
+    def first(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = max(len(x) - FINE + 1, 0)
+        runs = np.zeros(n, dtype=np.uint64)
+        for j in range(FINE):
+            runs = runs << np.uint64(16) | x[j : j + n].astype(np.uint64)
+        return np.unique(runs, return_index=True)
+
+    (ka, ia), (kb, ib) = first(a), first(b)
+    _, x, y = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    p, o = ia[x], ib[y]
+    if not len(p):
+        return []
+    order = np.lexsort((p, o - p))
+    p, o = p[order], o[order]
+    begins = np.r_[True, (np.diff(p) != 1) | (np.diff(o) != 1)]
+    since = np.arange(len(p)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
+    kept = (since % STEP == 0) | np.r_[begins[1:], True]
+    return list(zip(p[kept].tolist(), o[kept].tolist(), strict=True))
+
+
+def passages_between(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """The passages of two documents' words. A chain that isn't similar as a whole is cut at its widest gap, and its pieces are
+    aligned again."""
+    out, todo = [], chains(anchors(a, b))
+    while todo:
+        chain = todo.pop()
+        found = aligned(a, b, (chain[0][0], chain[-1][0] + FINE), (chain[0][1], chain[-1][1] + FINE))
+        x0, x1, y0, y1, same = found
+        if same >= SIMILARITY:
+            if min(x1 - x0, y1 - y0) >= MIN_WORDS:
+                out.append(found)
+        elif len(chain) > 1:
+            at = max(range(1, len(chain)), key=lambda i: max(chain[i][0] - chain[i - 1][0], chain[i][1] - chain[i - 1][1]))
+            todo += [chain[:at], chain[at:]]
+    return out
+
+
 def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, other_id, start_word, end_word, other_start, other_end, similarity``: each document's passages with an owner
     (``other_id`` is less than ``doc_id``); word positions, ends exclusive."""
@@ -162,45 +205,28 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             join = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(join([h for h, _ in found]), pa.int64()), pa.array(ids, pa.int64()), pa.array(join([p for _, p in found]), pa.int32())], ["h", "doc", "pos"])
 
-    found = written(base.mapInArrow(seed, "h long, doc long, pos int"), "seeds")
-    owners = found.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.min_by("pos", "doc").alias("opos")).where("owner <> last")
-    owners = written(owners.select("h", "owner", "opos"), "owners")
-    met = found.join(owners, "h").where("doc <> owner").select("doc", "owner", "pos", "opos")
-
-    def fold(key: tuple, columns: list[list]) -> list[tuple]:
-        if len(columns[0]) < MIN_SEEDS:
-            return []
-        out = []
-        for chain in chains(list(zip(*columns, strict=True))):
-            if len(chain) >= MIN_SEEDS:
-                out.append((*key, chain[0][0], chain[-1][0] + K, chain[0][1], chain[-1][1] + K))
-        return out
-
-    names = ("doc", "owner", "a0", "a1", "b0", "b1")
-    spans = grouped_stream(met, ["doc", "owner"], ["pos", "opos"], fold, dict.fromkeys(names, pa.int64()), ", ".join(f"{n} long" for n in names))
-    spans = written(spans, "chains")
-
-    # both documents' words beside each chain, two bytes a word
+    # both documents' words, two bytes a word
     def make():
         known = WordHashes()
         return lambda texts: [((word_hashes(t, known) & np.uint64(0xFFFF)).astype("<u2").tobytes(),) for t in texts]
 
     packed = map_texts(base, ("doc",), "text", make, {"w": pa.binary()}, "w binary", binary=True)
-    low = lambda c: F.greatest(F.col(c) - MARGIN, F.lit(0))
-    cut = lambda a, b: F.substring(F.col("w"), (2 * low(a) + 1).cast("int"), (2 * (F.col(b) + MARGIN - low(a))).cast("int"))
-    left = spans.join(packed, "doc").select(*names, cut("a0", "a1").alias("a"))
-    both = left.join(packed.select(F.col("doc").alias("owner"), "w"), "owner").select(*names, "a", cut("b0", "b1").alias("b"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, owner, a0, a1, b0, b1, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                fa, fb = max(0, a0 - MARGIN), max(0, b0 - MARGIN)
-                x0, x1, y0, y1, same = aligned(np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2"), (a0 - fa, a1 - fa), (b0 - fb, b1 - fb))
-                if min(x1 - x0, y1 - y0) >= MIN_WORDS and same >= SIMILARITY:
-                    rows.append((doc, owner, x0 + fa, x1 + fa, y0 + fb, y1 + fb, round(same, 6)))
+            for doc, owner, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows += [(doc, owner, *found[:4], round(found[4], 6)) for found in passages_between(np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2"))]
             kinds = [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end", "similarity"])
 
-    out = both.mapInArrow(align, "doc_id long, other_id long, start_word long, end_word long, other_start long, other_end long, similarity double")
-    return out.distinct()
+    def passages_of(pairs: DataFrame) -> DataFrame:
+        left = pairs.join(packed, "doc").select("doc", "owner", F.col("w").alias("a"))
+        both = left.join(packed.select(F.col("doc").alias("owner"), F.col("w").alias("b")), "owner").select("doc", "owner", "a", "b")
+        return both.mapInArrow(align, "doc_id long, other_id long, start_word long, end_word long, other_start long, other_end long, similarity double")
+
+    found = written(base.mapInArrow(seed, "h long, doc long, pos int"), "seeds")
+    owners = found.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner <> last").select("h", "owner")
+    met = found.join(owners, "h").where("doc <> owner").groupBy("doc", "owner").agg(F.count(F.lit(1)).alias("n"))
+    pairs = written(met.where(F.col("n") >= MIN_SEEDS).select("doc", "owner"), "pairs")
+    return passages_of(pairs).distinct()

@@ -260,3 +260,11 @@ def test_deduplication_loses_no_link_within_the_radius(spark, cap, monkeypatch):
     want = [i for i, x in enumerate(label) if x < i]
     assert 3 < len(want) < len(texts) - 5
     assert sorted(x.doc_id for x in near_dups.near_duplicate_ids(docs(spark, texts)).collect()) == want
+
+
+@pytest.mark.parametrize("gap", [40, 60, 100, 150, 250])
+def test_two_passages_with_other_words_between_are_both_found(spark, gap):
+    one, two = prose(60, 200), prose(60, 201)
+    texts = [" ".join([prose(30, s), one, prose(gap, s + 1), two, prose(30, s + 2)]) for s in (210, 220)]
+    out = sorted((r.start_word, r.end_word, r.other_start, r.other_end) for r in passages.shared_passages(docs(spark, texts)).collect())
+    assert out == [(30, 90, 30, 90), (90 + gap, 150 + gap, 90 + gap, 150 + gap)]
