@@ -1,6 +1,6 @@
 """Fuzzy passages that documents share, by seeding, collinear chaining and alignment.
 
-Each document gives seeds: minimizers of the hashes of its k-mers of words, the first of equal ones. Every seed that several
+Each document gives seeds: a fixed share of the hashes of its k-mers of words, the first of equal ones. Every seed that several
 documents hold belongs to the one with the least id, its owner; all other holders are matched with the owner only, so a passage
 that a third of all documents share costs one match a document, not one a pair. A document and an owner with MIN_SEEDS seeds
 are compared whole: the equal runs of FINE words are chained in order by a Fenwick tree of prefix maxima, with costs for gaps; a
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.shared import map_texts, written
 
-#: Words in a k-mer, and k-mers in a window that gives one seed: a shared run of K + WINDOW - 1 words has a common seed.
-K = 8
-WINDOW = 16
+#: Words in a k-mer, and the share of all k-mers' hashes that are seeds, one in so many: edits beside a k-mer don't unmake a seed.
+K = 4
+ONE_IN = 4
 MIN_SEEDS = 2
 MIN_WORDS = 50
 SIMILARITY = 0.8
@@ -64,10 +64,7 @@ def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             kmers = kmers * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
         kmers = (kmers ^ (kmers >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         kmers ^= kmers >> np.uint64(29)
-    if n > WINDOW:
-        at = np.unique(np.lib.stride_tricks.sliding_window_view(kmers, WINDOW).argmin(axis=1) + np.arange(n - WINDOW + 1))
-    else:
-        at = np.array([int(kmers.argmin())])
+    at = np.flatnonzero(kmers % np.uint64(ONE_IN) == 0)
     picked, first = np.unique(kmers[at], return_index=True)
     return picked.view(np.int64), at[first]
 

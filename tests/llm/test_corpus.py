@@ -268,3 +268,15 @@ def test_two_passages_with_other_words_between_are_both_found(spark, gap):
     texts = [" ".join([prose(30, s), one, prose(gap, s + 1), two, prose(30, s + 2)]) for s in (210, 220)]
     out = sorted((r.start_word, r.end_word, r.other_start, r.other_end) for r in passages.shared_passages(docs(spark, texts)).collect())
     assert out == [(30, 90, 30, 90), (90 + gap, 150 + gap, 90 + gap, 150 + gap)]
+
+
+@pytest.mark.parametrize("every,least", [(20, 59), (10, 57), (7, 54)])
+def test_passages_with_spread_edits_are_proposed_and_found(every, least):
+    r, found = np.random.default_rng(8), 0
+    for i in range(60):
+        a = r.integers(1, 60_000, 80)
+        b = np.where(np.arange(80) % every == every - 1, r.integers(1, 60_000, 80), a)
+        sides = [np.concatenate([r.integers(1, 60_000, 100), x, r.integers(1, 60_000, 100)]) for x in (a, b)]
+        held = [passages.seeds(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0] for x in sides]
+        found += len(np.intersect1d(*held)) >= passages.MIN_SEEDS and len(passages.passages_between(*sides)) == 1
+    assert found >= least
