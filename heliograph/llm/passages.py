@@ -7,6 +7,10 @@ are compared whole: the equal runs of FINE words are chained in order by a Fenwi
 chain's two stretches of words are aligned (bit-parallel longest common subsequence), grown at both ends while words are equal,
 cut at the widest gap and aligned again while they aren't similar, and kept from MIN_WORDS on at SIMILARITY.
 
+A seed's owner may hold that seed only, in a short quotation, while others share the whole passage. So the shared seeds that lie
+in no passage of their document are matched again, by runs: two seeds, up to twelve apart in order, are one key, owned by the
+least of the documents that hold it outside their passages. This is repeated until no new passage appears.
+
 Documents that share a passage are linked through the owners of its seeds. Defined results: null and empty texts and null ids
 share nothing; repeated rows of an id are one document; a passage repeated inside one document counts at its first place; case
 of ASCII letters and ASCII punctuation don't count; extra columns are ignored; an empty table gives an empty result.
@@ -28,6 +32,8 @@ from heliograph.llm.shared import map_texts, written
 K = 4
 ONE_IN = 4
 MIN_SEEDS = 2
+#: Runs of seeds that get an owner of their own: from one seed to so many further on.
+RUNS = (1, 2, 3, 5, 8, 12)
 MIN_WORDS = 50
 SIMILARITY = 0.8
 #: Score of a seed, and cost of a word skipped on either side between two seeds.
@@ -224,6 +230,23 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     found = written(base.mapInArrow(seed, "h long, doc long, pos int"), "seeds")
     owners = found.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner <> last").select("h", "owner")
-    met = found.join(owners, "h").where("doc <> owner").groupBy("doc", "owner").agg(F.count(F.lit(1)).alias("n"))
-    pairs = written(met.where(F.col("n") >= MIN_SEEDS).select("doc", "owner"), "pairs")
-    return passages_of(pairs).distinct()
+    shared = written(found.join(owners, "h").select("h", "doc", "pos", "owner"), "shared-seeds")
+    met = shared.where("doc <> owner").groupBy("doc", "owner").agg(F.count(F.lit(1)).alias("n"))
+    tried = written(met.where(F.col("n") >= MIN_SEEDS).select("doc", "owner"), "pairs")
+    passages = written(passages_of(tried), "passages")
+    while True:
+        # seeds in no passage yet, by document in order, and runs' keys: hashes of two of them
+        spans = passages.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+        inside = F.exists("spans", lambda x: (x["start_word"] <= F.col("pos")) & (x["end_word"] >= F.col("pos") + K))
+        free = shared.join(spans, "doc", "left").where(~F.coalesce(inside, F.lit(False)))
+        free = free.groupBy("doc").agg(F.transform(F.sort_array(F.collect_set(F.struct("pos", "h"))), lambda x: x["h"]).alias("hs"))
+        ahead = lambda n: F.slice("hs", n + 1, F.greatest(F.size("hs") - n, F.lit(0)))
+        ends = lambda n: F.zip_with(F.slice("hs", 1, F.greatest(F.size("hs") - n, F.lit(0))), ahead(n), lambda x, y: F.xxhash64(x, y))
+        keys = written(free.select("doc", F.explode(F.array_distinct(F.flatten(F.array(*[ends(n) for n in RUNS])))).alias("key")), "run-keys")
+        first = keys.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner <> last").select("key", "owner")
+        pairs = keys.join(first, "key").where("doc <> owner").select("doc", "owner").distinct()
+        pairs = written(pairs.join(tried, ["doc", "owner"], "left_anti"), "pairs")
+        more = written(passages_of(pairs), "passages")
+        if more.limit(1).count() == 0:
+            return passages.distinct()
+        tried, passages = tried.union(pairs), passages.union(more)

@@ -280,3 +280,12 @@ def test_passages_with_spread_edits_are_proposed_and_found(every, least):
         held = [passages.seeds(x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0] for x in sides]
         found += len(np.intersect1d(*held)) >= passages.MIN_SEEDS and len(passages.passages_between(*sides)) == 1
     assert found >= least
+
+
+def test_quotations_in_earlier_documents_hide_no_passage(spark):
+    shared = prose(60, 300).split()
+    quoted = [shared[:24], shared[17:44], shared[37:]]
+    texts = [" ".join([prose(40, 301 + i), *q, prose(40, 311 + i)]) for i, q in enumerate(quoted)]
+    texts += [" ".join([prose(50, s), *shared, prose(50, s + 1)]) for s in (320, 330)]
+    out = passages.shared_passages(docs(spark, texts)).collect()
+    assert [(r.doc_id, r.other_id, r.start_word, r.end_word, r.other_start, r.other_end) for r in out] == [(4, 3, 50, 110, 50, 110)]
