@@ -252,16 +252,16 @@ def example(text: str, buckets: dict[str, int]):
 
 def added(text: str, base: list[tuple[int, int, str, int]], field: Field | None, buckets: dict[str, int], sure: float = SURE) -> list[tuple[int, int, str, int]]:
     """Spans that the field finds and that touch no base span."""
-    if field is None or not base:
+    if field is None:
         return []
     spans = tokens(text)
-    if len(spans) < 2:
+    if not spans:
         return []
     chance = field.marginals(node_features(text, spans, buckets), *links(text, spans))
     best = chance.argmax(axis=1)
     out, j = [], 0
     edges = sorted((a, e) for a, _, _, e in base)
-    reach = np.maximum.accumulate([e for _, e in edges])
+    reach = np.maximum.accumulate([e for _, e in edges]) if edges else []
     starts = [a for a, _ in edges]
     for i, (a, b) in enumerate(spans):
         if best[i] and chance[i, best[i]] >= sure:
@@ -278,13 +278,13 @@ GATE = r"@[A-Za-z0-9]|[0-9]\.[0-9]|\+[0-9]|[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][
 
 
 def train(docs: DataFrame, text: str = "text", n: int = TRAIN_DOCS) -> Field | None:
-    """Fit on the ``n`` texts with the lowest hash among those that have a candidate and aren't too long.
+    """Fit on the ``n`` distinct texts with the lowest hash among those that have a candidate and aren't too long.
 
     Tasks send hashes only; the texts below the ``n``-th are read afterwards, copies once.
     """
     fits = (F.length("t") <= TRAIN_CHARS) & F.col("t").rlike(GATE)
     rows = docs.select(F.col(text).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
-    low = [r["h"] for r in rows.where(fits).select("h").orderBy("h").limit(n).collect()]
+    low = [r["h"] for r in rows.where(fits).select("h").distinct().orderBy("h").limit(n).collect()]
     if not low:
         return None
     chosen = rows.where((F.col("h") <= low[-1]) & F.col("h").isin(low) & fits).groupBy("h").agg(F.min("t").alias("t")).collect()
@@ -328,8 +328,6 @@ def redact(docs: DataFrame, text: str = "text", field: Field | None = None) -> D
             if not t:
                 return (t,)
             base = base_spans(t)
-            if not base:
-                return (t,)
             out, done = [], 0
             for a, _, kind, b in sorted(base + added(t, base, field, buckets)):
                 if a < done:

@@ -289,3 +289,26 @@ def test_quotations_in_earlier_documents_hide_no_passage(spark):
     texts += [" ".join([prose(50, s), *shared, prose(50, s + 1)]) for s in (320, 330)]
     out = passages.shared_passages(docs(spark, texts)).collect()
     assert [(r.doc_id, r.other_id, r.start_word, r.end_word, r.other_start, r.other_end) for r in out] == [(4, 3, 50, 110, 50, 110)]
+
+
+def test_the_field_looks_at_texts_without_a_base_span(spark):
+    r = np.random.default_rng(17)
+    number = lambda: f"({r.integers(200, 999)}) {r.integers(200, 999)}-{r.integers(1000, 9999)}"
+    train = [prose(12, 400 + i) + f" phone +1 {number()} " + prose(8, 500 + i) + f" in {1900 + i} " + prose(5, 600 + i) for i in range(60)]
+    field = pii.train(docs(spark, [train[0]] * 500 + train), n=60)
+    text = "please phone (415) 555-2671 today"
+    assert not pii.base_spans(text)
+    assert [text[a:b] for a, _, _, b in pii.added(text, [], field, pii.Buckets(), 0.5)] == ["(415) 555-2671"]
+    nodes = np.zeros((pii.FEATURES, len(pii.LABELS)))
+    nodes[pii._bucket("brackets=True"), 4] = 9.0
+    k = len(pii.LABELS)
+    sure = pii.Field(nodes, np.zeros((k, k)), np.zeros((k, k)))
+    assert [r.text for r in pii.redact(docs(spark, [text]), field=sure).select("text").collect()] == ["please phone [PHONE] today"]
+    assert [r.spans for r in pii.find_pii(docs(spark, [text]), field=sure).collect()] == ["phone:13:27"]
+
+
+def test_copies_count_once_in_the_training_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii, "fit", lambda examples: seen.extend(examples))
+    pii.train(docs(spark, [f"call +1 415 555 26{i:02d} now" for i in range(12) for _ in range(9)]), n=12)
+    assert len(seen) == 12
