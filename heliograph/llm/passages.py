@@ -70,9 +70,9 @@ def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             kmers = kmers * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
         kmers = (kmers ^ (kmers >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         kmers ^= kmers >> np.uint64(29)
-    at = np.flatnonzero(kmers % np.uint64(ONE_IN) == 0)
-    picked, first = np.unique(kmers[at], return_index=True)
-    return picked.view(np.int64), at[first]
+    picked, first, counts = np.unique(kmers, return_index=True, return_counts=True)
+    kept = (picked % np.uint64(ONE_IN) == 0) | (counts > 1)  # a repeated line has few k-mers: all of them
+    return picked[kept].view(np.int64), first[kept]
 
 
 def chains(matches: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:

@@ -312,3 +312,11 @@ def test_copies_count_once_in_the_training_sample(spark, monkeypatch):
     monkeypatch.setattr(pii, "fit", lambda examples: seen.extend(examples))
     pii.train(docs(spark, [f"call +1 415 555 26{i:02d} now" for i in range(12) for _ in range(9)]), n=12)
     assert len(seen) == 12
+
+
+def test_a_repeated_line_has_seeds_enough():
+    r = np.random.default_rng(12)
+    for _ in range(40):
+        line = r.integers(1, 2**63, 10).astype(np.uint64)
+        sides = [np.concatenate([r.integers(1, 2**63, 30).astype(np.uint64), np.tile(line, 7)]) for _ in range(2)]
+        assert len(np.intersect1d(*[passages.seeds(x)[0] for x in sides])) >= passages.MIN_SEEDS
