@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.shared import map_texts, written
+from heliograph.llm.shared import WordHashes, map_texts, written
 
 #: Words in a k-mer, and the share of all k-mers' hashes that are seeds, one in so many: edits beside a k-mer don't unmake a seed.
 K = 4
@@ -46,14 +46,6 @@ STEP = 24
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
-
-
 def word_hashes(text: bytes | None, known: dict[bytes, int]) -> np.ndarray:
     tokens = (text or b"").lower().translate(None, _PUNCTUATION).split()
     return np.fromiter(map(known.__getitem__, tokens), dtype=np.uint64, count=len(tokens))

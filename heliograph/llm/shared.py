@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more."""
+    for df in tables:
+        delete(df.sparkSession, df._written_at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str = "n", limit: int = 100_000) -> DataFrame:
+    """``rows`` with the columns of ``table``, one row a ``key`` with ``n``, how often the key occurs in ``rows``.
+
+    Keys above ``limit`` are broadcast (at most one for every ``limit`` of ``rows``), so no task gets all rows of a hot key.
+    """
+    hot = F.broadcast(table.where(F.col(n) > limit))
+    rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(n) <= limit), key)
+    return rows.join(hot, key).unionByName(rest)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -68,25 +92,39 @@ def window_hashes(hashes: Column, width: int) -> Column:
     return let(hashes, lambda x: grow(x, 1, width))
 
 
-def min_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def min_labels(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph: ``(node, label)`` with the least node reachable, for nodes that have an edge.
 
     ``edges`` has two columns of one ordered type, ``a`` and ``b``. Each round takes the least label among neighbours and then
     the label of that label (pointer jumping), so rounds grow with the logarithm of a component's diameter. Each round's labels
-    are written to the shared folder; only a count of changes reaches the driver. Null ends and loops are ignored; no edges give no rows.
+    are written to the shared folder; only whether one changed reaches the driver. A label never grows, and stays only where all
+    neighbours share it, so the rounds end. Null ends and loops are ignored; no edges give no rows.
     """
     both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = written(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        step = written(low.join(jump, "mid").select("node", F.least("mid", "far").alias("label"), (F.least("mid", "far") != F.col("old")).alias("moved")), "labels")
-        labels = step.select("node", "label")
-        if step.where("moved").limit(1).count() == 0:
-            return labels
-    raise RuntimeError(f"labels still move after {max_rounds} rounds")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"), F.count(F.lit(1)).alias("n")).withColumn("moved", F.lit(True)), "labels")
+    while True:
+        near = join_counted(both, labels.select(F.col("node").alias("b"), "label", "n"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = written(labels.join(near, "node").select("node", "n", F.col("label").alias("old"), F.least("label", "near").alias("mid")), "low")
+        sizes = low.groupBy("mid").agg(F.count(F.lit(1)).alias("times"))
+        jump = written(sizes.join(labels.select(F.col("node").alias("mid"), F.col("label").alias("far")), "mid"), "jump")
+        label = F.least("mid", "far")
+        step = written(join_counted(low, jump, "mid", "times").select("node", label.alias("label"), "n", (label != F.col("old")).alias("moved")), "labels")
+        discard(labels, low, jump)
+        labels = step
+        if labels.where("moved").limit(1).count() == 0:
+            discard(both)
+            return labels.select("node", "label")
+
+
+class WordHashes(dict):
+    """Hashes of words met so far, a bounded number of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word)
+        return out
 
 
 def map_texts(df: DataFrame, carry: tuple[str, ...], text: str, make: Callable[[], Callable[[list], list[tuple]]], fields: dict[str, pa.DataType], schema: str, binary: bool = False) -> DataFrame:
