@@ -22,8 +22,8 @@ REPEAT_PERCENT = 30
 SYMBOL_PERCENT = 10
 DUP_LINE_PERCENT = 30
 WORD_LENGTHS = (2, 12)
-#: A host is rejected when its shrunk failure rate is above this.
-MAX_HOST_RATE = 0.5
+#: A host is rejected when its shrunk failure rate is above the prior's mean by more than so many of the prior's deviations.
+HOST_DEVIATIONS = 0.0
 #: Strength of the prior when the hosts' rates don't vary (one host, or equal rates).
 FLAT_STRENGTH = 20.0
 
@@ -71,37 +71,43 @@ def features(docs: DataFrame, carry: tuple[str, ...], text: str, host: str) -> D
     return df.select("row", "host", *FEATURES, base.alias("base_failed"), soft.alias("soft_failed"))
 
 
-def host_verdicts(rated: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+def host_verdicts(rated: DataFrame, deviations: float = HOST_DEVIATIONS) -> DataFrame:
     """``host, docs, failures, host_rate, host_rejected`` from rows with ``host, base_failed, soft_failed``.
 
-    The prior is beta with mean and variance of the hosts' raw rates (method of moments); its parameters are one row.
+    The prior is beta with mean and variance of the hosts' raw rates (method of moments); its parameters are one row. A host is
+    rejected if its shrunk rate is above what the prior expects: equal rates reject none.
     """
     hosts = rated.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("base_failed") | F.col("soft_failed")).alias("failures"))
     hosts = written(hosts, "hosts")
     prior = hosts.agg(F.avg(F.col("failures") / F.col("docs")).alias("m"), F.var_pop(F.col("failures") / F.col("docs")).alias("v"))
     strength = F.when(F.col("v") > 1e-9, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1e-3))).otherwise(FLAT_STRENGTH)
-    prior = prior.select(strength.alias("k"), "m")
+    prior = prior.select(strength.alias("k"), "m", (F.col("m") + deviations * F.sqrt("v") + 1e-9).alias("limit"))
     rate = (F.col("failures") + F.col("m") * F.col("k")) / (F.col("docs") + F.col("k"))
     # one row of prior beside each host
     out = hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", rate)
-    return out.select("host", "docs", "failures", "host_rate", (F.col("host_rate") > max_rate).alias("host_rejected"))
+    return out.select("host", "docs", "failures", "host_rate", (F.col("host_rate") > F.col("limit")).alias("host_rejected"))
 
 
-def judged(docs: DataFrame, carry: tuple[str, ...], text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """A row for each document: ``carry`` columns as struct ``row``, the measures, ``base_failed``, ``soft_failed``, ``host_rejected``, ``kept``.
+def _with_verdicts(rated: DataFrame, hosts: DataFrame) -> DataFrame:
+    hosts = hosts.where("host_rejected").select(F.col("host").alias("bad"), "host_rejected")
+    out = rated.join(hosts, F.col("host").eqNullSafe(F.col("bad")), "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
+    kept = ~F.col("base_failed") & ~(F.col("host_rejected") & F.col("soft_failed"))
+    return out.select("row", *FEATURES, "base_failed", "soft_failed", "host_rejected", kept.alias("kept"))
+
+
+def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", host: str = "source", deviations: float = HOST_DEVIATIONS) -> DataFrame:
+    """A row for each document: the ``carry`` columns, the measures, ``base_failed``, ``soft_failed``, ``host_rejected``, ``kept``.
 
     A document is dropped if the base rule fails it, or if its host is rejected and a soft rule fails the document too: clean
     documents of a poor host stay. The measures are written once; the hosts' table joins them by size (AQE broadcasts it only
     when it is small, and splits a hot host otherwise).
     """
     rated = written(features(docs, carry, text, host), "rated")
-    hosts = host_verdicts(rated, max_rate).where("host_rejected").select(F.col("host").alias("bad"), "host_rejected")
-    out = rated.join(hosts, F.col("host").eqNullSafe(F.col("bad")), "left").withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
-    kept = ~F.col("base_failed") & ~(F.col("host_rejected") & F.col("soft_failed"))
-    return out.select("row", *FEATURES, "base_failed", "soft_failed", "host_rejected", kept.alias("kept"))
+    out = _with_verdicts(rated, host_verdicts(rated, deviations))
+    return out.select(*[F.col("row")[c].alias(c) for c in carry], *[c for c in out.columns if c != "row"])
 
 
-def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """``judged`` with the ``carry`` columns side by side with the measures."""
-    out = judged(docs, carry, text, host, max_rate)
-    return out.select(*[F.col("row")[c].alias(c) for c in carry], *[c for c in out.columns if c != "row"])
+def kept_documents(docs: DataFrame, text: str = "text", host: str = "source", deviations: float = HOST_DEVIATIONS) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, all columns. The rules run twice, so that no text is written twice."""
+    hosts = written(host_verdicts(features(docs, (host,), text, host), deviations), "verdicts")
+    return _with_verdicts(features(docs, tuple(docs.columns), text, host), hosts).where("kept").select("row.*")

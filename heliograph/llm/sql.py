@@ -22,8 +22,8 @@ v AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {q
         OR word_chars < {quality_rules.WORD_LENGTHS[0]} * n_words OR word_chars > {quality_rules.WORD_LENGTHS[1]} * n_words AS soft_failed FROM f),
 h AS (SELECT host, count(*) AS docs, count(*) FILTER (base_failed OR soft_failed) AS failures FROM v GROUP BY host),
 p AS (SELECT avg(failures / docs) AS m, var_pop(failures / docs) AS s FROM h),
-q AS (SELECT m, CASE WHEN s > 1e-9 THEN greatest(m * (1 - m) / s - 1, 1e-3) ELSE {quality_rules.FLAT_STRENGTH} END AS k FROM p),
-r AS (SELECT host, (failures + m * k) / (docs + k) > {quality_rules.MAX_HOST_RATE} AS host_rejected FROM h, q)
+q AS (SELECT m, m + {quality_rules.HOST_DEVIATIONS} * sqrt(s) + 1e-9 AS lim, CASE WHEN s > 1e-9 THEN greatest(m * (1 - m) / s - 1, 1e-3) ELSE {quality_rules.FLAT_STRENGTH} END AS k FROM p),
+r AS (SELECT host, (failures + m * k) / (docs + k) > lim AS host_rejected FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, host_rejected,
     NOT base_failed AND NOT (host_rejected AND soft_failed) AS kept
 FROM v JOIN r ON v.host IS NOT DISTINCT FROM r.host
@@ -82,20 +82,20 @@ FROM d LEFT JOIN g USING (rid)
 
 _PLAIN = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
-#: Every window that lines up with an item on a shared shingle is compared with every item of its length, without fingerprints.
+#: Every window that lines up with an item on a shared shingle is compared with it, without fingerprints or key shingles.
 OP8 = f"""
 WITH i0 AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
 i AS (SELECT item_id, w, len(w) AS n, least(len(w), {decontaminate.SHINGLE}) AS k FROM i0 WHERE len(w) > 0),
 ish AS (SELECT item_id, n, k, o, array_to_string(w[o:o + k - 1], ' ') AS h FROM (SELECT *, unnest(range(1, n - k + 2)) AS o FROM i)),
 d AS (SELECT row_number() OVER () AS rid, doc_id, {_PLAIN} AS w FROM documents),
 dsh AS (SELECT rid, k, p, array_to_string(w[p:p + k - 1], ' ') AS h FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM i))),
-c AS (SELECT DISTINCT rid, ish.n, ish.k, p - o AS s FROM dsh JOIN ish USING (k, h)),
-c2 AS (SELECT DISTINCT rid, c.n, c.k, greatest(0, least(s, len(w) - c.n)) AS s, least(c.n, len(w)) AS m FROM c JOIN d USING (rid)),
-wsh AS (SELECT rid, c2.n, c2.k, c2.s, h, count(*) AS q FROM c2 JOIN dsh USING (rid, k) WHERE p > c2.s AND p + c2.k - 1 <= c2.s + m GROUP BY ALL),
+c AS (SELECT DISTINCT rid, item_id, ish.n, ish.k, p - o AS s FROM dsh JOIN ish USING (k, h)),
+c2 AS (SELECT DISTINCT rid, item_id, c.n, c.k, greatest(0, least(s, len(w) - c.n)) AS s, least(c.n, len(w)) AS m FROM c JOIN d USING (rid)),
+wsh AS (SELECT rid, item_id, c2.n, c2.k, c2.s, h, count(*) AS q FROM c2 JOIN dsh USING (rid, k) WHERE p > c2.s AND p + c2.k - 1 <= c2.s + m GROUP BY ALL),
 isum AS (SELECT item_id, n, k, h, count(*) AS q FROM ish GROUP BY ALL),
-both_ AS (SELECT rid, w.n, w.s, i.item_id, sum(least(w.q, i.q)) AS b FROM wsh w JOIN isum i USING (n, k, h) GROUP BY ALL),
-wt AS (SELECT rid, n, s, sum(q) AS t FROM wsh GROUP BY ALL), it AS (SELECT item_id, sum(q) AS t FROM isum GROUP BY ALL),
-sim AS (SELECT doc_id, item_id, both_.s AS start_word, both_.n AS n_words, b / (wt.t + it.t - b) AS similarity FROM both_ JOIN wt USING (rid, n, s) JOIN it USING (item_id) JOIN d USING (rid))
+both_ AS (SELECT rid, item_id, w.n, w.s, sum(least(w.q, i.q)) AS b FROM wsh w JOIN isum i USING (item_id, n, k, h) GROUP BY ALL),
+wt AS (SELECT rid, item_id, n, s, sum(q) AS t FROM wsh GROUP BY ALL), it AS (SELECT item_id, n, sum(q) AS t FROM isum GROUP BY ALL),
+sim AS (SELECT doc_id, item_id, both_.s AS start_word, both_.n AS n_words, b / (wt.t + it.t - b) AS similarity FROM both_ JOIN wt USING (rid, item_id, n, s) JOIN it USING (item_id, n) JOIN d USING (rid))
 SELECT doc_id, item_id, first(start_word ORDER BY similarity DESC, start_word)::BIGINT AS start_word, first(n_words ORDER BY similarity DESC, start_word)::BIGINT AS n_words, round(max(similarity), 6) AS similarity
 FROM sim WHERE similarity >= {decontaminate.SIMILARITY} GROUP BY doc_id, item_id
 """
