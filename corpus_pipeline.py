@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 from heliograph.llm.decontaminate import contaminated
 from heliograph.llm.near_dups import near_duplicate_ids
 from heliograph.llm.pii import redact
-from heliograph.llm.quality_rules import judged
+from heliograph.llm.quality_rules import kept_documents
 from heliograph.llm.shared import shared_root, table
 from heliograph.llm.source_mix import mix_sources
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and their hosts' verdicts keep."""
-    return judged(docs, tuple(docs.columns)).where("kept").select("row.*")
+    return kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
