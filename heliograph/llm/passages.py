@@ -11,6 +11,8 @@ A seed's owner may hold that seed only, in a short quotation, while others share
 in no passage of their document are matched again, by runs: two seeds, up to twelve apart in order, are one key, owned by the
 least of the documents that hold it outside their passages. This is repeated until no new passage appears.
 
+Words are compared by 32 bits of their hashes.
+
 Documents that share a passage are linked through the owners of its seeds. Defined results: null and empty texts and null ids
 share nothing; repeated rows of an id are one document; a passage repeated inside one document counts at its first place; case
 of ASCII letters and ASCII punctuation don't count; extra columns are ignored; an empty table gives an empty result.
@@ -19,17 +21,20 @@ of ASCII letters and ASCII punctuation don't count; extra columns are ignored; a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from heliograph.llm.shared import WordHashes, map_texts, written
+from heliograph.llm.shared import WordHashes, join_counted, map_texts, written
 
 #: Words in a k-mer, and the share of all k-mers' hashes that are seeds, one in so many: edits beside a k-mer don't unmake a seed.
-K = 4
+K = 5
 ONE_IN = 4
 MIN_SEEDS = 2
 #: Runs of seeds that get an owner of their own: from one seed to so many further on.
@@ -42,6 +47,8 @@ GAP_COST = 0.08
 #: Words of an equal run that anchors a chain of two documents, and words between anchors of a longer one.
 FINE = 4
 STEP = 24
+#: Pairs of one owner that one copy of its words serves.
+OWNER_PAIRS = 2000
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -152,8 +159,8 @@ def anchors(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     def first(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = max(len(x) - FINE + 1, 0)
         runs = np.zeros(n, dtype=np.uint64)
-        for j in range(FINE):
-            runs = runs << np.uint64(16) | x[j : j + n].astype(np.uint64)
+        for j in range(FINE):  # multiplication wraps
+            runs = runs * np.uint64(0x9E3779B97F4A7C15) + x[j : j + n].astype(np.uint64)
         return np.unique(runs, return_index=True)
 
     (ka, ia), (kb, ib) = first(a), first(b)
@@ -200,43 +207,55 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             join = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(join([h for h, _ in found]), pa.int64()), pa.array(ids, pa.int64()), pa.array(join([p for _, p in found]), pa.int32())], ["h", "doc", "pos"])
 
-    # both documents' words, two bytes a word
-    def make():
-        known = WordHashes()
-        return lambda texts: [((word_hashes(t, known) & np.uint64(0xFFFF)).astype("<u2").tobytes(),) for t in texts]
-
-    packed = map_texts(base, ("doc",), "text", make, {"w": pa.binary()}, "w binary", binary=True)
-
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, owner, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                rows += [(doc, owner, *found[:4], round(found[4], 6)) for found in passages_between(np.frombuffer(a, "<u2"), np.frombuffer(b, "<u2"))]
+                rows += [(doc, owner, *found[:4], round(found[4], 6)) for found in passages_between(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"))]
             kinds = [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end", "similarity"])
 
+    found = base.mapInArrow(seed, "h long, doc long, pos int")
+    holders = Window.partitionBy("h")
+    found = found.withColumn("owner", F.min("doc").over(holders)).withColumn("last", F.max("doc").over(holders))
+    shared = written(found.where("owner <> last").select("h", "doc", "pos", "owner"), "shared-seeds")
+
+    # the words of documents that may share a passage
+    def make():
+        known = WordHashes()
+        return lambda texts: [((word_hashes(t, known) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),) for t in texts]
+
+    some = written(shared.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SEEDS).select("doc"), "holders")
+    packed = written(map_texts(base.join(some, "doc"), ("doc",), "text", make, {"w": pa.binary()}, "w binary", binary=True), "words")
+
     def passages_of(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(packed, "doc").select("doc", "owner", F.col("w").alias("a"))
-        both = left.join(packed.select(F.col("doc").alias("owner"), F.col("w").alias("b")), "owner").select("doc", "owner", "a", "b")
+        """Pairs of an owner that many documents have are spread over copies of its words."""
+        counts = written(pairs.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.ceil(F.col("n") / OWNER_PAIRS)), "owners")
+        spread = join_counted(pairs, counts, "owner").select("doc", "owner", F.pmod(F.xxhash64("doc"), "copies").alias("copy"))
+        owners = packed.join(counts, packed["doc"] == counts["owner"]).select("owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("w").alias("b"))
+        both = spread.join(packed, "doc").select("doc", "owner", "copy", F.col("w").alias("a")).join(owners, ["owner", "copy"]).select("doc", "owner", "a", "b")
         return both.mapInArrow(align, "doc_id long, other_id long, start_word long, end_word long, other_start long, other_end long, similarity double")
 
-    found = written(base.mapInArrow(seed, "h long, doc long, pos int"), "seeds")
-    owners = found.groupBy("h").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner <> last").select("h", "owner")
-    shared = written(found.join(owners, "h").select("h", "doc", "pos", "owner"), "shared-seeds")
     met = shared.where("doc <> owner").groupBy("doc", "owner").agg(F.count(F.lit(1)).alias("n"))
     tried = written(met.where(F.col("n") >= MIN_SEEDS).select("doc", "owner"), "pairs")
     passages = written(passages_of(tried), "passages")
-    while True:
-        # seeds in no passage yet, by document in order, and runs' keys: hashes of two of them
+
+    def free(rows: DataFrame, *places: str) -> DataFrame:
+        """Rows of documents' seeds of which none lies in a passage found."""
         spans = passages.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
-        inside = F.exists("spans", lambda x: (x["start_word"] <= F.col("pos")) & (x["end_word"] >= F.col("pos") + K))
-        free = shared.join(spans, "doc", "left").where(~F.coalesce(inside, F.lit(False)))
-        free = free.groupBy("doc").agg(F.transform(F.sort_array(F.collect_set(F.struct("pos", "h"))), lambda x: x["h"]).alias("hs"))
-        ahead = lambda n: F.slice("hs", n + 1, F.greatest(F.size("hs") - n, F.lit(0)))
-        ends = lambda n: F.zip_with(F.slice("hs", 1, F.greatest(F.size("hs") - n, F.lit(0))), ahead(n), lambda x, y: F.xxhash64(x, y))
-        keys = written(free.select("doc", F.explode(F.array_distinct(F.flatten(F.array(*[ends(n) for n in RUNS])))).alias("key")), "run-keys")
-        first = keys.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner <> last").select("key", "owner")
-        pairs = keys.join(first, "key").where("doc <> owner").select("doc", "owner").distinct()
+        held = lambda at: F.exists("spans", lambda x: (x["start_word"] <= F.col(at)) & (x["end_word"] >= F.col(at) + K))
+        inside = reduce(or_, map(held, places))
+        return rows.join(spans, "doc", "left").where(~F.coalesce(inside, F.lit(False)))
+
+    # runs: keys of two free seeds of a document, so far apart in order, that another document has too
+    hs = free(shared, "pos").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("hs"))
+    ends = lambda n: F.zip_with("hs", F.slice("hs", n + 1, F.greatest(F.size("hs") - n, F.lit(0))), lambda x, y: F.struct(F.xxhash64(x["h"], y["h"]).alias("key"), x["pos"].alias("p"), y["pos"].alias("q")))
+    keys = hs.select("doc", F.inline(F.flatten(F.array(*[F.filter(ends(n), lambda x: x["q"].isNotNull()) for n in RUNS]))).alias("key", "p", "q"))
+    same = Window.partitionBy("key")
+    keys = keys.withColumn("first", F.min("doc").over(same)).withColumn("last", F.max("doc").over(same))
+    keys = written(keys.where("first <> last").select("key", "doc", "p", "q"), "runs")
+    while True:
+        pairs = free(keys, "p", "q").withColumn("owner", F.min("doc").over(same)).where("doc <> owner").select("doc", "owner").distinct()
         pairs = written(pairs.join(tried, ["doc", "owner"], "left_anti"), "pairs")
         more = written(passages_of(pairs), "passages")
         if more.limit(1).count() == 0:

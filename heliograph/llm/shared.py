@@ -58,6 +58,8 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str = "n", limi
     Keys above ``limit`` are broadcast (at most one for every ``limit`` of ``rows``), so no task gets all rows of a hot key.
     """
     hot = F.broadcast(table.where(F.col(n) > limit))
+    if hot.limit(1).count() == 0:
+        return rows.join(table, key)
     rest = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(n) <= limit), key)
     return rows.join(hot, key).unionByName(rest)
 
