@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from heliograph.llm.shared import let, written
+from heliograph.llm.shared import written
 
 #: Base kinds in listing order, pattern, the group that holds the value, and its least length.
 BASE = (
@@ -30,88 +31,78 @@ WIDER = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
     ("key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 20),
     ("bearer", r"(?i:bearer)\x20+([A-Za-z0-9+/_.=-]{20,})", 1, 20),
+    ("quoted", r"""[:=]\x20*["']([A-Za-z0-9+/_.=-]{16,})["']""", 1, 16),
 )
 KINDS = (*BASE, *WIDER)
 #: A candidate held by more distinct repositories or owners than this is an example.
 MAX_REPOS = 3
 MAX_OWNERS = 2
 #: One look that every text with a candidate passes.
-GATE = r"(?i:passw|secret|token|api_?key|bearer)|AKIA|[0-9a-f]{24}|gh[pousr]_|AIza|xox[abprs]-|[rs]k_(?:live|test)_|eyJ|PRIVATE KEY"
+GATE = r"""(?i:passw|secret|token|api_?key|bearer)|AKIA|[0-9a-f]{24}|gh[pousr]_|AIza|xox[abprs]-|[rs]k_(?:live|test)_|eyJ|PRIVATE KEY|[:=]\x20*["'][A-Za-z0-9+/_.=-]{16}"""
 
-SPAN = "array<struct<start:bigint,ord:int,kind:string,stop:bigint,value:string>>"
+HIT = "struct<ord:int,i:int,gap:int,size:int,hash:string,long:boolean>"
 
 
-def matches(text: Column, order: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Spans of all leftmost non-overlapping matches whose value has ``least`` characters, in code points.
-
-    Positions come from the lengths of what lies between the matches.
-    """
-
-    def place(found: Column) -> Column:
-        start = lambda acc, x: acc["at"] + F.length(x["gap"])
-        stop = lambda acc, x: start(acc, x) + F.length(x["all"])
-        return F.aggregate(
-            found,
-            F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out")),
-            lambda acc, x: F.struct(
-                stop(acc, x).alias("at"),
-                F.when(
-                    F.length(x["value"]) >= least,
-                    F.concat(acc["out"], F.array(F.struct(start(acc, x).alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), stop(acc, x).alias("stop"), x["value"].alias("value")))),
-                ).otherwise(acc["out"]).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
-
+def matches(text: Column, order: int, pattern: str, group: int, least: int) -> Column:
+    """All leftmost non-overlapping matches in order: the code points before each since the last one, its own, the hash of its
+    value, and whether the value has ``least`` characters."""
     rx = F.lit(pattern)
     every = F.regexp_extract_all(text, rx, 0)
     value = every if group == 0 else F.regexp_extract_all(text, rx, group)
-    gaps = F.split(text, pattern, -1)
-    zipped = F.filter(F.arrays_zip(gaps.alias("gap"), every.alias("all"), value.alias("value")), lambda x: x["all"].isNotNull())
-    return F.when(text.rlike(pattern), place(zipped)).otherwise(F.array().cast(SPAN))
-
-
-def joined(spans: Column) -> Column:
-    """``kind:start:end`` of each span, by start, then kind as listed."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    zipped = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), every.alias("all"), value.alias("value")), lambda x: x["all"].isNotNull())
+    hit = lambda x, i: F.struct(F.lit(order).alias("ord"), i.alias("i"), F.length(x["gap"]).alias("gap"), F.length(x["all"]).alias("size"), F.sha2(x["value"], 256).alias("hash"), (F.length(x["value"]) >= least).alias("long"))
+    return F.when(text.rlike(pattern), F.transform(zipped, hit)).otherwise(F.array().cast(f"array<{HIT}>"))
 
 
 def candidates(docs: DataFrame, carry: tuple[str, ...], text: str, repo: str, owner: str) -> DataFrame:
-    """``row_id``, ``carry`` as struct ``row``, ``repo``, ``owner`` and all spans in order, for every document; written."""
+    """``row_id``, ``carry`` as struct ``row``, ``repo``, ``owner`` and the matches of all kinds, for every document; written."""
     body = F.coalesce(F.col(text), F.lit(""))
     df = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), body.alias("body"))
-    found = F.concat(*[matches(F.col("body"), i, *kind) for i, kind in enumerate(KINDS)])
-    spans = F.when(F.col("body").rlike(GATE), F.sort_array(found)).otherwise(F.array().cast(SPAN))
-    df = df.select("row", "repo", "owner", spans.alias("spans")).withColumn("spans", F.transform("spans", lambda s: s.withField("value", F.sha2(s["value"], 256))))
-    return written(df.withColumn("row_id", F.monotonically_increasing_id()), "candidates")
+    found = F.concat(*[matches(F.col("body"), i, *kind[1:]) for i, kind in enumerate(KINDS)])
+    hits = F.when(F.col("body").rlike(GATE), found).otherwise(F.array().cast(f"array<{HIT}>"))
+    return written(df.select("row", "repo", "owner", hits.alias("hits")).withColumn("row_id", F.monotonically_increasing_id()), "candidates")
+
+
+def said(which: Column) -> Column:
+    """``kind:start:end`` of a document's spans, by start, then kind as listed."""
+    spans = F.sort_array(F.collect_list(F.when(which, F.struct("start", "ord", "stop"))))
+    kind = F.array(*[F.lit(k[0]) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kind, s["ord"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
 def scan_secrets(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", repo: str = "doc_id", owner: str = "source", max_repos: int = MAX_REPOS, max_owners: int = MAX_OWNERS) -> DataFrame:
     """A row for each document: ``carry``, counts by base kind, ``base_sha256``, ``spans``, and ``n_live`` and ``n_example`` candidates.
 
-    Only hashes that are copied beyond the limits form the verdict table; everything else looks live. Distinct counts are
-    partial before each shuffle, so a value that a third of all rows hold does not meet in one task.
+    Positions are running sums over a document's matches of a kind. Only hashes that are copied beyond the limits form the
+    verdict table; everything else looks live. Distinct counts are partial before each shuffle, so a value that a third of all
+    rows hold does not meet in one task; the verdict table is narrow and joined by its size.
     """
     found = candidates(docs, carry, text, repo, owner)
-    each = found.where(F.size("spans") > 0).select("row_id", "repo", "owner", F.explode("spans").alias("s")).select("row_id", "repo", "owner", "s", F.col("s.value").alias("hash"))
+    each = found.where(F.size("hits") > 0).select("row_id", "repo", "owner", F.inline("hits"))
+    upto = Window.partitionBy("row_id", "ord").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    stop = F.sum((F.col("gap") + F.col("size")).cast("long")).over(upto)
+    each = each.withColumn("stop", stop).withColumn("start", F.col("stop") - F.col("size")).where("long")
+    each = written(each.select("row_id", "repo", "owner", "ord", "start", "stop", "hash"), "spans")
     repos = each.groupBy("hash", "repo").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("repo").alias("n_repos"))
     owners = each.groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("owner").alias("n_owners"))
     copied = repos.where(F.col("n_repos") > max_repos).join(owners, "hash").where(F.col("n_owners") > max_owners)
     copied = written(copied.select("hash", F.lit(True).alias("example")), "copied")
     judged = each.join(copied, "hash", "left").withColumn("live", F.col("example").isNull())
+    base = F.col("ord") < len(BASE)
     judged = judged.groupBy("row_id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("live") | (F.col("s.ord") < len(BASE)), F.col("s")))).alias("all"),
+        *[F.count_if(F.col("ord") == i).alias(f"n_{kind[0]}") for i, kind in enumerate(BASE)],
+        said(base).alias("base"),
+        said(base | F.col("live")).alias("spans"),
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_example"),
     )
-    base = F.filter("spans", lambda s: s["ord"] < len(BASE))
-    counted = lambda i: F.size(F.filter("spans", lambda s: s["ord"] == i))
     out = found.join(judged, "row_id", "left")
+    zero = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
     return out.select(
         *[F.col("row")[c].alias(c) for c in carry],
-        *[counted(i).cast("long").alias(f"n_{kind[0]}") for i, kind in enumerate(BASE)],
-        F.sha2(joined(base), 256).alias("base_sha256"),
-        joined(F.coalesce("all", F.array().cast(SPAN))).alias("spans"),
-        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
-        F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+        *[zero(f"n_{kind[0]}") for kind in BASE],
+        F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"),
+        F.coalesce("spans", F.lit("")).alias("spans"),
+        zero("n_live"),
+        zero("n_example"),
     )
