@@ -11,7 +11,6 @@ out and isn't learned from; repeated rows are predicted each; extra columns are
 
 from __future__ import annotations
 
-import re
 import sys
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,27 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heliograph.llm.shared import map_texts
+from heliograph.llm.shared import map_texts, written
 
 #: N-grams of one to three letters in a profile, and in a document's.
 PROFILE = 300
-#: Profiles are sent to tasks: so many languages at most, checked.
-MAX_LANGS = 2000
+#: Profiles are sent to tasks, so many languages at a time.
+LANGS = 2000
 #: Distinct counts that a task holds before it passes them on, and code points read at a time.
 FLUSH = 400_000
 PIECE = 1_000_000
 UNKNOWN = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-
-
 @cache
 def letter_table() -> np.ndarray:
-    """For each code point, whether it is a letter."""
-    table = np.zeros(sys.maxunicode + 1, dtype=bool)
-    for m in _LETTERS.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
-        table[m.start() : m.end()] = True
-    return table
+    """For each code point, whether it is a letter (category L)."""
+    return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
 
 
 class Grams:
@@ -122,8 +115,8 @@ def predict(text: str | None, profiles: dict[str, dict[int, int]] | Postings, gr
     return known.nearest(ranked(count_grams(text or "", grams)))
 
 
-def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, dict[int, int]]:
-    """Rank by n-gram for each language, from all rows with a text and a language.
+def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``lang, gram, rank`` of each language's most frequent n-grams, from all rows with a text and a language; written.
 
     Tasks count, and hold a bounded number of n-grams before they pass their counts on.
     """
@@ -162,22 +155,44 @@ def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang")
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
     top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE).select("lang", "gram", "rank")
-    out: dict[str, dict[int, int]] = defaultdict(dict)
-    for row in top.limit(PROFILE * MAX_LANGS + 1).collect():
-        out[row["lang"]][row["gram"]] = row["rank"] - 1
-    if len(out) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages: profiles are too large to send to tasks")
-    return dict(out)
+    return written(top, "profiles")
+
 
+def profile_blocks(profiles: DataFrame, size: int = LANGS) -> Iterator[dict[str, dict[int, int]]]:
+    """Profiles of up to ``size`` languages at a time, in order of language: rank by n-gram."""
+    last = ""
+    while True:
+        langs = [r["lang"] for r in profiles.where(F.col("lang") > last).select("lang").distinct().orderBy("lang").limit(size).collect()]
+        if not langs:
+            return
+        block: dict[str, dict[int, int]] = defaultdict(dict)
+        for r in profiles.where((F.col("lang") > last) & (F.col("lang") <= langs[-1])).collect():
+            block[r["lang"]][r["gram"]] = r["rank"] - 1
+        yield dict(block)
+        last = langs[-1]
 
-def predict_languages(docs: DataFrame, profiles: dict[str, dict[int, int]], carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``carry``, ``lang_pred`` and ``score`` for each row; only the text is an input."""
 
-    def make():
-        grams, known = Grams(), Postings(profiles)
-        return lambda texts: [predict(t, known, grams) for t in texts]
+def predict_languages(docs: DataFrame, profiles: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text", size: int = LANGS) -> DataFrame:
+    """``carry``, ``lang_pred`` and ``score`` for each row; only the text is an input.
+
+    Each block of profiles passes over the texts once and keeps the better label; the text travels along between blocks.
+    """
 
-    return map_texts(docs, carry, text, make, {"lang_pred": pa.string(), "score": pa.float64()}, "lang_pred string, score double")
+    def made(block: dict[str, dict[int, int]]):
+        def make():
+            grams, known = Grams(), Postings(block)
+            return lambda texts: [predict(t, known, grams) for t in texts]
+
+        return make
+
+    fields, schema = {"lang_new": pa.string(), "score_new": pa.float64()}, "lang_new string, score_new double"
+    out = docs.select(*carry, F.col(text).alias("_t"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    for block in profile_blocks(profiles, size):
+        out = map_texts(out.withColumn("_again", F.col("_t")), (*carry, "_t", "lang_pred", "score"), "_again", made(block), fields, schema)
+        better = (F.col("lang_new") != UNKNOWN) & ((F.col("lang_pred") == UNKNOWN) | (F.col("score_new") > F.col("score")))
+        label, score = F.when(better, F.col("lang_new")).otherwise(F.col("lang_pred")), F.when(better, F.col("score_new")).otherwise(F.col("score"))
+        out = out.select(*carry, "_t", label.alias("lang_pred"), score.alias("score"))
+    return out.drop("_t")
 
 
 def held_out(doc_id: str = "doc_id"):
