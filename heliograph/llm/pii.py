@@ -26,9 +26,8 @@ from heliograph.llm.shared import map_texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("other", *KINDS)
-#: Documents in the training sample, those with the lowest hash of their text; tokens taken of each.
+#: Documents in the training sample, those with the lowest hash of their text.
 TRAIN_DOCS = 400
-TRAIN_TOKENS = 200
 #: Longer texts aren't drawn for training.
 TRAIN_CHARS = 50_000
 #: An added span needs this probability.
@@ -37,13 +36,12 @@ ROUNDS = 8
 FEATURES = 512
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A candidate token: a run without spaces that has a digit or an at sign, and numbers that spaces or brackets group.
-_CANDIDATE = re.compile(r"\+?\(?[0-9][0-9().-]*(?:\x20\(?[0-9][0-9().-]*)*|[^\s]*[@0-9][^\s]*")
+_CANDIDATE = re.compile(r"(\+?\(?[0-9][0-9().-]*+(?:\x20\(?[0-9][0-9().-]*+)*+|[^\s@0-9]*+[@0-9]\S*+)|\S++")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"[^0-9]+")
 
@@ -91,6 +89,8 @@ def tokens(text: str) -> list[tuple[int, int]]:
     """Candidate tokens, without punctuation around them."""
     out = []
     for m in _CANDIDATE.finditer(text):
+        if m.lastindex is None:  # the rest of a run without digit or at sign
+            continue
         a, b = m.span()
         while b > a and text[b - 1] in ".,;:!?)\"'":
             b -= 1
@@ -245,7 +245,7 @@ def fit(examples: list[tuple[list[list[int]], list[int], list[tuple[int, int]],
 
 
 def example(text: str, buckets: dict[str, int]):
-    spans = tokens(text)[:TRAIN_TOKENS]
+    spans = tokens(text)
     base = base_spans(text)
     return node_features(text, spans, buckets), label_of(spans, base), *links(text, spans)
 
