@@ -71,12 +71,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     widths = [r["width"] for r in items.select("width").distinct().collect()]  # five at most
-    narrow = written(keys.select("width", "h").distinct(), "keys")
+    narrow = keys.select("width", "h").distinct()
     hits = base.select("doc_id").where("false")
     for k in widths:
         seen = base.select("doc_id", F.explode(window_hashes(hashed(F.col("text")), k)).alias("h"))
         hits = hits.union(seen.join(narrow.where(F.col("width") == k).select("h"), "h", "left_semi").select("doc_id"))
-    hits = written(hits.distinct().withColumnRenamed("doc_id", "d"), "hit-docs")
+    hits = hits.distinct().withColumnRenamed("doc_id", "d")
     held = base.join(hits, F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", hashed(F.col("text")).alias("w"))
     held = written(held.withColumn("rid", F.monotonically_increasing_id()), "hit-words")
 
@@ -85,7 +85,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     seen = pieces[0]
     for more in pieces[1:]:
         seen = seen.union(more)
-    pairs = written(seen.join(keys, ["width", "h"]).select("rid", "width", "item_id").distinct(), "pairs")
+    pairs = seen.join(keys, ["width", "h"]).select("rid", "width", "item_id").distinct()
     lined = seen.join(pairs, ["rid", "width"]).join(starts.select("item_id", "width", "h", "n", "offset"), ["item_id", "width", "h"])
     lined = lined.select("rid", "item_id", "n", "width", (F.col("pos") - F.col("offset")).alias("start")).distinct()
     first = F.greatest(F.lit(0), F.least(F.col("start"), F.size("w") - F.col("n")))

@@ -230,9 +230,8 @@ SIMILARITY = 0.8
 #: Bits of fingerprints of shingle sets within which a pair is verified: sets at 0.8 differ in 9.7 bits in the mean, in more than
 #: this once in ten thousand pairs.
 DEDUP_RADIUS = 20
-#: Shards: so many pairs of min-hashes; two sets at 0.8 share none once in two thousand pairs. The first are tried first.
+#: Shards: so many pairs of min-hashes; two sets at 0.8 share none once in a thousand pairs.
 BANDS = 7
-FIRST_BANDS = 2
 #: Members of a shard that are compared with one another; a larger shard is cut and its rest dealt again, by so many min-hashes.
 CELL = 1024
 DEALT = 12
@@ -362,9 +361,9 @@ def near_duplicate_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *more).where("n > 1")
 
     # sets of the nodes that share a key with another
-    keyed = nodes.select("id", F.posexplode("bands").alias("band", "key"))
+    keyed = nodes.select("id", F.explode("bands").alias("key"))
     shared = written(sizes_of(keyed), "shards")
-    dealt = written(join_counted(keyed, shared, "key").select("key", "id", "band"), "dealt")
+    dealt = written(join_counted(keyed, shared, "key").select("key", "id"), "dealt")
 
     def packs():
         known = WordHashes()
@@ -379,9 +378,7 @@ def near_duplicate_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sets = map_texts(wanted, ("doc_id",), "text", packs, {"fp": pa.int64(), "s": pa.binary()}, "fp long, s binary", binary=True)
     sets = written(sets.withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "sets")
 
-    first = dealt.where(F.col("band") < FIRST_BANDS).select("key", "id")
-    rest = dealt.where(F.col("band") >= FIRST_BANDS).select("key", "id")
-    todo, edges, labels = first, None, None
+    todo, edges, labels = dealt, None, None
     while True:
         rows = todo.withColumn("label", F.col("id")) if labels is None else todo.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
         groups = sizes_of(rows, (F.min("label") < F.max("label")).alias("open")).where("open")
@@ -391,12 +388,11 @@ def near_duplicate_ids(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         found = grouped_stream(held, ["key", "cell", "cut"], ["id"], lambda k, c: cell_links(k[0], k[2], c, similarity), {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64()}, "kind int, a long, b long")
         found = written(found, "found")
         discard(groups)
-        again = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
+        todo = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("id")).distinct()
         more = found.where("kind = 0").select("a", "b")
         edges = more if edges is None else edges.union(more)
         if more.limit(1).count():
             labels = min_labels(edges).withColumnRenamed("node", "id")
-        todo, rest = (again, None) if rest is None else (again.union(rest), None)
         if todo.limit(1).count() == 0:
             break
     least = nodes.select("digest", "n", F.col("id").alias("least")) if labels is None else nodes.join(labels, "id", "left").select("digest", "n", F.coalesce("label", "id").alias("least"))

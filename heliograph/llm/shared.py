@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Rows of one key from which on joins treat it by itself.
+HOT = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,11 +54,12 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str = "n", limit: int = 100_000) -> DataFrame:
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str = "n", limit: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``table``, one row a ``key`` with ``n``, how often the key occurs in ``rows``.
 
     Keys above ``limit`` are broadcast (at most one for every ``limit`` of ``rows``), so no task gets all rows of a hot key.
     """
+    limit = limit or HOT
     hot = F.broadcast(table.where(F.col(n) > limit))
     if hot.limit(1).count() == 0:
         return rows.join(table, key)
@@ -104,17 +107,24 @@ def min_labels(edges: DataFrame) -> DataFrame:
     """
     both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = written(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"), F.count(F.lit(1)).alias("n")).withColumn("moved", F.lit(True)), "labels")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label"), F.count(F.lit(1)).alias("n")), "labels")
+    hub, crowd = (labels.agg(F.max("n")).first()[0] or 0) > HOT, False
     while True:
-        near = join_counted(both, labels.select(F.col("node").alias("b"), "label", "n"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = written(labels.join(near, "node").select("node", "n", F.col("label").alias("old"), F.least("label", "near").alias("mid")), "low")
-        sizes = low.groupBy("mid").agg(F.count(F.lit(1)).alias("times"))
-        jump = written(sizes.join(labels.select(F.col("node").alias("mid"), F.col("label").alias("far")), "mid"), "jump")
+        near = labels.select(F.col("node").alias("b"), "label", "n")
+        near = (join_counted(both, near, "b") if hub else both.join(near, "b")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = labels.join(near, "node").select("node", "n", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
+        if crowd:  # a label that very many nodes have
+            low = written(low, "low")
+            jump = written(jump.join(low.groupBy("mid").agg(F.count(F.lit(1)).alias("times")), "mid"), "jump")
+        jumped = join_counted(low, jump, "mid", "times") if crowd else low.join(jump, "mid")
         label = F.least("mid", "far")
-        step = written(join_counted(low, jump, "mid", "times").select("node", label.alias("label"), "n", (label != F.col("old")).alias("moved")), "labels")
-        discard(labels, low, jump)
+        step = written(jumped.select("node", label.alias("label"), "n", (label != F.col("old")).alias("moved")), "labels")
+        discard(labels, *([low, jump] if crowd else []))
         labels = step
-        if labels.where("moved").limit(1).count() == 0:
+        most, moved = labels.groupBy("label").agg(F.count(F.lit(1)).alias("k"), F.max("moved").alias("moved")).agg(F.max("k"), F.max("moved")).first()
+        crowd = (most or 0) > HOT
+        if not moved:
             discard(both)
             return labels.select("node", "label")
 
