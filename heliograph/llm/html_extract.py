@@ -2,7 +2,9 @@
 
 The standard library's parser streams events; each block of text is a line with a ratio of its characters to its tags. Ratios
 are smoothed with a Gaussian, split in two clusters by an iterated threshold, and the container that holds the upper cluster
-is the content; of it, menus, forms, adverts and the like are left out by element and by class words.
+is the content; of it, menus, forms, adverts and the like are left out by element and by telling class names. A name tells if
+every word of it says so or is neutral (``ad-box``, ``comment-list``): ``side-effects`` doesn't. Pages without telling
+elements and names rest on the clusters alone.
 
 Defined results: a null or empty page, or one without text, gives an empty string; unclosed elements end with their parent or the page;
 repeated rows are read each; extra columns are ignored.
@@ -11,6 +13,7 @@ repeated rows are read each; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -39,25 +42,37 @@ SKIPPED_WORDS = frozenset(
     " footer header masthead comment comments respond replies disqus cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay"
     " share sharing social related recommended widget toolbar pagination pager skip search copyright".split()
 )
+#: Words that don't change what a class name tells.
+NEUTRAL_WORDS = frozenset(
+    "area bar block bottom box btn button buttons col column container content group holder inline inner item items left link links list main outer panel"
+    " right row section site page slot text the title top unit wrap wrapper".split()
+)
 _TOKENS = re.compile(r"[a-z0-9]+")
 _WHITE = re.compile(r"\s+")
 _TAIL = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?$")
 
 
+def tells(name: str) -> bool:
+    """Whether a class name or id marks what isn't content."""
+    found = [w for w in _TOKENS.findall(name.lower()) if not w.isdigit()]
+    return any(w in SKIPPED_WORDS for w in found) and all(w in SKIPPED_WORDS or w in NEUTRAL_WORDS for w in found)
+
+
 class Page(HTMLParser):
-    """Collects blocks: text, tags inside, the container's path, and whether it is left out."""
+    """Collects blocks: text, tags inside, the element they are in, and whether they are left out."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # element, its number, left out
-        self.paths: list[tuple[int, ...]] = []
+        self.open: Counter[str] = Counter()
+        self.names: list[str] = [""]  # by number; an element's number is greater than its parent's
+        self.parents: list[int] = [0]
         self.texts: list[str] = []
         self.tags: list[int] = []
+        self.places: list[int] = []
         self.out: list[bool] = []
-        self.names: dict[int, str] = {}
         self.buffer: list[str] = []
         self.inside = 0
-        self.number = 0
 
     def end_block(self) -> None:
         if self.buffer:
@@ -66,10 +81,15 @@ class Page(HTMLParser):
             if text:
                 self.texts.append(text)
                 self.tags.append(self.inside)
-                self.paths.append(tuple(n for _, n, _ in self.stack))
+                self.places.append(self.stack[-1][1] if self.stack else 0)
                 self.out.append(bool(self.stack) and self.stack[-1][2])
         self.inside = 0
 
+    def pop(self) -> str:
+        tag = self.stack.pop()[0]
+        self.open[tag] -= 1
+        return tag
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in BLOCKS and tag not in RAW:
             self.inside += 1
@@ -81,14 +101,15 @@ class Page(HTMLParser):
         if tag in VOID:
             return
         if self.stack and (self.stack[-1][0] == "p" and tag not in RAW or self.stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-            self.stack.pop()
+            self.pop()
         above = bool(self.stack) and self.stack[-1][2]
-        out = above or tag in SKIPPED or tag == "header" and not any(x[0] in ("article", "main") for x in self.stack)
+        out = above or tag in SKIPPED or tag == "header" and not self.open["article"] and not self.open["main"]
         if not out and tag not in NEVER_SKIPPED:
-            out = any(SKIPPED_WORDS.intersection(_TOKENS.findall((v or "").lower())) for k, v in attrs if k in ("class", "id", "role"))
-        self.number += 1
-        self.names[self.number] = tag
-        self.stack.append((tag, self.number, out))
+            out = any(tells(name) for k, v in attrs if k in ("class", "id", "role") for name in (v or "").split())
+        self.names.append(tag)
+        self.parents.append(self.stack[-1][1] if self.stack else 0)
+        self.stack.append((tag, len(self.names) - 1, out))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -100,10 +121,9 @@ class Page(HTMLParser):
             self.inside += 1
             return
         self.end_block()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                return
+        if self.open[tag]:
+            while self.pop() != tag:
+                pass
 
     def handle_data(self, data: str) -> None:
         self.buffer.append(data)
@@ -150,16 +170,21 @@ def main_text(html: str | None) -> str:
     content = kept & (soft >= threshold(soft))
     if not content.any():
         content = kept
-    held: dict[int, float] = {}
+    # characters of the content in each element, from the innermost outwards
+    held = [0.0] * len(page.names)
     for i in np.flatnonzero(content):
-        for n in page.paths[i]:
-            if page.names[n] in CONTAINERS:
-                held[n] = held.get(n, 0.0) + sizes[i]
-    total = sizes[content].sum()
-    enough = [n for n, s in held.items() if s >= COVER * total]
+        held[page.places[i]] += sizes[i]
+    for n in range(len(held) - 1, 0, -1):
+        held[page.parents[n]] += held[n]
+    enough = [n for n in range(1, len(held)) if page.names[n] in CONTAINERS and held[n] >= COVER * sizes[content].sum()]
     named = [n for n in enough if page.names[n] in ("article", "main")]
     root = max(named or enough, default=0)  # the innermost: numbers grow inwards
-    return "\n".join(t for t, path, k in zip(page.texts, page.paths, kept, strict=True) if k and (not root or root in path))
+    within = [root == 0] * len(held)
+    for n in range(1, len(held)):
+        within[n] = n == root or within[page.parents[n]]
+    # without a named root, what else is in the upper cluster stays too
+    also = content & (not named)
+    return "\n".join(t for t, n, k, c in zip(page.texts, page.places, kept, also, strict=True) if k and within[n] or c)
 
 
 def extract_pages(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:

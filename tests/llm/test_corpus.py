@@ -431,3 +431,36 @@ def test_a_repeated_line_has_seeds_enough():
         line = r.integers(1, 2**63, 10).astype(np.uint64)
         sides = [np.concatenate([r.integers(1, 2**63, 30).astype(np.uint64), np.tile(line, 7)]) for _ in range(2)]
         assert len(np.intersect1d(*[passages.seeds(x)[0] for x in sides])) >= passages.MIN_SEEDS
+
+
+def test_clusters_choose_the_content_of_pages_without_telling_names(monkeypatch):
+    links = "".join(f"<li><a href=/{i}>{w}</a></li>" for i, w in enumerate(prose(60, 700).split()))
+    body = [prose(60, 701 + i) for i in range(5)]
+    page = f"<html><body><div class=x1><ul>{links}</ul></div><div class=x2><h1>{prose(6, 710)}</h1>{''.join(f'<p>{p}</p>' for p in body)}</div><div class=x3><ul>{links}</ul></div></body></html>"
+    want = "\n".join([prose(6, 710), *body])
+    assert html_extract.main_text(page) == want
+    monkeypatch.setattr(html_extract, "threshold", lambda values: float("-inf"))
+    assert html_extract.main_text(page) != want
+
+
+def test_only_whole_names_tell():
+    p = prose(40, 720)
+    for name in ("side-effects", "share-price", "search-results", "skip-count", "related-work", "menu-engineering", "notice-period"):
+        assert html_extract.main_text(f"<article><p>{p}</p><div class='{name}'><p>Take it daily.</p></div></article>") == f"{p}\nTake it daily."
+    for name in ("ad", "ad-box", "comment-list", "sidebar left", "cookie-notice"):
+        assert html_extract.main_text(f"<article><p>{p}</p><div class='{name}'><p>Take it daily.</p></div></article>") == p
+
+
+def test_unclosed_elements_cost_linear_time():
+    began = time.time()
+    assert len(html_extract.main_text("<div>word" * 20_000).split("\n")) == 20_000
+    assert html_extract.main_text("<div>" * 20_000 + "</p></ul>" * 20_000 + "word") == "word"
+    assert time.time() - began < 5
+
+
+def test_odd_pages(spark):
+    rows = [(1, "u", None, "c"), (2, None, "", "c"), (3, "u", "<p>a</p>", "c"), (3, "u", "<p>a</p>", "c"), (None, "u", "<p> b\n c &amp; d</p>", "c")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    out = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_extract.extract_pages(d).collect()), key=str)
+    assert out == sorted([(1, "u", "", 0), (2, None, "", 0), (3, "u", "a", 1), (3, "u", "a", 1), (None, "u", "b c & d", 7)], key=str)
+    assert html_extract.extract_pages(d.where("false")).count() == 0
