@@ -166,8 +166,10 @@ def main_text(html: str | None) -> str:
     kept = ~np.array(page.out)
     if not kept.any():
         return ""
-    soft = smoothed(sizes * kept / np.maximum(1, page.tags))
-    content = kept & (soft >= threshold(soft))
+    ratios = sizes * kept / np.maximum(1, page.tags)
+    soft = smoothed(ratios)
+    cut = threshold(soft)
+    content = kept & (soft >= cut)
     if not content.any():
         content = kept
     # characters of the content in each element, from the innermost outwards
@@ -182,8 +184,8 @@ def main_text(html: str | None) -> str:
     within = [root == 0] * len(held)
     for n in range(1, len(held)):
         within[n] = n == root or within[page.parents[n]]
-    # without a named root, what else is in the upper cluster stays too
-    also = content & (not named)
+    # without a named root, blocks elsewhere stay if they are in the upper cluster by themselves too
+    also = content & (ratios >= cut) & (not named)
     return "\n".join(t for t, n, k, c in zip(page.texts, page.places, kept, also, strict=True) if k and within[n] or c)
 
 
