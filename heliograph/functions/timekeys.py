@@ -19,13 +19,16 @@ def from_seconds(s: Column) -> Column:
     return F.timestamp_seconds(s).cast("timestamp_ntz")
 
 
-def with_neighbour(df: DataFrame, series: str, ts: str, values: list[str], ahead: bool = True, prefix: str = "next_") -> DataFrame:
-    """``df`` with ``prefix``+``ts`` and ``prefix``+each of ``values``: those of the next (or previous) row of its series by time."""
+def with_neighbour(df: DataFrame, series: str, ts: str, values: list[str], ahead: bool = True, prefix: str = "next_", ties: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``prefix``+``ts`` and ``prefix``+each of ``values``: those of the next (or previous) row of its series by time.
+
+    ``ties`` order rows of equal time; they come first among ``values``.
+    """
     names = [ts, *values]
     day = df.withColumn("_day", F.to_date(ts))
     row = F.struct(*[F.col(n) for n in names])
     step = F.lead if ahead else F.lag
-    inside = step(row).over(Window.partitionBy(series, "_day").orderBy(ts))
+    inside = step(row).over(Window.partitionBy(series, "_day").orderBy(ts, *ties))
     edge = (F.min if ahead else F.max)(row)
     edges = day.groupBy(series, "_day").agg(edge.alias("_edge"))
     edges = edges.withColumn("_over", step("_edge").over(Window.partitionBy(series).orderBy("_day"))).select(series, "_day", "_over")

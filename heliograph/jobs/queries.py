@@ -380,13 +380,7 @@ def e2_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH x AS (SELECT event_id, ts, event_type, lag(event_type) OVER (ORDER BY ts, event_id) AS before FROM events) SELECT event_id, event_type FROM x WHERE before IS NULL OR before <> event_type")
 def e3_drop_repeats(spark: SparkSession, d: str) -> DataFrame:
-    # equal times are told apart by the id; the row before a day comes from one row for each day
-    days = table(spark, d, "events").withColumn("_d", F.to_date("ts"))
-    ranked = days.withColumn("_p", F.expr("lag(event_type) OVER (PARTITION BY _d ORDER BY ts, event_id)"))
-    edge = days.groupBy("_d").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("last"))
-    edge = edge.select("_d", F.expr("lag(last.event_type) OVER (ORDER BY _d)").alias("_o"))
-    out = ranked.join(edge, "_d").withColumn("_p", F.coalesce("_p", "_o"))
-    return out.where(F.col("_p").isNull() | (F.col("_p") != F.col("event_type"))).select("event_id", "event_type")
+    return clean.drop_repeats(table(spark, d, "events"), "event_type", ties=("event_id",)).select("event_id", "event_type")
 
 
 @query(f"WITH RECURSIVE {_R}, c AS (SELECT sensor_id AS camera_id, epoch(ts)::BIGINT AS s, row_number() OVER (PARTITION BY sensor_id ORDER BY ts) AS i FROM r), w AS (SELECT camera_id, i, s, s AS last, false AS kept FROM c WHERE i = 1 UNION ALL SELECT c.camera_id, c.i, c.s, CASE WHEN c.s - w.last > 7199 THEN c.s ELSE w.last END, c.s - w.last > 7199 FROM w JOIN c ON c.camera_id = w.camera_id AND c.i = w.i + 1) SELECT camera_id, make_timestamp(s * 1000000) AS ts FROM w WHERE kept")
@@ -483,7 +477,7 @@ def g6_view_slices(spark: SparkSession, d: str) -> DataFrame:
     return views.view_slices(m, 16, 5, 3, 224).select("doc_id", "chunk", "crop", "frame0", "pixel0", "axis")
 
 
-@query()
+@query(f"WITH {_MAN}, x AS (SELECT doc_id, total AS n, 1 + ('0x' || substr(md5('7-' || path), 1, 8))::BIGINT % greatest(total - 31, 1) AS s FROM man WHERE total > 0), y AS (SELECT doc_id, (s + 2 * least(k, greatest(floor((n - s - 1) / 2), 0)))::INT AS i FROM x, range(16) r(k)) SELECT doc_id, sum(i)::BIGINT AS total, min(i) AS first, max(i) AS last FROM y GROUP BY 1")
 def g5_pretrain_clip(spark: SparkSession, d: str) -> DataFrame:
     return _summed(manifest(spark, d).where("total > 0"), views.pretrain_clip(F.col("total"), F.col("path"), 16, 2, 7))
 

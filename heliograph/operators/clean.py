@@ -79,10 +79,10 @@ def clock_time(ts: Column) -> Column:
     return seconds(ts) % 86400
 
 
-def drop_repeats(df: DataFrame, content: str, series: str | None = None, ts: str = "ts") -> DataFrame:
-    """Rows whose content differs from the row just before in time; of a run only the first stays."""
+def drop_repeats(df: DataFrame, content: str, series: str | None = None, ts: str = "ts", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose content differs from the row just before in time (equal times by ``ties``); of a run only the first stays."""
     own = df.withColumn("_s", F.lit(0) if series is None else F.col(series)).withColumn("_h", F.sha2(F.col(content).cast("string"), 256))
-    near = with_neighbour(own, "_s", ts, ["_h"], ahead=False, prefix="_b")
+    near = with_neighbour(own, "_s", ts, [*ties, "_h"], ahead=False, prefix="_b", ties=ties)
     return near.where(F.col("_b_h").isNull() | (F.col("_b_h") != F.col("_h"))).select(*df.columns)
 
 

@@ -107,11 +107,14 @@ def sparse_test(total: Column, segments: int, views: int) -> Column:
 
 
 def pretrain_clip(total: Column, key: Column, length: int, step: int, seed: int) -> Column:
-    """A seeded start and ``length`` frame numbers from 1, ``step`` apart; near the end the offset stays."""
+    """A seeded start (md5 of seed and key) and ``length`` frame numbers from 1, ``step`` apart; the offset grows only while it
+    stays below ``total``, then it is repeated."""
     n = total.cast("int")
     room = F.greatest(n - (length * step - 1), F.lit(1))
-    start = F.pmod(F.xxhash64(F.lit(seed), key), room).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: F.greatest(F.lit(1), F.least(start + i * step + 1, n)))
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string"))), 1, 8), 16, 10).cast("long")
+    start = (draw % room).cast("int") + 1
+    most = F.greatest(F.floor((n - start - 1) / step), F.lit(0)).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: start + step * F.least(i, most))
 
 
 def view_slices(df: DataFrame, length: int, n_chunk: int, n_crop: int, short: int) -> DataFrame:

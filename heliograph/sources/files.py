@@ -9,9 +9,25 @@ MANIFESTS = {"video": ("path string, label int", 2), "frames": ("path string, to
 
 
 def read_pv_csv(spark: SparkSession, paths: str | list[str], value_col: str, time_col: str = "Date") -> DataFrame:
-    """All files as one table ``ts, kw``; columns are found by name in each file, so headers may differ. Bad times are null."""
-    df = spark.read.option("header", True).option("enforceSchema", False).schema(f"`{time_col}` string, `{value_col}` double").csv(paths)
-    return df.select(F.try_to_timestamp(time_col, F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz").alias("ts"), F.col(value_col).alias("kw"))
+    """All files as one table ``ts, kw``; both columns are found by name in each file, whatever else it has and in any order.
+
+    Files of one header are read together. Bad times and values are null; a file without a header is an error.
+    """
+    lines = spark.read.text(paths)
+    heads = lines.select(F.col("_metadata.file_path").alias("file"), "value").where(F.contains("value", F.lit(time_col)) & F.contains("value", F.lit(value_col)))
+    files: dict[str, list[str]] = {}
+    for r in heads.groupBy("file").agg(F.max("value").alias("head")).collect():  # one row a file
+        files.setdefault(r["head"], []).append(r["file"])
+    if sum(map(len, files.values())) < len(lines.inputFiles()):
+        raise ValueError(f"files without the columns {time_col} and {value_col}")
+    out = None
+    for head, of in sorted(files.items()):
+        names = [c.strip().strip('"') for c in head.lstrip("\ufeff").split(",")]
+        names = [c if c in (time_col, value_col) else f"_c{i}" for i, c in enumerate(names)]
+        df = spark.read.option("header", True).schema(", ".join(f"`{c}` string" for c in names)).csv(of)
+        df = df.select(F.try_to_timestamp(time_col, F.lit("yyyy-MM-dd'T'HH:mm:ss")).cast("timestamp_ntz").alias("ts"), F.col(value_col).try_cast("double").alias("kw"))
+        out = df if out is None else out.union(df)
+    return out
 
 
 def write_series(df: DataFrame, path: str) -> None:

@@ -5,8 +5,9 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from heliograph.operators import pixels
+from heliograph.operators import pixels, views
 from heliograph.sources import files
 from heliograph.streaming import live
 
@@ -43,6 +44,14 @@ def test_csv_of_different_headers_and_series_round_trip(spark, tmp_path):
     (tmp_path / "csv/a.csv").write_text("Date,kw\n2017-03-10T08:34:00,1.5\nbad,2\n")
     df = files.read_pv_csv(spark, str(tmp_path / "csv"), "kw")
     assert sorted((r.ts, r.kw) for r in df.where("ts is not null").collect()) == [(dt.datetime(2017, 3, 10, 8, 34), 1.5)]
+    (tmp_path / "csv/b.csv").write_text("Date,other,kw\n2017-03-11T08:34:00,7,2.5\n")
+    (tmp_path / "csv/c.csv").write_text("kw,Date\n3.5,2017-03-12T08:34:00\nx,2017-03-13T08:34:00\n")
+    both = files.read_pv_csv(spark, str(tmp_path / "csv"), "kw")
+    assert sorted((r.ts.day, r.kw) for r in both.where("ts is not null").collect() if r.kw) == [(10, 1.5), (11, 2.5), (12, 3.5)]
+    (tmp_path / "csv/d.csv").write_text("1,2\n")
+    with pytest.raises(ValueError):
+        files.read_pv_csv(spark, str(tmp_path / "csv"), "kw")
+    (tmp_path / "csv/d.csv").unlink()
     files.write_series(df.where("ts is not null"), str(tmp_path / "out"))
     assert files.read_series(spark, str(tmp_path / "out")).first().kw == 1.5
 
@@ -81,3 +90,15 @@ def test_stream_in_two_steps_equals_batch(spark, tmp_path):
         q = live.stream_readings(spark, src).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert sorted((r.sensor_id, r.ts.second, r.kw) for r in spark.read.parquet(out).collect()) == [("a", 1, 1.0), ("a", 3, 2.0), ("a", 12, 3.0), ("b", 2, 4.0)]
+
+
+def test_the_offset_of_a_pretraining_clip_stops_below_the_end(spark):
+    df = spark.createDataFrame([("a", 20), ("b", 1), ("c", 2), ("d", 100)], "path string, total int")
+    got = {r.path: r.i for r in df.select("path", views.pretrain_clip(F.col("total"), F.col("path"), 16, 2, 7).alias("i")).collect()}
+    assert got["a"] == [1, 3, 5, 7, 9, 11, 13, 15, 17, 19, 19, 19, 19, 19, 19, 19] and got["b"] == [1] * 16 and got["c"] == [1] * 16
+    for path, n in (("a", 20), ("d", 100)):
+        at, want = got[path][0], []
+        for _ in range(16):
+            want.append(at)
+            at += 2 if at + 2 < n else 0
+        assert got[path] == want
