@@ -25,7 +25,7 @@ SHARE = 1.5
 MOST = 2.0
 BLOCK = 50
 #: Words in a shard, on average; a document counts at least DOC_WORDS, so that shards of empty documents are bounded as well.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 250_000
 DOC_WORDS = 16
 FANOUT = 1024
 SEED = 20
