@@ -36,13 +36,15 @@ def with_neighbour(df: DataFrame, series: str, ts: str, values: list[str], ahead
     return out.select(*df.columns, *[F.col("_n")[n].alias(prefix + n) for n in names])
 
 
-def with_position(df: DataFrame, block: str, block_order: list[Column], inside: list[Column], name: str = "pos") -> DataFrame:
-    """``df`` with its 0-based position when blocks (such as days) follow ``block_order`` and rows ``inside`` within a block.
+def with_position(df: DataFrame, block: str, block_order: list[Column], inside: list[Column], name: str = "pos", series: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with its 0-based position (in its ``series``) when blocks (such as days) follow ``block_order`` and rows ``inside``
+    within a block.
 
     Blocks are counted, their counts summed up in order over one row a block, and rows numbered within their block.
     """
-    sizes = df.groupBy(block).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy(*block_order).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(block, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(block).orderBy(*inside)))
-    return ranked.join(sizes, block).withColumn(name, (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_before", "_r")
+    keys = [*series, block]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*series).orderBy(*block_order).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*inside)))
+    return ranked.join(sizes, keys).withColumn(name, (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_before", "_r")

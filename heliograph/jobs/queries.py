@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.functions.timekeys import from_seconds
+from heliograph.functions.timekeys import from_seconds, with_neighbour, with_position
 from heliograph.operators import clean, pixels, samples, scoring, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,6 +174,14 @@ def b9_pending(spark: SparkSession, d: str) -> DataFrame:
     return samples.pending(f, f.where("ts < timestamp_ntz'2024-01-20 00:00:00'"))
 
 
+@query(f"WITH {_F} SELECT * FROM f WHERE ts::DATE BETWEEN '2024-01-05' AND '2024-01-20' AND ts NOT IN (SELECT ts FROM f WHERE camera_id = (SELECT min(camera_id) FROM f))")
+def b9_backlog(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of a range of days at times for which the first camera has none."""
+    f = frames(spark, d)
+    first = f.agg(F.min("camera_id").alias("camera_id"))
+    return samples.without_output(samples.in_days(f, "2024-01-05", "2024-01-20"), f.join(F.broadcast(first), "camera_id"), "ts").select("camera_id", "ts")
+
+
 _STACK = _H + ", " + _F + ", pr AS (SELECT camera_id, f.ts, kw FROM f JOIN h ON h.sensor_id = camera_id AND h.ts = f.ts), st AS (SELECT a.camera_id, a.ts, list(b.kw ORDER BY j) AS pv_log FROM pr a, range(4) x(j), pr b WHERE b.camera_id = a.camera_id AND b.ts = a.ts - to_hours(j) GROUP BY 1, 2 HAVING count(*) = 4)"
 
 
@@ -181,13 +189,13 @@ _STACK = _H + ", " + _F + ", pr AS (SELECT camera_id, f.ts, kw FROM f JOIN h ON
 def b10_find_ramps(spark: SparkSession, d: str) -> DataFrame:
     h = hourly(spark, d)
     s = samples.add_horizon(samples.lag_stack(frames(spark, d), h, 4, 3600), h, [3600])
-    s = s.withColumn("pos", F.expr("row_number() OVER (PARTITION BY camera_id ORDER BY ts)") - 1)
+    s = with_position(s.withColumn("day", F.to_date("ts")), "day", [F.col("day")], [F.col("ts")], series=("camera_id",))
     return samples.find_ramps(s, 5, 4.0).select("camera_id", "ts", F.round(F.element_at("pv_log", -1), 6).alias("oldest"), F.round("pv_pred", 6).alias("pv_pred"))
 
 
 @query("SELECT vec_id, label, round(embedding[len(embedding)]::DOUBLE, 6) AS last FROM embeddings WHERE label < 5")
 def b11_last_step(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").where("label < 5").select("vec_id", "label", F.round(F.element_at("embedding", -1).cast("double"), 6).alias("last"))
+    return table(spark, d, "embeddings").where("label < 5").select("vec_id", "label", F.round(scoring.last_step(F.col("embedding")).cast("double"), 6).alias("last"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: greatest(-0.5, least(0.5, v::DOUBLE)) + 0.5)), 4) AS total FROM embeddings")
@@ -308,7 +316,7 @@ def d8_scaling_study(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_SC} SELECT sample_id % 3 AS source, year(day) AS test_set, round(sqrt(avg((pred - obs) ** 2)), 3) AS rmse, round(avg(crps), 3) AS crps, round(avg(winkler), 3) AS winkler FROM sc GROUP BY GROUPING SETS ((sample_id % 3, year(day)), (sample_id % 3))")
 def d9_score_report(spark: SparkSession, d: str) -> DataFrame:
     s = scoring.score_samples(members(spark, d), truth(spark, d)).withColumn("source", F.col("sample_id") % 3).withColumn("test_set", F.year("day").cast("long"))
-    return s.groupingSets([["source", "test_set"], ["source"]], "source", "test_set").agg(F.round(scoring.rmse("pred", "obs"), 3).alias("rmse"), F.round(F.avg("crps"), 3).alias("crps"), F.round(F.avg("winkler"), 3).alias("winkler"))
+    return scoring.score_report(s, "source", "test_set").withColumns({c: F.round(c, 3) for c in ("rmse", "crps", "winkler")})
 
 
 @query(f"WITH {_H}, p AS (SELECT a.kw AS now, b.kw AS obs, (a.kw + z.kw) / 2 AS pred FROM h a JOIN h b ON b.sensor_id = a.sensor_id AND b.ts = a.ts + INTERVAL 1 HOUR JOIN h z ON z.sensor_id = a.sensor_id AND z.ts = a.ts - INTERVAL 1 HOUR), s AS (SELECT sqrt(avg((pred - obs) ** 2)) AS rmse, sqrt(avg((now - obs) ** 2)) AS per FROM p) SELECT round(rmse, 6) AS rmse, round(per, 6) AS persistence_rmse, round((1 - rmse / per) * 100, 4) AS skill FROM s")
@@ -325,6 +333,13 @@ def d11_density_hist(spark: SparkSession, d: str) -> DataFrame:
     out = samples.density_hist(samples.split_by_days(hourly(spark, d), DAYS), "kw", "split", 20)
     return out.withColumn("density", F.round("density", 6))
 
+
+@query(f"WITH {_H} SELECT sensor_id, ts, m::INT AS model_id, s::INT AS sampling, round(kw * (m + 1) + 0.5 * s, 6) AS pred FROM h, range(3) a(m), range(4) b(s)")
+def c8_score(spark: SparkSession, d: str) -> DataFrame:
+    out = scoring.score(hourly(spark, d), [1.0, 2.0, 3.0], 4, lambda model, sampling, batch: batch["kw"] * model + 0.5 * sampling)
+    return out.select("sensor_id", "ts", "model_id", "sampling", F.round("pred", 6).alias("pred"))
+
+
 _LOG = "SELECT l_suppkey AS run, l_returnflag AS metric, l_quantity::DOUBLE AS value, l_linenumber AS n, l_orderkey, l_partkey, l_extendedprice FROM lineitem"
 
 
@@ -340,13 +355,15 @@ def d12_merge_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 def merged(spark: SparkSession, d: str, method: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    rows = e.select((F.col("vec_id") % 50).alias("clip"), (F.floor(F.col("vec_id") / 50) % 5).alias("chunk"), (F.col("vec_id") % 2).alias("crop"), "label", F.slice("embedding", 1, 10).cast("array<double>").alias("logits"), "vec_id")
-    return views.merge_views(rows, ["vec_id"], method)
+    rows = e.select(F.floor(F.col("vec_id") / 10).alias("clip"), (F.floor(F.col("vec_id") / 2) % 5).alias("chunk"), (F.col("vec_id") % 2).alias("crop"), "label", F.col("embedding").cast("array<double>").alias("logits"), F.lit(0).alias("again"))
+    repeated = rows.where(F.col("clip") % 7 == 0).withColumn("logits", F.reverse("logits")).withColumn("again", F.lit(1))
+    return views.merge_views(rows.unionByName(repeated), ["again"], method)
 
 
-_MV = """e AS (SELECT vec_id % 50 AS clip, (vec_id // 50) % 5 AS chunk, vec_id % 2 AS crop, label, list_transform(embedding[1:10], lambda v: v::DOUBLE) AS x, vec_id FROM embeddings),
-one AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY clip, chunk, crop ORDER BY vec_id) = 1),
-l AS (SELECT clip, label, unnest(x) AS v, unnest(range(10)) AS k, vec_id FROM one),
+_MV = """e AS (SELECT vec_id // 10 AS clip, (vec_id // 2) % 5 AS chunk, vec_id % 2 AS crop, label, list_transform(embedding, lambda v: v::DOUBLE) AS x, vec_id, 0 AS again FROM embeddings),
+e2 AS (SELECT * FROM e UNION ALL SELECT clip, chunk, crop, label, list_reverse(x), vec_id, 1 FROM e WHERE clip % 7 = 0),
+one AS (SELECT * FROM e2 QUALIFY row_number() OVER (PARTITION BY clip, chunk, crop ORDER BY again) = 1),
+l AS (SELECT clip, label, unnest(x) AS v, unnest(range(len(x))) AS k, vec_id FROM one),
 z AS (SELECT clip, vec_id, k, exp(v - max(v) OVER w) / 1.0 AS ev FROM l WINDOW w AS (PARTITION BY vec_id)),
 s AS (SELECT clip, k, ev / sum(ev) OVER (PARTITION BY vec_id) AS p FROM z),
 mg AS (SELECT clip, k, avg(p) AS p FROM s GROUP BY 1, 2), lab AS (SELECT clip, min(label) AS label FROM one GROUP BY 1)"""
@@ -365,7 +382,7 @@ def d14_topk_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_F} SELECT camera_id, CASE WHEN ts::DATE::VARCHAR IN ({_DAYS_SQL}) AND ts <> ts::DATE THEN 'test' ELSE 'trainval' END AS split, count(*) AS n FROM f GROUP BY 1, 2")
 def d15_split_counts(spark: SparkSession, d: str) -> DataFrame:
-    return samples.split_by_days(frames(spark, d), DAYS).groupBy("camera_id", "split").agg(F.count(F.lit(1)).alias("n"))
+    return samples.split_counts(samples.split_by_days(frames(spark, d), DAYS), ["camera_id"])
 
 
 @query(f"WITH {_G} SELECT sensor_id, ts, round(kw + 1e-9, 6) AS kw FROM grid")
@@ -389,6 +406,12 @@ def e4_thin(spark: SparkSession, d: str) -> DataFrame:
     return samples.thin(r, r.groupBy("camera_id").agg(F.min("ts").alias("ts")), 7199)
 
 
+@query(f"WITH {_H}, x AS (SELECT sensor_id, ts::DATE AS day, kw, row_number() OVER (PARTITION BY sensor_id, ts::DATE ORDER BY ts) AS i FROM h) SELECT sensor_id, day, count(*) AS n, round(sum(i * kw), 4) AS weighted FROM x GROUP BY 1, 2")
+def e5_day_series(spark: SparkSession, d: str) -> DataFrame:
+    s = clean.day_series(hourly(spark, d)).select("sensor_id", "day", F.posexplode("series").alias("i", "x"))
+    return s.groupBy("sensor_id", "day").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum((F.col("i") + 1) * F.col("x.kw")), 4).alias("weighted"))
+
+
 @query(f"WITH {_H}, x AS (SELECT sensor_id, ts, kw, ts::DATE AS day FROM h UNION ALL SELECT sensor_id, ts, kw, ts::DATE - 1 FROM h WHERE ts = ts::DATE) SELECT sensor_id, day, count(*) AS n, round(arg_min(kw, ts), 6) AS first_kw, round(arg_max(kw, ts), 6) AS last_kw FROM x GROUP BY 1, 2")
 def e5_daily_profile(spark: SparkSession, d: str) -> DataFrame:
     out = clean.daily_profile(hourly(spark, d), True)
@@ -397,7 +420,7 @@ def e5_daily_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH l AS ({_LOG}), o AS (SELECT run, l_orderkey, n, l_partkey, value, list(value) OVER w AS x, avg(value) OVER w AS mean_n, avg(value) OVER (PARTITION BY run ORDER BY l_orderkey, n, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS mean_all FROM l WINDOW w AS (PARTITION BY run ORDER BY l_orderkey, n, l_partkey, l_extendedprice ROWS 19 PRECEDING)) SELECT run, l_orderkey, n, l_partkey, value, round(mean_n, 6) AS mean_n, round(mean_all, 6) AS mean_all, list_sort(x)[(len(x) + 1) // 2] AS median_n, list_min(x) AS min_n, list_max(x) AS max_n FROM o")
 def e6_rolling_meter(spark: SparkSession, d: str) -> DataFrame:
-    out = clean.rolling_meter(metric_log(spark, d), "run", ["l_orderkey", "n", "l_partkey", "l_extendedprice"], "value")
+    out = clean.rolling_meter(metric_log(spark, d), "run", ["l_orderkey", "n", "l_partkey", "l_extendedprice"], "value", F.floor(F.col("l_orderkey") / 1024))
     return out.select("run", "l_orderkey", "n", "l_partkey", "value", F.round("mean_n", 6).alias("mean_n"), F.round("mean_all", 6).alias("mean_all"), "median_n", "min_n", "max_n")
 
 
@@ -406,11 +429,12 @@ def e7_sliding_windows(spark: SparkSession, d: str) -> DataFrame:
     return manifest(spark, d).select("doc_id", F.explode(views.sliding_windows(F.col("total"), 16, 4)).alias("start"))
 
 
-@query("SELECT label, count(*) AS n, round(first(embedding[1] ORDER BY vec_id)::DOUBLE, 6) AS head, round(last(embedding[1] ORDER BY vec_id)::DOUBLE, 6) AS tail FROM embeddings GROUP BY 1")
+@query("SELECT vec_id // 64 AS video, count(*) AS n, round(first(embedding[1] ORDER BY vec_id)::DOUBLE, 6) AS head, round(last(embedding[1] ORDER BY vec_id)::DOUBLE, 6) AS tail FROM embeddings GROUP BY 1")
 def e8_stack_features(spark: SparkSession, d: str) -> DataFrame:
-    s = views.stack_features(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
+    e = table(spark, d, "embeddings").withColumn("video", F.floor(F.col("vec_id") / 64))
+    s = views.stack_features(e, "video", "vec_id", "embedding")
     head = lambda i: F.round(F.element_at(F.element_at("features", i), 1).cast("double"), 6)
-    return s.select("label", F.size("features").cast("long").alias("n"), head(1).alias("head"), head(-1).alias("tail"))
+    return s.select("video", F.size("features").cast("long").alias("n"), head(1).alias("head"), head(-1).alias("tail"))
 
 
 @query(f"WITH {_R} SELECT sensor_id, ts, (epoch(ts)::BIGINT % 86400) AS clock FROM r")
@@ -431,14 +455,13 @@ def f5_topk_classes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_F} SELECT DISTINCT ts::DATE AS day FROM f WHERE ts::DATE::VARCHAR NOT IN ({_DAYS_SQL})")
 def f6_complement_days(spark: SparkSession, d: str) -> DataFrame:
-    days = frames(spark, d).select(F.to_date("ts").alias("day")).distinct()
     listed = spark.createDataFrame([(x,) for x in DAYS], "day string").select(F.to_date("day").alias("day"))
-    return days.join(listed, "day", "left_anti")
+    return samples.complement(samples.distinct_days(frames(spark, d)), listed)
 
 
 @query(f"WITH {_F} SELECT camera_id, max(ts) AS ts FROM f GROUP BY 1")
 def f7_latest_frame(spark: SparkSession, d: str) -> DataFrame:
-    return frames(spark, d).groupBy("camera_id").agg(F.max("ts").alias("ts"))
+    return samples.latest_frame(frames(spark, d))
 
 
 @query(f"WITH {_V}, g AS (SELECT *, (epoch(start_ts)::BIGINT // 10 + 1) * 10 AS a, epoch(start_ts)::BIGINT AS s, epoch(end_ts)::BIGINT AS e FROM v) SELECT video, make_timestamp(t * 1000000) AS shot_ts, (t - s) * 1000 AS offset_ms FROM (SELECT *, unnest(range(a, e + 1, 60)) AS t FROM g)")
@@ -461,6 +484,18 @@ def g2_dense_clip(spark: SparkSession, d: str) -> DataFrame:
     return _summed(manifest(spark, d), views.dense_clip(F.col("total"), 16, 4))
 
 
+@query(f"""WITH {_MAN}, x AS (SELECT doc_id, total // 2 AS n, i, k, (total // 2) // 4 AS many, 64 + ('0x' || substr(md5('5-' || path || '-' || i), 1, 8))::BIGINT % greatest(total // 2 - 64, 1) AS e FROM man, range(2) s(i), range(16) r(k)),
+y AS (SELECT doc_id, i * n + CASE WHEN n <= 64 THEN trunc(greatest(0, least(CASE WHEN k < many THEN CASE WHEN many > 1 THEN k * n / (many - 1) ELSE 0 END ELSE n END, n - 1))) ELSE trunc(least((e - 64) + k * 64 / 15, e - 1)) END::INT AS i FROM x)
+SELECT doc_id, sum(i)::BIGINT AS total, min(i) AS first, max(i) AS last FROM y GROUP BY 1""")
+def g2_dense_train(spark: SparkSession, d: str) -> DataFrame:
+    return _summed(manifest(spark, d), views.dense_train(F.col("total"), F.col("path"), 16, 4, 2, 5))
+
+
+@query(f"WITH {_MAN}, y AS (SELECT doc_id, floor(s * (total / 8) / 3 + (total / 8) * x)::INT AS i FROM man, range(3) a(s), range(8) b(x)) SELECT doc_id, sum(i)::BIGINT AS total, min(i) AS first, max(i) AS last FROM y GROUP BY 1")
+def g4_sparse_test(spark: SparkSession, d: str) -> DataFrame:
+    return _summed(manifest(spark, d), views.sparse_test(F.col("total"), 8, 3))
+
+
 @query(f"WITH {_MAN}, x AS (SELECT doc_id, total AS n, range(0, total, 4) AS r FROM man WHERE total > 0), y AS (SELECT doc_id, unnest(CASE WHEN len(r) < 16 THEN list_concat(r, list_transform(range(16 - len(r)), lambda q: r[len(r)])) ELSE r END)::INT AS i FROM x) SELECT doc_id, sum(i)::BIGINT AS total, min(i) AS first, max(i) AS last FROM y GROUP BY 1")
 def g3_dense_test(spark: SparkSession, d: str) -> DataFrame:
     return _summed(manifest(spark, d).where("total > 0"), views.dense_test(F.col("total"), 16, 4))
@@ -504,8 +539,9 @@ def p4_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_PX}, n AS (SELECT vec_id, lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) SELECT n.vec_id, round(sum(abs(a.v - b.v)), 4) AS delta FROM n JOIN l a ON a.vec_id = n.vec_id JOIN l b ON b.vec_id = n.p AND b.k = a.k GROUP BY 1")
 def p5_frame_delta(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").withColumn("p", F.expr("lag(embedding) OVER (PARTITION BY label ORDER BY vec_id)")).where("p is not null")
-    return e.select("vec_id", F.round(pixels.delta(F.col("embedding").cast("array<double>"), F.col("p").cast("array<double>")), 4).alias("delta"))
+    e = table(spark, d, "embeddings").withColumn("ts", from_seconds(F.col("vec_id") * 60))
+    e = with_neighbour(e, "label", "ts", ["embedding"], ahead=False, prefix="last_").where("last_embedding is not null")
+    return e.select("vec_id", F.round(pixels.delta(F.col("embedding").cast("array<double>"), F.col("last_embedding").cast("array<double>")), 4).alias("delta"))
 
 
 @query("WITH r AS (SELECT vec_id, k, row_number() OVER (PARTITION BY vec_id ORDER BY md5('3-' || vec_id || '-' || k), k) AS rn FROM embeddings, range(16) x(k)) SELECT vec_id, sum(CASE WHEN rn <= 12 THEN 2 * k ELSE 0 END)::BIGINT AS weighted, 24::BIGINT AS ones FROM r GROUP BY 1")
@@ -514,6 +550,20 @@ def p7_tube_mask(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("vec_id").agg(F.sum(F.col("v") * (F.col("i") % 16)).alias("weighted"), F.sum("v").cast("long").alias("ones"))
 
 
+@query("WITH r AS (SELECT vec_id, k, row_number() OVER (PARTITION BY vec_id ORDER BY md5('3-' || vec_id || '-' || k), k) AS rn FROM embeddings, range(32) x(k)) SELECT vec_id, sum(CASE WHEN rn <= 24 THEN k ELSE 0 END)::BIGINT AS weighted, 24::BIGINT AS ones FROM r GROUP BY 1")
+def p7_random_mask(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "embeddings").select("vec_id", F.posexplode(pixels.random_mask(F.col("vec_id"), 2, 16, 0.75, 3)).alias("i", "v"))
+    return m.groupBy("vec_id").agg(F.sum(F.col("v") * F.col("i")).cast("long").alias("weighted"), F.sum("v").cast("long").alias("ones"))
+
+
+@query("WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings), y AS (SELECT vec_id, v, ((i % 16) // 4) // 2 * 2 + (i % 4) // 2 AS patch, i // 32 AS t FROM x), s AS (SELECT vec_id, v, patch, t, avg(v) OVER w AS a, stddev_samp(v) OVER w AS sd FROM y WINDOW w AS (PARTITION BY vec_id, patch, t)) SELECT vec_id, (t * 4 + patch)::INT AS patch, round(max((v - a) / (sd + 1e-6)) + 1e-9, 5) AS most, count(*) AS n FROM s GROUP BY 1, 2")
+def p9_patch_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of 64 as clips of 4 frames of 4 x 4 pixels, in patches of 2 x 2 x 2."""
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("clip"))
+    t = pixels.with_patch_targets(e, (4, 4, 4, 1), 2).select("vec_id", F.posexplode("targets").alias("patch", "x"))
+    return t.select("vec_id", "patch", F.round(F.array_max("x") + 1e-9, 5).alias("most"), F.size("x").cast("long").alias("n"))
+
+
 @query("SELECT vec_id, sum(CASE WHEN (2 * ((k // 4) % 4 % 2) + k % 4 % 2 + vec_id % 4 + k // 16 + 1) % 4 < 2 THEN k ELSE 0 END)::BIGINT AS weighted, count(*) FILTER ((2 * ((k // 4) % 4 % 2) + k % 4 % 2 + vec_id % 4 + k // 16 + 1) % 4 < 2) AS ones FROM embeddings, range(64) x(k) GROUP BY 1")
 def p8_running_cell_mask(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "embeddings").select("vec_id", F.posexplode(pixels.running_cell_mask(F.col("vec_id") % 4, 4, 4, 4, 0.5)).alias("i", "v"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heliograph.functions.timekeys import from_seconds, seconds, with_neighbour
+from heliograph.functions.timekeys import from_seconds, seconds, with_neighbour, with_position
 
 
 def to_readings(df: DataFrame, sensor: str, time: str, value: str) -> DataFrame:
@@ -68,12 +68,22 @@ def interpolate_grid(readings: DataFrame, every: int) -> DataFrame:
 
 def daily_profile(df: DataFrame, closed: bool) -> DataFrame:
     """``sensor_id, day, n, first_kw, last_kw``; closed days also hold the midnight that ends them."""
-    day = F.to_date("ts")
-    days = F.when((F.col("ts") == day.cast("timestamp_ntz")), F.array(day, F.date_sub(day, 1))).otherwise(F.array(day)) if closed else F.array(day)
-    wide = df.select("sensor_id", "ts", "kw", F.explode(days).alias("day"))
+    wide = df.select("sensor_id", "ts", "kw", F.explode(_days(closed)).alias("day"))
     return wide.groupBy("sensor_id", "day").agg(F.count(F.lit(1)).alias("n"), F.min_by("kw", "ts").alias("first_kw"), F.max_by("kw", "ts").alias("last_kw"))
 
 
+def day_series(df: DataFrame, closed: bool = False) -> DataFrame:
+    """``sensor_id, day, series``: the readings of a day in time order as an array of ``ts, kw``; closed days also hold the
+    midnight that ends them. A day's grid bounds the array."""
+    wide = df.select("sensor_id", "ts", "kw", F.explode(_days(closed)).alias("day"))
+    return wide.groupBy("sensor_id", "day").agg(F.array_sort(F.collect_list(F.struct("ts", "kw"))).alias("series"))
+
+
+def _days(closed: bool) -> Column:
+    day = F.to_date("ts")
+    return F.when(F.col("ts") == day.cast("timestamp_ntz"), F.array(day, F.date_sub(day, 1))).otherwise(F.array(day)) if closed else F.array(day)
+
+
 def clock_time(ts: Column) -> Column:
     """Seconds of the day."""
     return seconds(ts) % 86400
@@ -86,10 +96,28 @@ def drop_repeats(df: DataFrame, content: str, series: str | None = None, ts: str
     return near.where(F.col("_b_h").isNull() | (F.col("_b_h") != F.col("_h"))).select(*df.columns)
 
 
-def rolling_meter(df: DataFrame, series: str, order: list[str], value: str, n: int = 20) -> DataFrame:
-    """Window mean, lower median, least, greatest, latest of the last ``n``, and the mean so far."""
-    key = Window.partitionBy(series).orderBy(*order)
-    last = key.rowsBetween(-(n - 1), 0)
+def rolling_meter(df: DataFrame, series: str, order: list[str], value: str, block: Column, n: int = 20, size: int = 4096) -> DataFrame:
+    """Window mean, lower median, least, greatest, latest of the last ``n``, and the mean so far; nulls are left out.
+
+    ``block`` never falls along ``order`` and holds a bounded number of rows (a day, a range of steps); it serves to number the
+    rows of a series. Rows are then windowed in buckets of ``size`` of these numbers: the last ``n - 1`` rows of a bucket go to
+    the next one as well, and sums up to a bucket come from one row a bucket.
+    """
+    size = max(size, n)
+    pos = with_position(df.withColumn("_block", block), "_block", [F.col("_block")], [F.col(c) for c in order], "_pos", (series,))
+    own = pos.drop("_block").withColumn("_own", F.floor(F.col("_pos") / size))
+    sent = own.withColumn("_to", F.explode(F.array_distinct(F.array("_own", F.floor((F.col("_pos") + (n - 1)) / size)))))
+    last = Window.partitionBy(series, "_to").orderBy("_pos").rowsBetween(-(n - 1), 0)
     held = F.array_sort(F.collect_list(value).over(last))
-    out = df.withColumn("_w", held).withColumn("mean_n", F.avg(value).over(last)).withColumn("mean_all", F.avg(value).over(key.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.withColumn("median_n", F.element_at("_w", F.floor((F.size("_w") + 1) / 2).cast("int"))).withColumn("min_n", F.element_at("_w", 1)).withColumn("max_n", F.element_at("_w", -1)).drop("_w")
+    near = sent.withColumn("_w", held).withColumn("mean_n", F.avg(value).over(last)).where("_to = _own").drop("_to")
+
+    upto = Window.partitionBy(series).orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy(series, "_own").agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count(value).alias("_c"))
+    sums = sums.select(series, "_own", F.coalesce(F.sum("_s").over(upto), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_c"))
+    inside = Window.partitionBy(series, "_own").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.col("_s") + F.coalesce(F.sum(F.col(value).cast("double")).over(inside), F.lit(0.0))
+    count = F.col("_c") + F.count(value).over(inside)
+    out = near.join(sums, [series, "_own"]).withColumn("mean_all", F.when(count > 0, total / count))
+    pick = lambda i: F.when(F.size("_w") > 0, F.get("_w", i))
+    out = out.withColumn("median_n", pick(F.floor((F.size("_w") - 1) / 2).cast("int"))).withColumn("min_n", pick(F.lit(0))).withColumn("max_n", pick(F.size("_w") - 1))
+    return out.select(*df.columns, "mean_n", "mean_all", "median_n", "min_n", "max_n")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The sky circle's centre and radius by image size.
 SKY = {64: (30, 30, 31), 224: (108, 110, 108)}
@@ -108,6 +109,14 @@ def tube_mask(key: Column, frames: int, patches: int, ratio: float, seed: int) -
     return F.flatten(F.array_repeat(one, frames))
 
 
+def random_mask(key: Column, frames: int, patches: int, ratio: float, seed: int) -> Column:
+    """``int(ratio * frames * patches)`` of all places of the clip by lowest md5 of seed, key and place."""
+    every = frames * patches
+    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(every - 1)), lambda p: F.struct(F.md5(F.concat_ws("-", F.lit(str(seed)), key.cast("string"), p.cast("string"))).alias("h"), p.alias("p"))))
+    chosen = F.transform(F.slice(ranked, 1, int(ratio * every)), lambda s: s["p"])
+    return F.transform(F.sequence(F.lit(0), F.lit(every - 1)), lambda p: F.array_contains(chosen, p).cast("int"))
+
+
 def running_cell_mask(phase: Column, frames: int, height: int, width: int, ratio: float) -> Column:
     """2 x 2 cells whose ones move one step a frame; flattened by frame, row, column."""
     ones = int(4 * ratio)
@@ -128,6 +137,18 @@ def patch_targets(frames: np.ndarray, p: int) -> np.ndarray:
     return x.reshape(len(x), -1)
 
 
+def with_patch_targets(df: DataFrame, shape: tuple[int, int, int, int], p: int, clip: str = "clip") -> DataFrame:
+    """Each clip (an array of t x h x w x c values) as ``targets``, an array for each patch; other columns stay, a null stays null."""
+    at = df.columns.index(clip)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [None if x is None else patch_targets(np.asarray(x, float).reshape(shape), p).tolist() for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.list_(pa.float64())))], [*batch.schema.names, "targets"])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("targets", T.ArrayType(T.ArrayType(T.DoubleType())))]))
+
+
 def masked_mse(df: DataFrame) -> DataFrame:
     """Mean of the patch errors that the encoder doesn't see and the decoder does: ``sample, patch, pred, target, hidden, decoded``."""
     patches = df.where("hidden and decoded").groupBy("sample", "patch").agg(F.avg((F.col("pred") - F.col("target")) * (F.col("pred") - F.col("target"))).alias("e"))

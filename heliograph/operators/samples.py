@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +44,51 @@ def lag_stack(frames: DataFrame, pv: DataFrame, height: int, step: int) -> DataF
 
 def thin(candidates: DataFrame, anchor: DataFrame, min_gap: int) -> DataFrame:
     """Greedy thinning in time order: keep a candidate more than ``min_gap`` seconds after the last kept one; the first
-    reference is the series' ``anchor`` (``camera_id, ts``). One fold for each series over its times alone."""
-    times = candidates.groupBy("camera_id").agg(F.array_sort(F.collect_list(seconds("ts"))).alias("t")).join(anchor.select("camera_id", seconds("ts").alias("a")), "camera_id")
-    empty = F.array().cast("array<bigint>")
-    start = F.struct(F.col("a").alias("last"), empty.alias("kept"))
-    keep = F.aggregate("t", start, lambda s, x: F.when(x - s["last"] > min_gap, F.struct(x.alias("last"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s), lambda s: s["kept"])
-    return times.select("camera_id", F.explode(keep).alias("s")).select("camera_id", from_seconds(F.col("s")).alias("ts"))
+    reference is the series' ``anchor`` (``camera_id, ts``).
+
+    Times are folded in buckets of a day or 16 gaps. The last kept time before a bucket lies before its start, so only times up to
+    one gap into it can be its first kept one; for these each bucket tells its last kept time, and a small fold over the buckets
+    of a series picks where each of them begins.
+    """
+    size = max(86400, 16 * min_gap)
+    first = anchor.select("camera_id", seconds("ts").alias("a"))
+    late = candidates.select("camera_id", seconds("ts").alias("s")).join(first, "camera_id").where(F.col("s") - F.col("a") > min_gap)
+    late = late.select("camera_id", F.floor(F.col("s") / size).alias("bucket"), "s").distinct()
+    camera = candidates.schema["camera_id"].dataType.simpleString()
+
+    def following(t: np.ndarray) -> np.ndarray:
+        return np.searchsorted(t, t + min_gap, "right")
+
+    def exits(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["s"].to_numpy(np.int64))
+        near, last = following(t), t.copy()
+        for i in range(len(t) - 1, -1, -1):
+            if near[i] < len(t):
+                last[i] = last[near[i]]
+        n = int(np.searchsorted(t, key[1] * size - 1 + min_gap, "right")) + 1
+        return pd.DataFrame({"camera_id": key[0], "bucket": key[1], "entry": t[:n], "last": last[:n]})
+
+    def chained(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, kept, rows = pdf.sort_values(["bucket", "entry"]), None, []
+        for bucket, entry, last in zip(pdf["bucket"], pdf["entry"], pdf["last"], strict=True):
+            if (not rows or rows[-1][0] != bucket) and (kept is None or entry - kept > min_gap):
+                rows.append((bucket, entry))
+                kept = last
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["camera_id", "bucket", "entry"])
+
+    def kept_times(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        t = np.sort(pdf["s"].to_numpy(np.int64))
+        near, at, rows = following(t), int(np.searchsorted(t, pdf["entry"].iloc[0])), []
+        while at < len(t):
+            rows.append(t[at])
+            at = int(near[at])
+        return pd.DataFrame({"camera_id": key[0], "s": rows})
+
+    by = ["camera_id", "bucket"]
+    entries = late.groupBy(*by).applyInPandas(exits, f"camera_id {camera}, bucket long, entry long, last long")
+    entries = entries.groupBy("camera_id").applyInPandas(chained, f"camera_id {camera}, bucket long, entry long")
+    kept = late.join(entries, by).groupBy(*by).applyInPandas(kept_times, f"camera_id {camera}, s long")
+    return kept.select("camera_id", from_seconds(F.col("s")).alias("ts"))
 
 
 def day_block_shuffle(df: DataFrame, seed: int, ts: str = "ts", ties: list[str] | None = None) -> DataFrame:
@@ -88,11 +129,46 @@ def pending(df: DataFrame, done: DataFrame, ts: str = "ts") -> DataFrame:
     return df.join(F.broadcast(mark), F.col("_m").isNull() | (F.col(ts) > F.col("_m"))).drop("_m")
 
 
+def in_days(df: DataFrame, first: str, last: str, ts: str = "ts") -> DataFrame:
+    """Rows of the days from ``first`` to ``last``, both included."""
+    return df.where((F.to_date(ts) >= F.lit(first).cast("date")) & (F.to_date(ts) <= F.lit(last).cast("date")))
+
+
+def without_output(df: DataFrame, outputs: DataFrame, name: str) -> DataFrame:
+    """Rows whose ``name`` isn't among those of ``outputs``; a null name has no output."""
+    return df.join(outputs.select(name).distinct(), name, "left_anti")
+
+
+def split_counts(df: DataFrame, by: list[str], split: str = "split") -> DataFrame:
+    return df.groupBy(*by, split).agg(F.count(F.lit(1)).alias("n"))
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """All rows of tables with the same columns in any order."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def distinct_days(df: DataFrame, ts: str = "ts") -> DataFrame:
+    return df.select(F.to_date(ts).alias("day")).distinct()
+
+
+def complement(days: DataFrame, without: DataFrame) -> DataFrame:
+    """Days of the first table that the second doesn't list."""
+    return days.join(without.select("day").distinct(), "day", "left_anti")
+
+
+def latest_frame(df: DataFrame, series: str = "camera_id", ts: str = "ts") -> DataFrame:
+    return df.groupBy(series).agg(F.max(ts).alias(ts))
+
+
 def density_hist(df: DataFrame, value: str, by: str, bins: int = 50) -> DataFrame:
     """Density in ``bins`` equal bins from least to greatest value of each group; the last is closed, empty ones are zero."""
     span = df.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    hit = df.join(F.broadcast(span), by).where(F.col(value).isNotNull()).withColumn("bin", F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int"))
+    hit = df.join(span, by).where(F.col(value).isNotNull()).withColumn("bin", F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1)).cast("int"))
     counts = hit.groupBy(by, "bin").agg(F.count(F.lit(1)).alias("_c"))
     every = span.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     return every.join(counts, [by, "bin"], "left").select(by, "bin", (F.coalesce("_c", F.lit(0)) / (F.col("_n") * width)).alias("density"))

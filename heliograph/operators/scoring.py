@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
@@ -32,6 +33,13 @@ def crps(values: Column, obs: Column) -> Column:
     return near - spread
 
 
+def quantile(ordered: Column, q: float) -> Column:
+    """Linear between the two nearest of a sorted array; null if it is empty."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
 def winkler(low: Column, high: Column, obs: Column, alpha: float) -> Column:
     wide = high - low
     return F.when(obs < low, wide + 2 * (low - obs) / alpha).when(obs > high, wide + 2 * (obs - high) / alpha).otherwise(wide)
@@ -40,11 +48,9 @@ def winkler(low: Column, high: Column, obs: Column, alpha: float) -> Column:
 def score_samples(members: DataFrame, truth: DataFrame, by: list[str] | None = None, alpha: float = 0.1) -> DataFrame:
     """For each sample (and group ``by``): ensemble mean, quantiles, CRPS and Winkler score, from one grouping."""
     keys = [*(by or []), "sample_id"]
-    bands = F.percentile("pred", F.array(*[F.lit(q) for q in QUANTILES]))
-    out = members.groupBy(*keys).agg(F.avg("pred").alias("pred"), bands.alias("q"), F.collect_list("pred").alias("x")).join(truth, "sample_id")
-    names = {f"q{int(100 * q)}": F.col("q")[i] for i, q in enumerate(QUANTILES)}
-    out = out.withColumns(names).withColumn("crps", crps(F.col("x"), F.col("obs")))
-    return out.withColumn("winkler", winkler(F.col("q5"), F.col("q95"), F.col("obs"), alpha)).drop("q", "x")
+    out = members.groupBy(*keys).agg(F.avg("pred").alias("pred"), F.array_sort(F.collect_list("pred")).alias("x")).join(truth, "sample_id")
+    out = out.withColumns({f"q{int(100 * q)}": quantile(F.col("x"), q) for q in QUANTILES}).withColumn("crps", crps(F.col("x"), F.col("obs")))
+    return out.withColumn("winkler", winkler(F.col("q5"), F.col("q95"), F.col("obs"), alpha)).drop("x")
 
 
 def daily_errors(pairs: DataFrame) -> DataFrame:
@@ -64,16 +70,37 @@ def forecast_skill(pairs: DataFrame) -> DataFrame:
     return out.withColumn("skill", (1 - F.col("rmse") / F.col("persistence_rmse")) * 100)
 
 
-def score(df: DataFrame, models: list, predict: Callable, schema: str) -> DataFrame:
-    """Every model scores every row: ``predict(models, batch)`` is called for pandas batches, models sent once a task."""
+def score(df: DataFrame, models: list, n_samplings: int, predict: Callable) -> DataFrame:
+    """``df`` with ``model_id``, ``sampling`` and ``pred`` for each model and sampling.
+
+    ``predict(model, sampling, batch)`` gives an array of predictions for a pandas batch; models are sent once a task, and a batch
+    is written before the next model looks at it.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("model_id", T.IntegerType()), T.StructField("sampling", T.IntegerType()), T.StructField("pred", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            yield predict(models, batch)
+            for i, model in enumerate(models):
+                for sampling in range(n_samplings):
+                    yield batch.assign(model_id=i, sampling=sampling, pred=predict(model, sampling, batch))
 
     return df.mapInPandas(run, schema)
 
 
+def first_samplings(members: DataFrame, n: int, sampling: str = "sampling") -> DataFrame:
+    return members.where(F.col(sampling) < n)
+
+
+def last_step(values: Column) -> Column:
+    """The last step of a predicted sequence; null if it has none."""
+    return F.when(F.size(values) > 0, F.element_at(values, -1))
+
+
+def score_report(scored: DataFrame, source: str, test_set: str) -> DataFrame:
+    """RMSE, mean CRPS and mean Winkler score by source and test set, and by source (null test set)."""
+    return scored.groupingSets([[source, test_set], [source]], source, test_set).agg(rmse("pred", "obs").alias("rmse"), F.avg("crps").alias("crps"), F.avg("winkler").alias("winkler"))
+
+
 def merge_metrics(df: DataFrame) -> DataFrame:
     return df.groupBy("run", "metric").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"), F.sum("n").alias("n"))
 

@@ -83,6 +83,25 @@ def dense_clip(total: Column, length: int, rate: int) -> Column:
     return F.when(n <= span, short).otherwise(long)
 
 
+def _draw(seed: int, key: Column, *more: Column) -> Column:
+    """A whole number below 2^32 from the md5 of seed, key and more."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), *[c.cast("string") for c in (key, *more)])), 1, 8), 16, 10).cast("long")
+
+
+def dense_train(total: Column, key: Column, length: int, rate: int, segments: int, seed: int) -> Column:
+    """Training indices of ``segments`` equal parts, one after the other: like ``dense_clip`` in a part no longer than the span, else
+    a stretch whose end is drawn (md5 of seed, key and part) from the span up to the part's length."""
+    span = length * rate
+    part = F.floor(total / segments).cast("int")
+
+    def clip(i: Column) -> Column:
+        end = (F.lit(span) + _draw(seed, key, i) % F.greatest(part - span, F.lit(1))).cast("int")
+        stretch = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.least(end - span + k * F.lit(span) / (length - 1), (end - 1).cast("double")).cast("int"))
+        return F.transform(F.when(part <= span, dense_clip(part, length, rate)).otherwise(stretch), lambda x: x + i * part)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), clip))
+
+
 def dense_test(total: Column, length: int, rate: int) -> Column:
     """0, rate, 2 rate, … below the total, the last repeated up to ``length``."""
     n = total.cast("int")
@@ -111,8 +130,7 @@ def pretrain_clip(total: Column, key: Column, length: int, step: int, seed: int)
     stays below ``total``, then it is repeated."""
     n = total.cast("int")
     room = F.greatest(n - (length * step - 1), F.lit(1))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string"))), 1, 8), 16, 10).cast("long")
-    start = (draw % room).cast("int") + 1
+    start = (_draw(seed, key) % room).cast("int") + 1
     most = F.greatest(F.floor((n - start - 1) / step), F.lit(0)).cast("int")
     return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: start + step * F.least(i, most))
 

@@ -11,8 +11,9 @@ def stream_readings(spark: SparkSession, path: str, schema: str = "sensor_id str
     return spark.readStream.schema(schema).parquet(path).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["sensor_id", "ts"])
 
 
-def stream_resample(df: DataFrame, every: str) -> DataFrame:
-    """First value of each bin; late readings count up to the watermark."""
+def stream_resample(df: DataFrame, every: str, delay: str | None = None) -> DataFrame:
+    """First value of each bin; late readings count up to the watermark (``delay``, or the one that ``df`` has)."""
+    df = df.withWatermark("ts", delay) if delay else df
     return df.groupBy("sensor_id", F.window("ts", every)).agg(F.min_by("kw", "ts").alias("kw")).select("sensor_id", F.col("window.start").alias("ts"), "kw")
 
 

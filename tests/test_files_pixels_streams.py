@@ -102,3 +102,32 @@ def test_the_offset_of_a_pretraining_clip_stops_below_the_end(spark):
             want.append(at)
             at += 2 if at + 2 < n else 0
         assert got[path] == want
+
+
+def test_streams_resample_and_pair_with_late_readings(spark, tmp_path):
+    t = lambda m, s=0: dt.datetime(2024, 1, 1, 8, m, s)
+    pv, frames = "sensor_id string, ts timestamp, kw double", "camera_id string, ts timestamp, path string"
+
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    def step(df, name):
+        w = df.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-cp")).outputMode("append")
+        w.trigger(availableNow=True).start().awaitTermination()
+
+    def turn():
+        step(live.stream_resample(spark.readStream.schema(pv).parquet(str(tmp_path / "pv")), "1 minute", "2 minutes"), "bins")
+        step(live.stream_pair(spark.readStream.schema(frames).parquet(str(tmp_path / "frames")), spark.readStream.schema(pv).parquet(str(tmp_path / "pv")), "2 minutes"), "pairs")
+
+    put("pv", [("a", t(0, 30), 2.0), ("a", t(0, 10), 1.0), ("a", t(1), 3.0)], pv)
+    put("frames", [("a", t(0, 30), "x"), ("b", t(0, 30), "y"), ("a", t(1, 1), "z")], frames)
+    turn()
+    put("pv", [("a", t(0, 5), 0.5), ("a", t(20), 9.0)], pv)
+    put("frames", [("a", t(20), "w")], frames)
+    turn()
+    put("pv", [("a", t(0, 1), 7.0), ("a", t(40), 9.0)], pv)
+    put("frames", [("a", t(40), "v")], frames)
+    turn()
+    bins = {r.ts.minute: r.kw for r in spark.read.parquet(str(tmp_path / "bins")).collect()}
+    assert bins[0] == 0.5 and bins[1] == 3.0 and bins[20] == 9.0 and 40 not in bins
+    assert sorted(r.path for r in spark.read.parquet(str(tmp_path / "pairs")).collect()) == ["v", "w", "x"]

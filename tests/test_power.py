@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from heliograph.operators import clean, samples, scoring, views
+from heliograph.operators import clean, pixels, samples, scoring, views
 
 
 def at(s):
@@ -130,3 +130,89 @@ def test_capture_plan_moves_an_aligned_start_on(spark):
     v = spark.createDataFrame([(i, at(f"2024-01-01 08:15:{s}"), at("2024-01-01 08:17:30")) for i, s in enumerate(("00", "03"))], "video int, start_ts timestamp_ntz, end_ts timestamp_ntz")
     out = samples.capture_plan(v).collect()
     assert sorted({r.shot_ts.strftime("%M:%S") for r in out}) == ["15:10", "16:10", "17:10"] and len(out) == 6
+
+
+@pytest.mark.parametrize("gap", [0, 119, 7199, 40000])
+def test_thinning_over_days_equals_one_fold(spark, gap):
+    rng = np.random.default_rng(gap)
+    base, rows, want = at("2024-01-01 00:00:00"), [], set()
+    for camera, n in (("a", 900), ("b", 40), ("c", 1)):
+        times = sorted(rng.integers(0, 5 * 86400, n).tolist())
+        rows += [(camera, base + dt.timedelta(seconds=t)) for t in times]
+        last = 1000
+        for t in times:
+            if t - last > gap:
+                want.add((camera, t))
+                last = t
+    c = spark.createDataFrame(rows, "camera_id string, ts timestamp_ntz")
+    a = spark.createDataFrame([(x, base + dt.timedelta(seconds=1000)) for x in "abcd"], "camera_id string, ts timestamp_ntz")
+    got = [(r.camera_id, int((r.ts - base).total_seconds())) for r in samples.thin(c, a, gap).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_rolling_meter_crosses_its_buckets(spark):
+    rng = np.random.default_rng(3)
+    rows = [(run, i, None if rng.random() < 0.1 else float(rng.integers(0, 50))) for run in ("a", "b") for i in range(57)]
+    df = spark.createDataFrame(rows, "run string, step int, value double")
+    got = {(r.run, r.step): r for r in clean.rolling_meter(df, "run", ["step"], "value", F.floor(F.col("step") / 7), n=5, size=8).collect()}
+    assert len(got) == len(rows)
+    for run in ("a", "b"):
+        x = [v for r, _, v in rows if r == run]
+        for i in range(57):
+            near, far, r = sorted(v for v in x[max(0, i - 4) : i + 1] if v is not None), [v for v in x[: i + 1] if v is not None], got[run, i]
+            assert (r.min_n, r.median_n, r.max_n) == ((near[0], near[(len(near) - 1) // 2], near[-1]) if near else (None, None, None))
+            assert r.mean_n == (pytest.approx(np.mean(near)) if near else None) and r.mean_all == (pytest.approx(np.mean(far)) if far else None)
+
+
+def test_every_model_and_sampling_scores_every_row(spark):
+    out = scoring.score(spark.createDataFrame([(1, 2.0), (2, 3.0)], "i int, x double"), [1.0, 10.0], 2, lambda m, s, b: b["x"] * m + s)
+    assert sorted((r.i, r.model_id, r.sampling, r.pred) for r in out.collect()) == [(1, 0, 0, 2.0), (1, 0, 1, 3.0), (1, 1, 0, 20.0), (1, 1, 1, 21.0), (2, 0, 0, 3.0), (2, 0, 1, 4.0), (2, 1, 0, 30.0), (2, 1, 1, 31.0)]
+    assert scoring.first_samplings(out, 1).count() == 4
+
+
+def test_day_series_and_last_step(spark):
+    r = series(spark, [("2024-01-01 23:00:00", 2), ("2024-01-01 08:00:00", 1), ("2024-01-02 00:00:00", 3)])
+    got = {(x.day.day): [v.kw for v in x.series] for x in clean.day_series(r, closed=True).collect()}
+    assert got == {1: [1.0, 2.0, 3.0], 2: [3.0]}
+    df = spark.createDataFrame([([1.0, 2.0],), ([],), (None,)], "x array<double>")
+    assert [x.l for x in df.select(scoring.last_step(F.col("x")).alias("l")).collect()] == [2.0, None, None]
+
+
+def test_backlog_by_days_and_outputs(spark):
+    f = spark.createDataFrame([("a", at("2024-01-01 10:00:00")), ("b", at("2024-01-02 10:00:00")), ("c", at("2024-01-03 00:00:00")), (None, at("2024-01-02 11:00:00"))], "path string, ts timestamp_ntz")
+    done = spark.createDataFrame([("b",), ("b",), (None,)], "path string")
+    left = samples.without_output(samples.in_days(f, "2024-01-01", "2024-01-02"), done, "path").collect()
+    assert sorted(r.path or "" for r in left) == ["", "a"]
+    days = samples.distinct_days(samples.union_all([f, f]))
+    assert [r.day.day for r in samples.complement(days, days.where("day < '2024-01-03'")).collect()] == [3]
+
+
+def test_training_clips_stay_in_their_part(spark):
+    df = spark.createDataFrame([(str(n), n) for n in (0, 5, 64, 130, 131, 700)], "path string, total int")
+    for r in df.select("total", views.dense_train(F.col("total"), F.col("path"), 16, 4, 2, 5).alias("i")).collect():
+        part = r.total // 2
+        assert len(r.i) == 32
+        for k in (0, 1):
+            own = r.i[16 * k : 16 * (k + 1)]
+            assert own == sorted(own) and own[0] >= k * part and (own[-1] < (k + 1) * part or part == 0)
+            assert part <= 64 or own[-1] - own[0] == 63
+    test = df.where("total = 131").select(views.sparse_test(F.col("total"), 8, 3).alias("i")).first().i
+    assert test == sorted(int(s * (131 / 8) / 3 + (131 / 8) * x) for s in range(3) for x in range(8))
+
+
+def test_random_masks_and_patch_targets(spark):
+    df = spark.createDataFrame([(i,) for i in range(4)], "i int")
+    masks = [r.m for r in df.select(pixels.random_mask(F.col("i"), 2, 8, 0.75, 1).alias("m")).collect()]
+    assert [sum(m) for m in masks] == [12] * 4 and len({tuple(m) for m in masks}) == 4
+    x = np.random.default_rng(1).random((4, 4, 4, 3))
+    rows = spark.createDataFrame([(1, x.reshape(-1).tolist()), (2, None)], "i int, clip array<double>")
+    got = {r.i: r.targets for r in pixels.with_patch_targets(rows, (4, 4, 4, 3), 2).collect()}
+    one = x[:2, :2, 2:, :].reshape(8, 3)
+    assert got[2] is None and np.allclose(np.array(got[1][1]).reshape(8, 3), (one - one.mean(0)) / (one.std(0, ddof=1) + 1e-6))
+
+
+@pytest.mark.parametrize("q", [0.05, 0.5, 0.95])
+def test_quantiles(spark, q):
+    df = spark.createDataFrame([([1.0, 4.0, 10.0],), ([2.0],), ([],)], "x array<double>")
+    got = [r.q for r in df.select(scoring.quantile(F.col("x"), q).alias("q")).collect()]
+    assert got == [pytest.approx(np.quantile([1, 4, 10], q)), 2.0, None]
