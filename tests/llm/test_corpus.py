@@ -171,6 +171,39 @@ def test_seats_go_to_the_highest_quotients():
         assert sorted(x / (2 * k + 1) for x, n in zip(w, got) for k in range(n)) == pytest.approx(sorted(-q for q, _ in quotients))
 
 
+def plain_targets(sizes, weights, share=1.5, most=2.0):
+    out, left = [0.0] * len(sizes), share * sum(sizes)
+    open_ = [i for i, s in enumerate(sizes) if s > 0]
+    while open_:
+        rate = left / sum(weights[i] for i in open_)
+        full = [i for i in open_ if weights[i] * rate > most * sizes[i]]
+        for i in full or open_:
+            out[i] = most * sizes[i] if full else weights[i] * rate
+        if not full:
+            break
+        left -= sum(out[i] for i in full)
+        open_ = [i for i in open_ if i not in full]
+    return out
+
+
+@pytest.mark.parametrize("n,high,block", [(1, 900, 50), (3, 0, 50), (40, 3000, 50), (400, 60, 50), (300, 5, 1000), (25, 100_000, 1)])
+def test_planned_sources_equal_the_plain_plan(spark, n, high, block):
+    r = np.random.default_rng(n)
+    sizes = [int(x) for x in r.integers(0, high + 1, n) * (r.random(n) > 0.1)]
+    names = sorted({f"s{i}\u00e9" for i in range(n - 1)} | {"\U0001f600"} if n > 1 else {"x"})
+    names = [*names[: n - 1], None] if n > 1 else names
+    totals = spark.createDataFrame(list(zip(names, sizes)), "source string, size long").repartition(4)
+    goals, total = source_mix.with_targets(totals)
+    want = plain_targets(sizes, [(5.0, 2.0, 1.0)[i % 3] for i in range(n)])
+    seats = round(total / block)
+    got = {x.source: x for x in source_mix.with_seats(goals, "target", "place", total, seats).collect()}
+    assert [got[x].target for x in names] == pytest.approx(want) and total == pytest.approx(sum(want))
+    quota = [got[x].quota for x in names]
+    assert sum(quota) == (seats if total else 0)
+    plain = source_mix.sainte_lague(want, seats)
+    assert sorted(w / (2 * k + 1) for w, q in zip(want, quota) for k in range(q)) == pytest.approx(sorted(w / (2 * k + 1) for w, q in zip(want, plain) for k in range(q)))
+
+
 def test_targets_and_mix(spark):
     texts = [prose(int(n), 40 + i) for i, n in enumerate(RNG.integers(1, 400, 60))]
     d = docs(spark, texts, [("a", "b", "c", None)[min(3, i % 7)] for i in range(60)])
