@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from heliograph.llm.shared import let, written
+from heliograph.llm.shared import written
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -167,16 +167,10 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 
 def places(text: Column, pattern: Column) -> Column:
-    """``array<struct<first,stop>>``: word positions of a rule's matches in a spaced text."""
-    words_in = lambda x: (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))) / 2
+    """``array<struct<gap,size>>``: of each match of a rule in a spaced text, the words since the last match and its own."""
+    words_in = lambda x: ((F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))) / 2).cast("long")
     zipped = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, 0).alias("all")), lambda x: x["all"].isNotNull())
-    empty = F.array().cast("array<struct<first:bigint,stop:bigint>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        first = acc["at"] + words_in(x["gap"]).cast("long")
-        return let(F.struct(first.alias("first"), (first + words_in(x["all"]).cast("long")).alias("stop")), lambda s: F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.array(s)).alias("out")))
-
-    return F.aggregate(zipped, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    return F.transform(zipped, lambda x: F.struct(words_in(x["gap"]).alias("gap"), words_in(x["all"]).alias("size")))
 
 
 def scan_licenses(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -198,7 +192,9 @@ def scan_licenses(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), text: s
     gated = df.where("spaced is not null")
     keys = F.array_distinct(F.transform(F.regexp_extract_all("spaced", F.lit(" (" + "|".join(KEYWORDS) + ") "), 1), lambda x: x))
     hits = gated.select("row_id", "spaced", F.explode(keys).alias("keyword")).join(F.broadcast(rule_table(spark)), "keyword")
-    hits = hits.where(F.rlike("spaced", F.col("pattern"))).select("row_id", "rule", "label", "priority", F.explode(places(F.col("spaced"), F.col("pattern"))).alias("p")).select("row_id", "rule", "label", "priority", "p.first", "p.stop")
+    hits = hits.where(F.rlike("spaced", F.col("pattern"))).select("row_id", "rule", "label", "priority", F.posexplode(places(F.col("spaced"), F.col("pattern"))).alias("i", "p")).repartition("row_id")
+    upto = Window.partitionBy("row_id", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    hits = hits.withColumn("stop", F.sum(F.col("p.gap") + F.col("p.size")).over(upto)).withColumn("first", F.col("stop") - F.col("p.size")).drop("i", "p")
     hits = hits.withColumn("base", F.col("rule") < len(BASE))
 
     before = Window.partitionBy("row_id").orderBy("first", F.col("stop").desc(), "priority", "label", "rule").rowsBetween(Window.unboundedPreceding, -1)

@@ -497,3 +497,10 @@ def test_odd_pages(spark):
     out = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_extract.extract_pages(d).collect()), key=str)
     assert out == sorted([(1, "u", "", 0), (2, None, "", 0), (3, "u", "a", 1), (3, "u", "a", 1), (None, "u", "b c & d", 7)], key=str)
     assert html_extract.extract_pages(d.where("false")).count() == 0
+
+
+def test_many_license_matches_of_one_rule_cost_linear_time(spark):
+    text = "word under the MIT license, " * 20_000
+    at = time.time()
+    row = license_scan.scan_licenses(docs(spark, [text])).first()
+    assert (row.n_base, row.first_word, row.last_word, row.base_labels) == (20_000, 1, 5 * 19_999 + 1, "mit") and time.time() - at < 60
