@@ -46,6 +46,8 @@ SEED_SCORE = 8.0
 GAP_COST = 0.08
 #: Words of an equal run that anchors a chain of two documents, and words between anchors of a longer one.
 FINE = 4
+#: Leading bits of a run's hash by which most runs that a document lacks are told at once.
+LEADING = 16
 STEP = 24
 #: Pairs of one owner that one copy of its words serves.
 OWNER_PAIRS = 2000
@@ -69,6 +71,10 @@ def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             kmers = kmers * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
         kmers = (kmers ^ (kmers >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         kmers ^= kmers >> np.uint64(29)
+    ordered = np.sort(kmers)
+    if not (ordered[1:] == ordered[:-1]).any():
+        first = np.flatnonzero(kmers % np.uint64(ONE_IN) == 0)
+        return kmers[first].view(np.int64), first
     picked, first, counts = np.unique(kmers, return_index=True, return_counts=True)
     kept = (picked % np.uint64(ONE_IN) == 0) | (counts > 1)  # a repeated line has few k-mers: all of them
     return picked[kept].view(np.int64), first[kept]
@@ -136,8 +142,8 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
         where[x] = where.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
     row = full
-    for x in b.tolist():
-        hit = row & where.get(x, 0)
+    for places in filter(None, map(where.get, b.tolist())):
+        hit = row & places
         row = (row + hit | row - hit) & full
     return head + tail + len(a) - row.bit_count()
 
@@ -152,20 +158,34 @@ def aligned(a: np.ndarray, b: np.ndarray, core_a: tuple[int, int], core_b: tuple
     return a0, a1, b0, b1, common(a[a0:a1], b[b0:b1]) / max(a1 - a0, b1 - b0, 1)
 
 
-def anchors(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Places ``(a's, b's)`` of equal runs of FINE words, each run at its first place; of a longer equal stretch its ends and
-    every STEP-th place."""
+def fine_runs(x: np.ndarray) -> np.ndarray:
+    """A hash for each run of FINE words, in order."""
+    n, wide = max(len(x) - FINE + 1, 0), x.astype(np.uint64)
+    runs = np.zeros(n, dtype=np.uint64)
+    for j in range(FINE):  # multiplication wraps
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + wide[j : j + n]
+    return runs
 
-    def first(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = max(len(x) - FINE + 1, 0)
-        runs = np.zeros(n, dtype=np.uint64)
-        for j in range(FINE):  # multiplication wraps
-            runs = runs * np.uint64(0x9E3779B97F4A7C15) + x[j : j + n].astype(np.uint64)
-        return np.unique(runs, return_index=True)
 
-    (ka, ia), (kb, ib) = first(a), first(b)
-    _, x, y = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    p, o = ia[x], ib[y]
+def first_places(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct runs of FINE words, sorted, the first place of each, and which leading bits occur."""
+    known, at = np.unique(fine_runs(b), return_index=True)
+    leading = np.zeros(1 << LEADING, dtype=bool)
+    leading[known >> np.uint64(64 - LEADING)] = True
+    return known, at, leading
+
+
+def anchors(a: np.ndarray, places: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
+    """Places ``(a's, owner's)`` of runs of FINE words of ``a`` that the owner, known by its ``first_places``, has too, each run
+    at its first place; of a longer equal stretch its ends and every STEP-th place."""
+    runs, (known, at, leading) = fine_runs(a), places
+    p = np.flatnonzero(leading[runs >> np.uint64(64 - LEADING)])
+    if not len(p):
+        return []
+    near = np.minimum(np.searchsorted(known, runs[p]), len(known) - 1)
+    equal = known[near] == runs[p]
+    near, first = np.unique(near[equal], return_index=True)
+    p, o = p[equal][first], at[near]
     if not len(p):
         return []
     order = np.lexsort((p, o - p))
@@ -176,10 +196,10 @@ def anchors(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(p[kept].tolist(), o[kept].tolist(), strict=True))
 
 
-def passages_between(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, float]]:
-    """The passages of two documents' words. A chain that isn't similar as a whole is cut at its widest gap, and its pieces are
-    aligned again."""
-    out, todo = [], chains(anchors(a, b))
+def passages_between(a: np.ndarray, b: np.ndarray, places: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int, float]]:
+    """The passages of two documents' words (``places``: ``first_places(b)``). A chain that isn't similar as a whole is cut at
+    its widest gap, and its pieces are aligned again."""
+    out, todo = [], chains(anchors(a, first_places(b) if places is None else places))
     while todo:
         chain = todo.pop()
         found = aligned(a, b, (chain[0][0], chain[-1][0] + FINE), (chain[0][1], chain[-1][1] + FINE))
@@ -198,10 +218,15 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     (``other_id`` is less than ``doc_id``); word positions, ends exclusive."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
 
-    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         known = WordHashes()
+        return lambda texts: [((word_hashes(t, known) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),) for t in texts]
+
+    packed = written(map_texts(base, ("doc",), "text", make, {"w": pa.binary()}, "w binary", binary=True), "words")
+
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [seeds(word_hashes(t, known)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            found = [seeds(np.frombuffer(w, "<u4").astype(np.uint64)) for w in batch.column(1).to_pylist()]
             counts = [len(h) for h, _ in found]
             ids = np.repeat(batch.column(0).to_numpy(), counts)
             join = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
@@ -209,25 +234,20 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, last = [], None
             for doc, owner, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                rows += [(doc, owner, *found[:4], round(found[4], 6)) for found in passages_between(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"))]
+                if b != last:  # pairs of one owner mostly follow each other
+                    last, other = b, np.frombuffer(b, "<u4")
+                    places = first_places(other)
+                rows += [(doc, owner, *found[:4], round(found[4], 6)) for found in passages_between(np.frombuffer(a, "<u4"), other, places)]
             kinds = [pa.int64()] * 6 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end", "similarity"])
 
-    found = base.mapInArrow(seed, "h long, doc long, pos int")
+    found = packed.mapInArrow(seed, "h long, doc long, pos int")
     holders = Window.partitionBy("h")
     found = found.withColumn("owner", F.min("doc").over(holders)).withColumn("last", F.max("doc").over(holders))
     shared = written(found.where("owner <> last").select("h", "doc", "pos", "owner"), "shared-seeds")
 
-    # the words of documents that may share a passage
-    def make():
-        known = WordHashes()
-        return lambda texts: [((word_hashes(t, known) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),) for t in texts]
-
-    some = written(shared.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_SEEDS).select("doc"), "holders")
-    packed = written(map_texts(base.join(some, "doc"), ("doc",), "text", make, {"w": pa.binary()}, "w binary", binary=True), "words")
-
     def passages_of(pairs: DataFrame) -> DataFrame:
         """Pairs of an owner that many documents have are spread over copies of its words."""
         counts = written(pairs.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.ceil(F.col("n") / OWNER_PAIRS)), "owners")
