@@ -51,6 +51,10 @@ LEADING = 16
 STEP = 24
 #: Pairs of one owner that one copy of its words serves.
 OWNER_PAIRS = 2000
+#: Pairs are compared in up to so many turns, by a hash of their document, so that the words sent to owners are on disk for one
+#: turn only; fewer turns serve for fewer pairs than this a turn.
+TURNS = 4
+TURN_PAIRS = 20_000
 
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -248,17 +252,22 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = found.withColumn("owner", F.min("doc").over(holders)).withColumn("last", F.max("doc").over(holders))
     shared = written(found.where("owner <> last").select("h", "doc", "pos", "owner"), "shared-seeds")
 
-    def passages_of(pairs: DataFrame) -> DataFrame:
+    def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
         """Pairs of an owner that many documents have are spread over copies of its words."""
         counts = written(pairs.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.ceil(F.col("n") / OWNER_PAIRS)), "owners")
         spread = join_counted(pairs, counts, "owner").select("doc", "owner", F.pmod(F.xxhash64("doc"), "copies").alias("copy"))
         owners = packed.join(counts, packed["doc"] == counts["owner"]).select("owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("w").alias("b"))
-        both = spread.join(packed, "doc").select("doc", "owner", "copy", F.col("w").alias("a")).join(owners, ["owner", "copy"]).select("doc", "owner", "a", "b")
+        both = spread.join(words, "doc").select("doc", "owner", "copy", F.col("w").alias("a")).join(owners, ["owner", "copy"]).select("doc", "owner", "a", "b")
         return both.mapInArrow(align, "doc_id long, other_id long, start_word long, end_word long, other_start long, other_end long, similarity double")
 
+    def passages_of(pairs: DataFrame) -> DataFrame:
+        turns = min(TURNS, 1 + pairs.count() // TURN_PAIRS)
+        turn = F.pmod(F.xxhash64("doc", F.lit(turns)), F.lit(turns))
+        return reduce(DataFrame.union, [written(compared(pairs.where(turn == i), packed.where(turn == i)), "passages") for i in range(turns)])
+
     met = shared.where("doc <> owner").groupBy("doc", "owner").agg(F.count(F.lit(1)).alias("n"))
     tried = written(met.where(F.col("n") >= MIN_SEEDS).select("doc", "owner"), "pairs")
-    passages = written(passages_of(tried), "passages")
+    passages = passages_of(tried)
 
     def free(rows: DataFrame, *places: str) -> DataFrame:
         """Rows of documents' seeds of which none lies in a passage found."""
@@ -277,7 +286,7 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     while True:
         pairs = free(keys, "p", "q").withColumn("owner", F.min("doc").over(same)).where("doc <> owner").select("doc", "owner").distinct()
         pairs = written(pairs.join(tried, ["doc", "owner"], "left_anti"), "pairs")
-        more = written(passages_of(pairs), "passages")
+        more = passages_of(pairs)
         if more.limit(1).count() == 0:
             return passages.distinct()
         tried, passages = tried.union(pairs), passages.union(more)
