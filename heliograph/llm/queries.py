@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heliograph.llm.decontaminate import contaminated
+from heliograph.llm.divergence import divergence_audit
 from heliograph.llm.html_extract import extract_pages
 from heliograph.llm.language_id import identify_languages
 from heliograph.llm.license_scan import scan_licenses
+from heliograph.llm.line_dedup import line_bitmaps
 from heliograph.llm.near_dups import near_duplicates
 from heliograph.llm.passages import shared_passages
 from heliograph.llm.pii import find_pii
@@ -59,6 +62,15 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_bitmaps(table(spark, sf_dir, "documents"), with_text=True)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_quality_rules, op3_shared_passages, op4_near_duplicates, op5_source_mix, op6_html_extract, op7_license_scan, op8_decontaminate, op9_pii, op10_secret_scan)
+    ops = (op1_language_id, op2_quality_rules, op3_shared_passages, op4_near_duplicates, op5_source_mix, op6_html_extract, op7_license_scan, op8_decontaminate, op9_pii, op10_secret_scan, op11_line_dedup, op12_divergence_audit)
     return {f.__name__: f for f in ops}

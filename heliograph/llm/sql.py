@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliograph.llm import decontaminate, license_scan, quality_rules, secret_scan
+from heliograph.llm import decontaminate, divergence, license_scan, line_dedup, quality_rules, secret_scan
 
 _TOKENS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -101,5 +101,34 @@ FROM sim WHERE similarity >= {decontaminate.SIMILARITY} GROUP BY doc_id, item_id
 """
 
 
+_BLANKS = "' ' || " + " || ".join(f"chr({ord(c)})" for c in line_dedup.BLANKS[1:])
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT rid, i, x[i] AS line, trim(translate(x[i], '{line_dedup.UPPER}', '{line_dedup.LOWER}'), {_BLANKS}) AS key FROM (SELECT rid, x, unnest(range(1, len(x) + 1)) AS i FROM d)),
+common AS (SELECT key FROM l WHERE length(key) >= {line_dedup.MIN_CHARS} GROUP BY key HAVING count(DISTINCT rid) >= {line_dedup.MIN_DOCS}),
+m AS (SELECT rid, i, line, common.key IS NOT NULL AS gone FROM l LEFT JOIN common USING (key)),
+g AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone) AS kept FROM m GROUP BY rid)
+SELECT doc_id, n_lines, n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM d JOIN g USING (rid)
+"""
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS body FROM documents),
+t AS (SELECT rid, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT rid) >= {divergence.MIN_DOCS}),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, coalesce(sum(c), 0)::BIGINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT lang, source, term, coalesce(c, 0) AS c, 1 + ({divergence.SCALE}::HUGEINT * (coalesce(c, 0) + 2)) // (n + 2 * v) AS p FROM n JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, 1 + ({divergence.SCALE}::HUGEINT * (sum(c) + 2)) // (any_value(total) + 2 * any_value(v)) AS q FROM p JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS total FROM n GROUP BY 1) USING (lang) GROUP BY 1, 2),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+    UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+r AS (SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM every)
+SELECT * FROM r WHERE part = 'pair' OR rank <= {divergence.TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op7_license_scan": _op7(), "op8_decontaminate": OP8, "op10_secret_scan": _op10()}
+    return {"op2_quality_rules": OP2, "op7_license_scan": _op7(), "op8_decontaminate": OP8, "op10_secret_scan": _op10(), "op11_line_dedup": OP11, "op12_divergence_audit": OP12}
