@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.decontaminate import contaminated
 from heliograph.llm.divergence import divergence_audit
+from heliograph.llm.hard_negatives import hard_negatives
 from heliograph.llm.html_extract import extract_pages
 from heliograph.llm.language_id import identify_languages
 from heliograph.llm.license_scan import scan_licenses
@@ -71,6 +72,11 @@ def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_audit(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_language_id, op2_quality_rules, op3_shared_passages, op4_near_duplicates, op5_source_mix, op6_html_extract, op7_license_scan, op8_decontaminate, op9_pii, op10_secret_scan, op11_line_dedup, op12_divergence_audit)
+    ops = (op1_language_id, op2_quality_rules, op3_shared_passages, op4_near_duplicates, op5_source_mix, op6_html_extract, op7_license_scan, op8_decontaminate, op9_pii, op10_secret_scan, op11_line_dedup, op12_divergence_audit, op13_hard_negatives)
     return {f.__name__: f for f in ops}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliograph.llm import decontaminate, divergence, license_scan, line_dedup, quality_rules, secret_scan
+from heliograph.llm import decontaminate, divergence, hard_negatives, license_scan, line_dedup, quality_rules, secret_scan
 
 _TOKENS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -129,6 +129,15 @@ r AS (SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVE
 SELECT * FROM r WHERE part = 'pair' OR rank <= {divergence.TOP}
 """
 
+OP13 = f"""
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor, b.id, a.label = b.label AS same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 50 = 0),
+p AS (SELECT anchor, id AS positive, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= {hard_negatives.POSITIVES}),
+n AS (SELECT anchor, positive, ps, id, score, row_number() OVER (PARTITION BY anchor, positive ORDER BY score DESC, id) AS rank FROM p JOIN s USING (anchor) WHERE NOT same AND {hard_negatives.LOW} * ps <= 100 * score AND 100 * score <= {hard_negatives.HIGH} * ps)
+SELECT anchor AS anchor_id, positive AS positive_id, rank::INT AS rank, id AS negative_id, ps AS positive_score, score AS negative_score FROM n WHERE rank <= {hard_negatives.NEGATIVES}
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op7_license_scan": _op7(), "op8_decontaminate": OP8, "op10_secret_scan": _op10(), "op11_line_dedup": OP11, "op12_divergence_audit": OP12}
+    return {"op2_quality_rules": OP2, "op7_license_scan": _op7(), "op8_decontaminate": OP8, "op10_secret_scan": _op10(), "op11_line_dedup": OP11, "op12_divergence_audit": OP12, "op13_hard_negatives": OP13}
