@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliograph.functions.scratch import new_folder
 from heliograph.functions.timekeys import from_seconds, with_neighbour, with_position
 from heliograph.operators import clean, pixels, samples, scoring, views
+from heliograph.sources import files
+from heliograph.streaming import live, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -506,6 +509,26 @@ def g4_sparse_clip(spark: SparkSession, d: str) -> DataFrame:
     return _summed(manifest(spark, d), views.sparse_clip(F.col("total"), 16))
 
 
+@query(f"""WITH {_MAN}, y AS (SELECT doc_id, 1 + CASE WHEN total // 16 > 0 THEN k * (total // 16) + ('0x' || substr(md5('9-' || path || '-' || k), 1, 8))::BIGINT % greatest(total // 16, 1) ELSE greatest(0, k - (16 - total)) END::INT AS i FROM man, range(16) r(k))
+SELECT doc_id, sum(i)::BIGINT AS total, min(i)::INT AS first, max(i)::INT AS last FROM y GROUP BY 1""")
+def g4_sparse_train(spark: SparkSession, d: str) -> DataFrame:
+    return _summed(manifest(spark, d), views.sparse_train(F.col("total"), F.col("path"), 16, 9, 1))
+
+
+@query(f"""WITH {_MAN}, x AS (SELECT doc_id, doc_id % 5 AS start, total AS n, CASE doc_id % 3 WHEN 0 THEN 'SomethingV2/' WHEN 1 THEN 'AVA2.2/' ELSE 'other/' END || path AS path, CASE doc_id % 3 WHEN 0 THEN 2 ELSE 4 END AS st FROM man),
+y AS (SELECT *, floor((n - 16 * st + 1) / 3)::BIGINT AS part, list_transform(range(3), lambda k: ('0x' || substr(md5('7-' || path || '-' || k), 1, 8))::BIGINT) AS h FROM x),
+z AS (SELECT *, CASE WHEN part > 0 THEN list_transform(range(3), lambda k: k * part + h[k + 1] % greatest(part, 1)) WHEN n > greatest(3, 16 * st) THEN list_sort(list_transform(h, lambda v: v % greatest(n - 16 * st + 1, 1))) ELSE [0, 0, 0] END AS s FROM y),
+w AS (SELECT doc_id, path, start, k, i, (s[k + 1] + st * least(i, greatest(ceil((n - 1 - s[k + 1]) / st) - 1, 0)))::BIGINT AS frame FROM z, range(3) a(k), range(16) b(i)),
+f AS (SELECT doc_id, k, i, frame, path || '/' || CASE doc_id % 3 WHEN 1 THEN printf('image_%06d.jpg', frame + start) ELSE printf('img_%05d.jpg', frame + start) END AS file FROM w)
+SELECT doc_id, count(*) AS n, sum(frame)::BIGINT AS total, md5(string_agg(file, ' ' ORDER BY k, i)) AS files FROM f GROUP BY 1""")
+def g5_pretrain_frames(spark: SparkSession, d: str) -> DataFrame:
+    """File names of three stretches a clip, named and stepped by source."""
+    source = F.when(F.col("doc_id") % 3 == 0, "SomethingV2").when(F.col("doc_id") % 3 == 1, "AVA2.2").otherwise("other")
+    m = manifest(spark, d).withColumn("path", F.concat_ws("/", source, "path")).withColumn("start", F.col("doc_id") % 5)
+    out = views.pretrain_frames(m, 16, 4, 7, segments=3)
+    return out.select("doc_id", F.size("frames").cast("long").alias("n"), F.aggregate("frames", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"), F.md5(F.array_join("files", " ")).alias("files"))
+
+
 @query(f"WITH {_MAN}, z AS (SELECT doc_id, total, chunk, crop, 240 + doc_id % 100 AS height, 320 - doc_id % 100 AS width FROM man, range(5) a(chunk), range(3) b(crop)) SELECT doc_id, chunk::INT AS chunk, crop::INT AS crop, floor(chunk * greatest((total - 16) / 4, 0))::INT AS frame0, floor(crop * ((greatest(height, width) - 224) / 2))::INT AS pixel0, CASE WHEN height >= width THEN 'height' ELSE 'width' END AS axis FROM z")
 def g6_view_slices(spark: SparkSession, d: str) -> DataFrame:
     m = views.expand_views(manifest(spark, d), 5, 3).withColumn("height", 240 + F.col("doc_id") % 100).withColumn("width", 320 - F.col("doc_id") % 100)
@@ -575,3 +598,180 @@ def p10_masked_mse(spark: SparkSession, d: str) -> DataFrame:
     long = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample"), F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "pred"))
     long = long.withColumn("patch", F.floor(F.col("k") / 8)).withColumn("target", F.lit(0.1)).withColumn("hidden", F.col("patch") % 2 == 0).withColumn("decoded", F.col("patch") != 4)
     return pixels.masked_mse(long).withColumn("loss", F.round("loss", 6))
+
+
+def _weighted(x: Column) -> Column:
+    """Values times their place from 1, added up: an array that is moved or cut elsewhere has another sum."""
+    return F.round(F.aggregate(F.transform(x, lambda v, k: v * (k + 1)), F.lit(0.0), lambda s, v: s + v) + 1e-9, 4)
+
+
+def pictures(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+
+
+@query(f"WITH {_PX} SELECT vec_id, round(sum(v * ((k // 8 - 2) * 4 + k % 8 - 2 + 1)) + 1e-9, 4) AS weighted FROM l WHERE k // 8 BETWEEN 2 AND 5 AND k % 8 BETWEEN 2 AND 5 GROUP BY 1")
+def p1_center_crop(spark: SparkSession, d: str) -> DataFrame:
+    return pictures(spark, d).select("vec_id", _weighted(pixels.center_crop_array(F.col("x"), (8, 8, 1), 4, 4)).alias("weighted"))
+
+
+@query("""WITH g AS (SELECT k, greatest(0, least(7, (k // 6 + 0.5) * 8 / 5 - 0.5)) AS y, greatest(0, least(7, (k % 6 + 0.5) * 8 / 6 - 0.5)) AS x FROM range(30) r(k)),
+h AS (SELECT k, floor(y)::INT AS y0, least(floor(y)::INT + 1, 7) AS y1, y - floor(y) AS fy, floor(x)::INT AS x0, least(floor(x)::INT + 1, 7) AS x1, x - floor(x) AS fx FROM g),
+e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS p FROM embeddings)
+SELECT vec_id, round(sum((k + 1) * ((p[y0 * 8 + x0 + 1] * (1 - fy) + p[y1 * 8 + x0 + 1] * fy) * (1 - fx) + (p[y0 * 8 + x1 + 1] * (1 - fy) + p[y1 * 8 + x1 + 1] * fy) * fx)) + 1e-9, 4) AS weighted FROM e, h GROUP BY 1""")
+def p2_resize(spark: SparkSession, d: str) -> DataFrame:
+    return pictures(spark, d).select("vec_id", _weighted(pixels.resize_array(F.col("x"), (8, 8, 1), 5, 6)).alias("weighted"))
+
+
+@query("WITH l AS (SELECT vec_id, unnest(embedding[1:63])::DOUBLE AS v, unnest(range(63)) AS k FROM embeddings) SELECT vec_id, round(sum((k + 1) * (v / 255 - [0.485, 0.456, 0.406][k % 3 + 1]) / [0.229, 0.224, 0.225][k % 3 + 1]) + 1e-9, 4) AS weighted FROM l GROUP BY 1")
+def p4_normalize_channels(spark: SparkSession, d: str) -> DataFrame:
+    """63 values as 3 x 7 pixels of three channels."""
+    return pictures(spark, d).select("vec_id", _weighted(pixels.normalize_channels(F.slice("x", 1, 63))).alias("weighted"))
+
+
+_SQUARE = ", ".join([f"round(sum((k // 16 * 4 + k % 16 - {a} + 1) * v) FILTER (k % 16 BETWEEN {a} AND {a + 3}) + 1e-9, 4) AS wide{i}" for i, a in enumerate((0, 6, 12))] + [f"round(sum((k - {a * 4} + 1) * v) FILTER (k // 4 BETWEEN {a} AND {a + 3}) + 1e-9, 4) AS tall{i}" for i, a in enumerate((0, 6, 12))])
+
+
+@query(f"WITH {_PX} SELECT vec_id, {_SQUARE} FROM l GROUP BY 1")
+def p6_uniform_crop(spark: SparkSession, d: str) -> DataFrame:
+    """The three squares of 64 values as 4 x 16 and as 16 x 4 pixels."""
+    cut = lambda shape, i: _weighted(pixels.uniform_crop_array(F.col("x"), shape, 4, i))
+    return pictures(spark, d).select("vec_id", *[cut((4, 16, 1), i).alias(f"wide{i}") for i in range(3)], *[cut((16, 4, 1), i).alias(f"tall{i}") for i in range(3)])
+
+
+@query("SELECT date_trunc('second', ts)::TIMESTAMP AS ts, round(value::DOUBLE, 6) AS kw, count(*) AS n FROM events GROUP BY 1, 2")
+def a1_read_pv_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Events as CSV files of two layouts, with a comma in the value's name, read as one table."""
+    at, value = new_folder(spark, "csv"), "power, kW"
+    e = table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("Date"), F.col("value").cast("double").alias(value), (F.col("event_id") % 2).alias("_half"))
+    e.where("_half = 0").select("Date", value, "event_type").write.option("header", True).csv(f"{at}/a")
+    e.where("_half = 1").select("event_type", F.lit("x, y").alias("note"), value, "Date").write.option("header", True).csv(f"{at}/b")
+    read = files.read_pv_csv(spark, [f"{at}/a", f"{at}/b"], value)
+    return read.groupBy("ts", F.round("kw", 6).alias("kw")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_R} SELECT sensor_id, ts, round(kw, 6) AS kw FROM r WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-12 18:00:00'")
+def a2_series_store(spark: SparkSession, d: str) -> DataFrame:
+    """The series stored by day, a week of it stored again, and a stretch read back."""
+    at, r = new_folder(spark, "series"), readings(spark, d)
+    files.write_series(r, at)
+    files.write_series(clean.between_times(r, "2024-01-08 00:00:00", "2024-01-15 00:00:00", "left"), at)
+    out = files.read_series(spark, at, "2024-01-05 06:00:00", "2024-01-12 18:00:00")
+    return out.select("sensor_id", "ts", F.round("kw", 6).alias("kw"))
+
+
+_STORED = "d AS (SELECT source, TIMESTAMP '2024-01-01' + to_minutes(doc_id % 1000 * 43 + doc_id // 1000) AS ts FROM documents WHERE doc_id IS NOT NULL)"
+
+
+@query(f"WITH {_STORED} SELECT DISTINCT strftime(ts, '%Y/%m/') || source || strftime(ts, '/%d/%Y%m%d%H%M%S.jpg') AS path, ts FROM d WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-12 18:00:00'")
+def a3_list_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files of a frame folder, and the frames of some days."""
+    at = new_folder(spark, "frames")
+    docs = table(spark, d, "documents").where("doc_id is not null")
+    ts = (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=(F.col("doc_id") % 1000 * 43 + F.floor(F.col("doc_id") / 1000)).cast("int"))).cast("timestamp_ntz")
+    path = F.concat_ws("/", F.date_format(ts, "yyyy"), F.date_format(ts, "MM"), "source", F.date_format(ts, "dd"), F.concat(F.date_format(ts, "yyyyMMddHHmmss"), F.lit(".jpg")))
+    files.write_frames(docs.select(path.alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("data")), at)
+    out = files.list_frames(spark, at, "2024-01-05 06:00:00", "2024-01-12 18:00:00", by_day=True)
+    return out.select(F.regexp_extract("path", r"(\d{4}/\d{2}/[^/]+/\d{2}/\d{14}\.jpg)$", 1).alias("path"), "ts")
+
+
+@query(f"WITH {_F} SELECT camera_id, ts FROM f WHERE ts::DATE::VARCHAR IN ({_DAYS_SQL}) AND ts <> ts::DATE AND ts >= TIMESTAMP '2024-01-04' AND ts < TIMESTAMP '2024-01-20 12:00:00'")
+def a5_sample_store(spark: SparkSession, d: str) -> DataFrame:
+    """Samples stored by split and day in batches, one of them twice, and the test samples of a stretch read back."""
+    at, s = new_folder(spark, "samples"), samples.split_by_days(frames(spark, d), DAYS)
+    early, late = (s.where(f"to_date(ts) {sign} date'2024-01-10'") for sign in ("<", ">="))
+    for batch in (early, late, early):
+        files.write_samples(batch, at)
+    return files.read_samples(spark, at, "test", "2024-01-04 00:00:00", "2024-01-20 12:00:00").select("camera_id", "ts")
+
+
+_LINES = _MAN + ", t AS (SELECT CASE WHEN doc_id % 17 = 0 THEN concat_ws(' ', path, total) WHEN doc_id % 19 = 0 THEN concat_ws(' ', path, total, 'x') ELSE concat_ws(' ', path, total, label) END AS line, * FROM man)"
+
+
+@query(f"WITH {_LINES} SELECT CASE WHEN doc_id % 17 > 0 AND doc_id % 19 > 0 THEN 'root/' || path END AS path, CASE WHEN doc_id % 17 > 0 AND doc_id % 19 > 0 THEN total END::INT AS total, CASE WHEN doc_id % 17 > 0 AND doc_id % 19 > 0 THEN label END::INT AS label, CASE WHEN doc_id % 17 = 0 THEN 'short manifest line' WHEN doc_id % 19 = 0 THEN 'manifest line whose label isn''t a number' END AS reason, CASE WHEN doc_id % 17 = 0 OR doc_id % 19 = 0 THEN line END AS line FROM t")
+def a6_read_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest with some bad lines: its entries, and the report of the others."""
+    at, m = new_folder(spark, "manifest"), manifest(spark, d)
+    bad = F.when(F.col("doc_id") % 17 == 0, F.concat_ws(" ", "path", "total")).when(F.col("doc_id") % 19 == 0, F.concat_ws(" ", "path", "total", F.lit("x")))
+    m.select(F.coalesce(bad, F.concat_ws(" ", "path", "total", "label")).alias("value")).write.text(at)
+    right = files.read_manifest(spark, at, "frames", "root", strict=False)
+    return right.unionByName(files.manifest_errors(spark, at, "frames").select("reason", "line"), allowMissingColumns=True)
+
+
+@query("SELECT vec_id::VARCHAR AS clip_id, label::DOUBLE AS label, (vec_id % 5)::INT AS chunk, (vec_id % 3)::INT AS crop, len(embedding)::INT AS n, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: i * embedding[i]::DOUBLE)) + 1e-9, 4) AS weighted FROM embeddings")
+def a7_prediction_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as prediction shards, read back."""
+    at = new_folder(spark, "shards")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("clip_id"), F.col("embedding").cast("array<double>").alias("logits"), "label", (F.col("vec_id") % 5).alias("chunk"), (F.col("vec_id") % 3).alias("crop"))
+    files.write_prediction_shards(e, at, 8)
+    out = files.read_prediction_shards(spark, at)
+    return out.select("clip_id", "label", "chunk", "crop", F.size("logits").alias("n"), _weighted(F.col("logits")).alias("weighted"))
+
+
+@query("SELECT (user_id % 10)::INT AS fold, event_id AS epoch, round(value::DOUBLE, 6) AS val_loss FROM events")
+def a8_epoch_log(spark: SparkSession, d: str) -> DataFrame:
+    """Losses as JSON lines in two appended parts, read back."""
+    at = new_folder(spark, "log")
+    e = table(spark, d, "events").select((F.col("user_id") % 10).cast("int").alias("fold"), F.col("event_id").alias("epoch"), F.col("value").cast("double").alias("val_loss"))
+    for part in (e.where("epoch % 2 = 0"), e.where("epoch % 2 = 1")):
+        files.write_log(part, at)
+    return files.read_log(spark, at, "fold int, epoch long, val_loss double").withColumn("val_loss", F.round("val_loss", 6))
+
+
+@query("WITH c AS (SELECT source AS name, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), k AS (SELECT name, (row_number() OVER (ORDER BY name) - 1)::INT AS class_id, (n % 7)::INT AS target FROM c) SELECT class_id, name, target FROM k")
+def a9_label_maps(spark: SparkSession, d: str) -> DataFrame:
+    """The sources as a list of classes and as a map to fewer ones, read back."""
+    at = new_folder(spark, "labels")
+    c = table(spark, d, "documents").where("source is not null").groupBy(F.col("source").alias("name")).agg((F.count(F.lit(1)) % 7).alias("target"))
+    k = with_position(c.withColumn("_all", F.lit(0)), "_all", [F.col("_all")], [F.col("name")], "class_id").drop("_all")
+    files.write_label_names(k, f"{at}/names")
+    files.write_label_map(k, f"{at}/map")
+    return files.read_label_names(spark, f"{at}/names").join(files.read_label_map(spark, f"{at}/map"), "class_id")
+
+
+CUTS = ["2024-01-10 00:00:00", "2024-01-20 00:00:00"]
+_READING = "sensor_id string, ts timestamp, kw double"
+
+
+def _feed(df: DataFrame) -> DataFrame:
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(f"WITH {_R} SELECT sensor_id, ts, round(kw, 6) AS kw FROM r")
+def s1_stream_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Readings that come in three deliveries, the last day of each twice, through a stream that is stopped and goes on."""
+    at, feed = new_folder(spark, "s1"), _feed(readings(spark, d))
+    parts = replay.slices(feed, CUTS)
+    again = [None, *[feed.where((F.col("ts") >= F.lit(c).cast("timestamp") - F.expr("interval 1 day")) & (F.col("ts") < F.lit(c).cast("timestamp"))) for c in CUTS]]
+    turns = [[(p if a is None else p.unionByName(a), f"{at}/in")] for p, a in zip(parts, again, strict=True)]
+    out = replay.replay(lambda: live.stream_readings(spark, f"{at}/in", _READING), turns, f"{at}/out", f"{at}/checkpoint", _READING)
+    return out.select("sensor_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("kw", 6).alias("kw"))
+
+
+@query(f"WITH {_R} SELECT sensor_id, time_bucket(INTERVAL 10 MINUTE, ts) AS ts, round(arg_min(kw, ts), 6) AS kw FROM r GROUP BY 1, 2")
+def s2_stream_resample(spark: SparkSession, d: str) -> DataFrame:
+    """First readings of ten minutes from three deliveries; half of the last 20 minutes of each come with the next one."""
+    at, feed = new_folder(spark, "s2"), _feed(readings(spark, d))
+    late = F.lit(False)
+    for c in CUTS:
+        cut = F.lit(c).cast("timestamp")
+        late = late | ((F.col("ts") >= cut - F.expr("interval 20 minutes")) & (F.col("ts") < cut) & (F.unix_seconds("ts") % 2 == 0))
+    shown = feed.withColumn("_at", F.when(late, F.col("ts") + F.expr("interval 20 minutes")).otherwise(F.col("ts")))
+    end = feed.agg((F.max("ts") + F.expr("interval 2 days")).alias("ts")).select(F.lit(None).cast("string").alias("sensor_id"), "ts", F.lit(0.0).alias("kw"))
+    parts = [p.drop("_at") for p in replay.slices(shown, CUTS, "_at")]
+    turns = [[(p, f"{at}/in")] for p in (*parts[:-1], parts[-1].unionByName(end))]
+    stream = lambda: live.stream_resample(spark.readStream.schema(_READING).parquet(f"{at}/in"), "10 minutes", "1 hour")
+    out = replay.replay(stream, turns, f"{at}/out", f"{at}/checkpoint", _READING).where("sensor_id is not null")
+    return out.select("sensor_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("kw", 6).alias("kw"))
+
+
+@query(f"WITH {_H}, {_F} SELECT camera_id, f.ts, round(kw, 6) AS kw FROM f JOIN h ON h.sensor_id = camera_id AND h.ts = f.ts")
+def s3_stream_pair(spark: SparkSession, d: str) -> DataFrame:
+    """Frames and hourly power as two streams; power comes one delivery later than its frames."""
+    at = new_folder(spark, "s3")
+    f = [(p, f"{at}/frames") for p in replay.slices(_feed(frames(spark, d)).withColumn("path", F.lit("")), CUTS)]
+    pv = [(p, f"{at}/pv") for p in replay.slices(_feed(hourly(spark, d)), CUTS)]
+    turns = [[f[0], (pv[0][0].limit(0), pv[0][1])], [f[1], pv[0]], [f[2], pv[1]], [pv[2]]]
+    read = lambda schema, name: spark.readStream.schema(schema).parquet(f"{at}/{name}")
+    stream = lambda: live.stream_pair(read("camera_id string, ts timestamp, path string", "frames"), read(_READING, "pv"))
+    out = replay.replay(stream, turns, f"{at}/out", f"{at}/checkpoint", "camera_id string, ts timestamp, path string, kw double")
+    return out.select("camera_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("kw", 6).alias("kw"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from heliograph.functions.arrays import indices, let
+
 #: The sky circle's centre and radius by image size.
 SKY = {64: (30, 30, 31), 224: (108, 110, 108)}
 MEAN, STD = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
@@ -42,16 +44,17 @@ def center_crop(df: DataFrame, h: int, w: int) -> DataFrame:
     return map_images(df, cut)
 
 
-def bilinear(x: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Half-pixel bilinear resampling, rounded."""
+def sample_points(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For ``m`` half-pixel places along ``n`` pixels: the pixels on both sides and the weight of the second."""
+    at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+    low = np.floor(at).astype(int)
+    return low, np.minimum(low + 1, n - 1), at - low
 
-    def axis(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
-        low = np.floor(at).astype(int)
-        return low, np.minimum(low + 1, n - 1), at - low
 
-    y0, y1, fy = axis(x.shape[0], h)
-    x0, x1, fx = axis(x.shape[1], w)
+def bilinear(x: np.ndarray, h: int, w: int) -> np.ndarray:
+    """Half-pixel bilinear resampling, rounded."""
+    y0, y1, fy = sample_points(x.shape[0], h)
+    x0, x1, fx = sample_points(x.shape[1], w)
     rows = x[y0] * (1 - fy)[:, None, None] + x[y1] * fy[:, None, None]
     return np.rint(rows[:, x0] * (1 - fx)[None, :, None] + rows[:, x1] * fx[None, :, None]).astype(np.uint8)
 
@@ -60,21 +63,66 @@ def resize(df: DataFrame, size: int) -> DataFrame:
     return map_images(df, lambda x: bilinear(x, size, size))
 
 
+def square_corner(h: int, w: int, size: int, index: int) -> tuple[int, int]:
+    """Top and left of the first, middle or last square along the longer side."""
+    top, left = -(-(h - size) // 2), -(-(w - size) // 2)
+    return ((0, top, h - size)[index], left) if h > w else (top, (0, left, w - size)[index])
+
+
 def uniform_crop(df: DataFrame, size: int, index: int) -> DataFrame:
     """Left, centre or right square (top, centre, bottom of a taller image)."""
 
     def cut(x: np.ndarray) -> np.ndarray:
-        h, w = x.shape[:2]
-        top, left = -(-(h - size) // 2), -(-(w - size) // 2)
-        if h > w:
-            top = (0, top, h - size)[index]
-        else:
-            left = (0, left, w - size)[index]
+        top, left = square_corner(*x.shape[:2], size, index)
         return x[top : top + size, left : left + size]
 
     return map_images(df, cut)
 
 
+def gather(pixels: Column, at: Callable[[Column], Column], n: int) -> Column:
+    """The ``n`` values of a flattened image at the computed places ``at(0), at(1), …``."""
+    return let(pixels, lambda x: F.transform(indices(n), lambda k: F.get(x, at(k))))
+
+
+def _window(pixels: Column, width: int, channels: int, top: int, left: int, h: int, w: int) -> Column:
+    row, column, channel = (lambda k: F.floor(k / (w * channels))), (lambda k: F.floor(k / channels) % w), (lambda k: k % channels)
+    return gather(pixels, lambda k: (((row(k) + top) * width + column(k) + left) * channels + channel(k)).cast("int"), h * w * channels)
+
+
+def center_crop_array(pixels: Column, shape: tuple[int, int, int], h: int, w: int) -> Column:
+    """The middle ``h`` x ``w`` of an image that is flattened by row, column and channel; ``shape`` is that of the image."""
+    return _window(pixels, shape[1], shape[2], (shape[0] - h) // 2, (shape[1] - w) // 2, h, w)
+
+
+def uniform_crop_array(pixels: Column, shape: tuple[int, int, int], size: int, index: int) -> Column:
+    """Left, centre or right square (top, centre, bottom of a taller image) of a flattened image, like ``uniform_crop``."""
+    top, left = square_corner(shape[0], shape[1], size, index)
+    return _window(pixels, shape[1], shape[2], top, left, size, size)
+
+
+def resize_array(pixels: Column, shape: tuple[int, int, int], h: int, w: int) -> Column:
+    """Half-pixel bilinear resampling of a flattened image, not rounded; places and weights of rows and columns are constants."""
+    height, width, channels = shape
+    literal = lambda x: F.array(*[F.lit(v) for v in x.tolist()])
+    (y0, y1, fy), (x0, x1, fx) = (tuple(literal(v) for v in sample_points(*ends)) for ends in ((height, h), (width, w)))
+
+    def value(x: Column, k: Column) -> Column:
+        i, j, c = F.floor(k / (w * channels)).cast("int"), (F.floor(k / channels) % w).cast("int"), k % channels
+        at = lambda rows, columns: F.get(x, (F.get(rows, i) * width + F.get(columns, j)) * channels + c)
+        down, right = F.get(fy, i), F.get(fx, j)
+        left_ = at(y0, x0) * (1 - down) + at(y1, x0) * down
+        right_ = at(y0, x1) * (1 - down) + at(y1, x1) * down
+        return left_ * (1 - right) + right_ * right
+
+    return let(pixels, lambda x: F.transform(indices(h * w * channels), lambda k: value(x, k)))
+
+
+def normalize_channels(pixels: Column, mean: tuple[float, ...] = MEAN, std: tuple[float, ...] = STD) -> Column:
+    """Bytes of a flattened image to (x / 255 - mean) / std, each channel by its own; channels come last."""
+    m, s = (F.array(*[F.lit(v) for v in values]) for values in (mean, std))
+    return F.transform(pixels, lambda v, k: (v / 255 - F.get(m, k % len(mean))) / F.get(s, k % len(std)))
+
+
 def mask_images(df: DataFrame, size: int) -> DataFrame:
     ci, cj, r = SKY[size]
     i, j = np.ogrid[:size, :size]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -42,19 +44,36 @@ def lag_stack(frames: DataFrame, pv: DataFrame, height: int, step: int) -> DataF
     return stacks.where(F.size("s") == height).select("camera_id", "ts", F.transform("s", lambda x: x["kw"]).alias("pv_log"))
 
 
+#: Neighbouring maps that are put together at once in ``thin``.
+FAN = 16
+
+
+def _entries(t: np.ndarray, border: int) -> int:
+    """How many of the sorted times can be the first kept one of a stretch: those up to ``border``, and the next."""
+    return int(np.searchsorted(t, border, "right")) + 1
+
+
 def thin(candidates: DataFrame, anchor: DataFrame, min_gap: int) -> DataFrame:
     """Greedy thinning in time order: keep a candidate more than ``min_gap`` seconds after the last kept one; the first
     reference is the series' ``anchor`` (``camera_id, ts``).
 
-    Times are folded in buckets of a day or 16 gaps. The last kept time before a bucket lies before its start, so only times up to
-    one gap into it can be its first kept one; for these each bucket tells its last kept time, and a small fold over the buckets
-    of a series picks where each of them begins.
+    Times are dealt to buckets of a day or 16 gaps. The last kept time before a bucket lies before its start, so only times up to
+    one gap into it, and the next one, can be its first kept one: each bucket is a map from these to its last kept time. Maps of 16
+    neighbouring buckets are put together to one of their stretch, and so on up to one map a series; then the first kept time goes
+    down again from stretch to parts. A group holds what 16 gaps can hold at most, whatever the length of the series, and the
+    number of rounds grows with its logarithm.
     """
-    size = max(86400, 16 * min_gap)
+    size = max(86400, FAN * min_gap)
     first = anchor.select("camera_id", seconds("ts").alias("a"))
     late = candidates.select("camera_id", seconds("ts").alias("s")).join(first, "camera_id").where(F.col("s") - F.col("a") > min_gap)
-    late = late.select("camera_id", F.floor(F.col("s") / size).alias("bucket"), "s").distinct()
+    low, high = late.agg(F.min("s"), F.max("s")).first()
+    low = (low or 0) // size
+    levels = 0
+    while FAN**levels <= (high or 0) // size - low:
+        levels += 1
+    late = late.select("camera_id", (F.floor(F.col("s") / size) - low).alias("bucket"), "s").distinct()
     camera = candidates.schema["camera_id"].dataType.simpleString()
+    start = lambda bucket, level: (bucket * FAN**level + low) * size
 
     def following(t: np.ndarray) -> np.ndarray:
         return np.searchsorted(t, t + min_gap, "right")
@@ -65,29 +84,55 @@ def thin(candidates: DataFrame, anchor: DataFrame, min_gap: int) -> DataFrame:
         for i in range(len(t) - 1, -1, -1):
             if near[i] < len(t):
                 last[i] = last[near[i]]
-        n = int(np.searchsorted(t, key[1] * size - 1 + min_gap, "right")) + 1
+        n = _entries(t, start(key[1], 0) - 1 + min_gap)
         return pd.DataFrame({"camera_id": key[0], "bucket": key[1], "entry": t[:n], "last": last[:n]})
 
-    def chained(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, rows = pdf.sort_values(["bucket", "entry"]), None, []
-        for bucket, entry, last in zip(pdf["bucket"], pdf["entry"], pdf["last"], strict=True):
-            if (not rows or rows[-1][0] != bucket) and (kept is None or entry - kept > min_gap):
-                rows.append((bucket, entry))
-                kept = last
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["camera_id", "bucket", "entry"])
+    def parts_of(pdf: pd.DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        return [(int(b), g["entry"].to_numpy(np.int64), g["last"].to_numpy(np.int64)) for b, g in pdf.sort_values(["bucket", "entry"]).groupby("bucket")]
+
+    def put_together(level: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+        def stretch(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            parts = parts_of(pdf)
+            every = np.concatenate([entry for _, entry, _ in parts])
+            every = every[: _entries(every, start(key[1], level) - 1 + min_gap)]
+            last = np.full(len(every), np.iinfo(np.int64).min // 2)
+            for _, entry, end in parts:
+                own = np.searchsorted(entry, every)
+                begins = (own < len(entry)) & (entry[np.minimum(own, len(entry) - 1)] == every)
+                at = np.where(begins, own, np.searchsorted(entry, last + min_gap, "right"))
+                go = (begins | (last > np.iinfo(np.int64).min // 2)) & (at < len(entry))
+                last = np.where(go, end[np.minimum(at, len(entry) - 1)], last)
+            return pd.DataFrame({"camera_id": key[0], "bucket": key[1], "entry": every, "last": last})
+
+        return stretch
+
+    def handed_down(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        kept, rows = None, []
+        for bucket, entry, end in parts_of(pdf):
+            at = int(np.searchsorted(entry, pdf["begin"].iloc[0] if kept is None else kept + min_gap + 1))
+            if at < len(entry) and (kept is not None or entry[at] == pdf["begin"].iloc[0]):
+                rows.append((key[0], bucket, entry[at]))
+                kept = int(end[at])
+        return pd.DataFrame(rows, columns=["camera_id", "bucket", "begin"])
 
     def kept_times(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["s"].to_numpy(np.int64))
-        near, at, rows = following(t), int(np.searchsorted(t, pdf["entry"].iloc[0])), []
+        near, at, rows = following(t), int(np.searchsorted(t, pdf["begin"].iloc[0])), []
         while at < len(t):
             rows.append(t[at])
             at = int(near[at])
         return pd.DataFrame({"camera_id": key[0], "s": rows})
 
-    by = ["camera_id", "bucket"]
-    entries = late.groupBy(*by).applyInPandas(exits, f"camera_id {camera}, bucket long, entry long, last long")
-    entries = entries.groupBy("camera_id").applyInPandas(chained, f"camera_id {camera}, bucket long, entry long")
-    kept = late.join(entries, by).groupBy(*by).applyInPandas(kept_times, f"camera_id {camera}, s long")
+    by, mapped = ["camera_id", "bucket"], f"camera_id {camera}, bucket long, entry long, last long"
+    up = F.floor(F.col("bucket") / FAN).alias("up")
+    maps = [late.groupBy(*by).applyInPandas(exits, mapped)]
+    for level in range(1, levels):
+        maps.append(maps[-1].groupBy("camera_id", up).applyInPandas(put_together(level), mapped))
+    begins = late.groupBy("camera_id").agg(F.min("s").alias("begin")).withColumn("bucket", F.lit(0).cast("long"))
+    for below in reversed(maps):
+        above = begins.select("camera_id", F.col("bucket").alias("up"), "begin")
+        begins = below.withColumn("up", F.floor(F.col("bucket") / FAN)).join(above, ["camera_id", "up"]).groupBy("camera_id", "up").applyInPandas(handed_down, f"camera_id {camera}, bucket long, begin long")
+    kept = late.join(begins, by).groupBy(*by).applyInPandas(kept_times, f"camera_id {camera}, s long")
     return kept.select("camera_id", from_seconds(F.col("s")).alias("ts"))
 
 
