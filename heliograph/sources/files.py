@@ -6,6 +6,7 @@ import csv
 import datetime as dt
 from collections.abc import Iterator
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,7 +48,7 @@ def read_heads(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, .
     heads: dict[tuple[str, ...], list[str]] = {}
     for r in rows:
         names = next(csv.reader([r["value"].lstrip("\ufeff")]), [])
-        heads.setdefault(tuple(n.strip() for n in names), []).append(r["file"])
+        heads.setdefault(tuple(n.strip() for n in names), []).append(unquote(r["file"]))  # Spark tells paths in URI form
     return heads
 
 
