@@ -1,7 +1,7 @@
 """Document quality rules with host-level verdicts; DataFrame functions only.
 
 Rules fail documents one by one; failures are then counted by host, each host's rate is shrunk towards the corpus by a beta
-prior that is fitted to the rates of all hosts, and the host's verdict goes back to its documents.
+prior that is fitted to the rates of all hosts, and the host's verdict, taken from its posterior, goes back to its documents.
 
 Defined results: a null text has no words and fails the base rule; null hosts are one host of their own; repeated rows are
 counted and returned as often as they occur; extra columns of the input are ignored unless named in ``carry``; an empty table
@@ -22,10 +22,11 @@ REPEAT_PERCENT = 30
 SYMBOL_PERCENT = 10
 DUP_LINE_PERCENT = 30
 WORD_LENGTHS = (2, 12)
-#: A host is rejected when its shrunk failure rate is above the prior's mean by more than so many of the prior's deviations.
-HOST_DEVIATIONS = 0.0
-#: Strength of the prior when the hosts' rates don't vary (one host, or equal rates).
-FLAT_STRENGTH = 20.0
+#: A host is rejected when its shrunk failure rate is above the prior's mean by more than so many deviations of its own posterior:
+#: with a probability of 0.95 its true rate is above the mean.
+HOST_DEVIATIONS = 1.645
+#: Strength of the prior, in documents, when the hosts' rates vary no more than chance lets them (or there is one host only).
+FLAT_STRENGTH = 1e6
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -74,18 +75,23 @@ def features(docs: DataFrame, carry: tuple[str, ...], text: str, host: str) -> D
 def host_verdicts(rated: DataFrame, deviations: float = HOST_DEVIATIONS) -> DataFrame:
     """``host, docs, failures, host_rate, host_rejected`` from rows with ``host, base_failed, soft_failed``.
 
-    The prior is beta with mean and variance of the hosts' raw rates (method of moments); its parameters are one row. A host is
-    rejected if its shrunk rate is above what the prior expects: equal rates reject none.
+    The prior is beta (method of moments): its mean is that of the hosts' raw rates, its variance theirs without what counting so
+    many documents gives by chance; its parameters are one row. A host's rate has a beta posterior, whose mean is the rate shrunk
+    by the prior's strength and whose deviation falls with the host's documents. A host is rejected where this mean is more than
+    ``deviations`` of its own deviations above the prior's: of two hosts with one raw rate, a large one may be and a small one not.
     """
     hosts = rated.groupBy("host").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("base_failed") | F.col("soft_failed")).alias("failures"))
     hosts = written(hosts, "hosts")
-    prior = hosts.agg(F.avg(F.col("failures") / F.col("docs")).alias("m"), F.var_pop(F.col("failures") / F.col("docs")).alias("v"))
-    strength = F.when(F.col("v") > 1e-9, F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1e-3))).otherwise(FLAT_STRENGTH)
-    prior = prior.select(strength.alias("k"), "m", (F.col("m") + deviations * F.sqrt("v") + 1e-9).alias("limit"))
+    raw = F.col("failures") / F.col("docs")
+    prior = hosts.agg(F.avg(raw).alias("m"), F.var_pop(raw).alias("v"), F.avg(1 / F.col("docs")).alias("one"))
+    single = F.col("m") * (1 - F.col("m"))
+    own = F.col("v") - single * F.col("one")
+    prior = prior.select("m", F.when(own > 1e-9, F.greatest(single / own - 1, F.lit(1e-3))).otherwise(FLAT_STRENGTH).alias("k"))
     rate = (F.col("failures") + F.col("m") * F.col("k")) / (F.col("docs") + F.col("k"))
+    deviation = F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("docs") + F.col("k") + 1))
     # one row of prior beside each host
     out = hosts.crossJoin(F.broadcast(prior)).withColumn("host_rate", rate)
-    return out.select("host", "docs", "failures", "host_rate", (F.col("host_rate") > F.col("limit")).alias("host_rejected"))
+    return out.select("host", "docs", "failures", "host_rate", (F.col("host_rate") - F.col("m") > deviations * deviation + 1e-9).alias("host_rejected"))
 
 
 def _with_verdicts(rated: DataFrame, hosts: DataFrame) -> DataFrame:

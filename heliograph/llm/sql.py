@@ -21,9 +21,10 @@ v AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {q
         100 * n_symbols > {quality_rules.SYMBOL_PERCENT} * n_words OR 100 * n_dup_lines > {quality_rules.DUP_LINE_PERCENT} * n_lines
         OR word_chars < {quality_rules.WORD_LENGTHS[0]} * n_words OR word_chars > {quality_rules.WORD_LENGTHS[1]} * n_words AS soft_failed FROM f),
 h AS (SELECT host, count(*) AS docs, count(*) FILTER (base_failed OR soft_failed) AS failures FROM v GROUP BY host),
-p AS (SELECT avg(failures / docs) AS m, var_pop(failures / docs) AS s FROM h),
-q AS (SELECT m, m + {quality_rules.HOST_DEVIATIONS} * sqrt(s) + 1e-9 AS lim, CASE WHEN s > 1e-9 THEN greatest(m * (1 - m) / s - 1, 1e-3) ELSE {quality_rules.FLAT_STRENGTH} END AS k FROM p),
-r AS (SELECT host, (failures + m * k) / (docs + k) > lim AS host_rejected FROM h, q)
+p AS (SELECT avg(failures / docs) AS m, var_pop(failures / docs) AS v, avg(1 / docs) AS one FROM h),
+q AS (SELECT m, CASE WHEN v - m * (1 - m) * one > 1e-9 THEN greatest(m * (1 - m) / (v - m * (1 - m) * one) - 1, 1e-3) ELSE {quality_rules.FLAT_STRENGTH} END AS k FROM p),
+e AS (SELECT host, m, k, docs, (failures + m * k) / (docs + k) AS rate FROM h, q),
+r AS (SELECT host, rate - m > {quality_rules.HOST_DEVIATIONS} * sqrt(rate * (1 - rate) / (docs + k + 1)) + 1e-9 AS host_rejected FROM e)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, soft_failed, host_rejected,
     NOT base_failed AND NOT (host_rejected AND soft_failed) AS kept
 FROM v JOIN r ON v.host IS NOT DISTINCT FROM r.host

@@ -75,6 +75,22 @@ def test_poor_hosts_lose_only_failing_documents(spark):
     assert all(r.kept for r in quality_rules.quality_rules(same).collect())
 
 
+def test_hosts_of_one_raw_rate_and_different_sizes_get_different_verdicts(spark):
+    """30 % failures are chance for 10 documents, and not for 1000; a mean of raw rates would reject both."""
+    sizes = {"small": (10, 3), "large": (1000, 300), **{f"plain{i}": (400, 30 + 4 * i) for i in range(6)}}
+    rows = [(host, i < failed) for host, (n, failed) in sizes.items() for i in range(n)]
+    rated = spark.createDataFrame(rows, "host string, soft_failed boolean").withColumn("base_failed", F.lit(False))
+    out = {r.host: r for r in quality_rules.host_verdicts(rated).collect()}
+    assert out["large"].host_rejected and not out["small"].host_rejected and out["small"].host_rate < out["large"].host_rate
+    assert not any(out[f"plain{i}"].host_rejected for i in range(6))
+
+
+def test_rates_that_vary_by_chance_only_reject_no_host(spark):
+    rows = [(f"h{i}", j < n) for i, n in enumerate([71, 75, 68, 80, 74, 77, 70, 79]) for j in range(500)]
+    rated = spark.createDataFrame(rows, "host string, soft_failed boolean").withColumn("base_failed", F.lit(False))
+    assert not any(r.host_rejected for r in quality_rules.host_verdicts(rated).collect())
+
+
 def test_license_positions_and_suppression(spark):
     d = docs(spark, ["Released under the MIT License. CC BY-NC 4.0, cc by nc", "commit license", "GNU General Public License, version 3 or later"])
     out = {r.doc_id: r for r in license_scan.scan_licenses(d).collect()}
