@@ -64,20 +64,24 @@ def _op10() -> str:
     parts, n = [], len(secret_scan.BASE)
     for i, (kind, pattern, group, least) in enumerate(secret_scan.KINDS):
         value = f"regexp_extract_all(body, {_quoted(pattern)}, {group})" if group else f"regexp_extract_all(body, {_quoted(pattern)})"
-        parts.append(f"SELECT rid, {i} AS ord, '{kind}' AS kind, {least} AS least, string_split_regex(body, {_quoted(pattern)}) AS gaps, regexp_extract_all(body, {_quoted(pattern)}) AS alls, {value} AS vals FROM d")
+        parts.append(f"SELECT rid, {i} AS ord, '{kind}' AS kind, {least} AS least, {secret_scan.TAILS.get(kind, 0)} AS tail, string_split_regex(body, {_quoted(pattern)}) AS gaps, regexp_extract_all(body, {_quoted(pattern)}) AS alls, {value} AS vals FROM d")
     counts = ", ".join(f"count(*) FILTER (ord = {i}) AS n_{k[0]}" for i, k in enumerate(secret_scan.BASE))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS body FROM documents),
 hit AS ({' UNION ALL '.join(parts)}),
 each AS (SELECT *, unnest(range(1, len(alls) + 1)) AS i FROM hit),
-span AS (SELECT rid, ord, kind, length(array_to_string(gaps[1:i], '')) + length(array_to_string(alls[1:i - 1], '')) AS a, length(alls[i]) AS n, sha256(vals[i]) AS hash FROM each WHERE length(vals[i]) >= least),
-copied AS (SELECT hash FROM span JOIN d USING (rid) GROUP BY hash HAVING count(DISTINCT doc_id) > {secret_scan.MAX_REPOS} AND count(DISTINCT source) > {secret_scan.MAX_OWNERS}),
-judged AS (SELECT span.*, kind || ':' || a || ':' || (a + n) AS said, span.hash NOT IN (SELECT hash FROM copied) AS live FROM span),
-g AS (SELECT rid, {counts}, string_agg(said, ',' ORDER BY a, ord) FILTER (ord < {n}) AS base, string_agg(said, ',' ORDER BY a, ord) FILTER (ord < {n} OR live) AS spans,
-    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM judged GROUP BY rid)
+span AS (SELECT rid, ord, kind, tail, length(array_to_string(gaps[1:i], '')) + length(array_to_string(alls[1:i - 1], '')) AS a, length(alls[i]) AS n, length(vals[i]) AS v, sha256(vals[i]) AS hash FROM each WHERE length(vals[i]) >= least),
+held AS (SELECT hash, source, count(DISTINCT doc_id) AS n FROM span JOIN d USING (rid) WHERE doc_id IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2),
+copied AS (SELECT hash FROM held GROUP BY hash HAVING 100 * max(n) <= {secret_scan.OWN_PERCENT} * sum(n)),
+judged AS (SELECT span.*, span.hash NOT IN (SELECT hash FROM copied) AS live FROM span),
+said AS (SELECT rid, ord, a, kind || ':' || a || ':' || (a + n) AS what, ord < {n} AS base FROM judged s
+    WHERE ord < {n} OR (live AND NOT EXISTS (SELECT 1 FROM span b WHERE b.rid = s.rid AND b.ord < {n} AND b.a < s.a + s.n AND s.a < b.a + b.n))
+    UNION ALL SELECT DISTINCT rid, {len(secret_scan.KINDS)}, a + n - tail - v, 'example:' || (a + n - tail - v) || ':' || (a + n - tail), false FROM judged WHERE NOT live AND ord < {n}),
+g AS (SELECT rid, string_agg(what, ',' ORDER BY a, ord) FILTER (base) AS base, string_agg(what, ',' ORDER BY a, ord) AS spans FROM said GROUP BY rid),
+c AS (SELECT rid, {counts}, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM judged GROUP BY rid)
 SELECT doc_id, {', '.join(f'coalesce(n_{k[0]}, 0) AS n_{k[0]}' for k in secret_scan.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
     coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
-FROM d LEFT JOIN g USING (rid)
+FROM d LEFT JOIN g USING (rid) LEFT JOIN c USING (rid)
 """
 
 

@@ -396,6 +396,17 @@ def test_quoted_candidates_are_judged_by_owners(spark):
     assert out[0].spans == "" and out[0].n_example == 1 and out[6].spans == f"quoted:4:{len(texts[6])}"
 
 
+def test_copies_over_owners_are_marked_as_examples(spark):
+    """One owner may hold a value as often as it likes; spread over owners it is an example, marked once for all kinds."""
+    mine, shared = "0123456789abcdef0123456789aa", "f123456789abcdef0123456789ff"
+    texts = [f'token = "{mine}" {i}' for i in range(6)] + [f'token = "{shared}" {i}' for i in range(4)] + [f'key: "{mine}"', "AKIA" + "Q" * 16]
+    owners = ["a"] * 5 + ["b"] + ["a", "b", "c", "c"] + [None, None]
+    out = {r.doc_id: r for r in secret_scan.scan_secrets(docs(spark, texts, owners)).collect()}
+    assert out[0].spans == "assign:0:37,hex:9:37" and out[0].n_live == 3 and out[5].n_live == 3  # assign, hex and quoted
+    assert out[6].spans == "assign:0:37,hex:9:37,example:9:37" and out[6].n_example == 3
+    assert out[10].spans == "hex:6:34" and out[11].n_live == 1
+
+
 def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
