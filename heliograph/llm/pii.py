@@ -44,6 +44,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CANDIDATE = re.compile(r"(\+?\(?[0-9][0-9().-]*+(?:\x20\(?[0-9][0-9().-]*+)*+|[^\s@0-9]*+[@0-9]\S*+)|\S++")
 _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"[^0-9]+")
+_NOT_NUMBER = re.compile(r"[^0-9 ().+-]")
 
 
 def luhn(digits: str) -> bool:
@@ -113,6 +114,27 @@ class Buckets(dict):
         return out
 
 
+def _ends_like_a_host(t: str) -> bool:
+    host, dot, last = t.rpartition(".")
+    return bool(dot and len(last) > 1 and last.isascii() and last.isalpha() and host[-1:].isascii() and (host[-1:].isalnum() or host[-1:] == "-"))
+
+
+def refused(t: str) -> list[str]:
+    """The kinds whose fixed checks a token has failed that has their form: card numbers by length and Luhn sum, addresses by their
+    parts, and phone numbers by length."""
+    out = []
+    parts = t.split(".", 4)
+    if len(parts) == 4 and all(p.isascii() and p.isdigit() for p in parts) and any(len(p.lstrip("0")) > 3 or int(p.lstrip("0") or 0) > 255 for p in parts):
+        out.append("ip")
+    if t.isascii() and not _NOT_NUMBER.search(t):
+        digits = _DIGITS.sub("", t)
+        if not 12 <= len(digits) <= 19 or not luhn(digits):
+            out.append("card")
+        if not 9 <= len(digits) <= 15 and (t[0] == "+" or len(digits) > 15):
+            out.append("phone")
+    return out
+
+
 def node_features(text: str, spans: list[tuple[int, int]], buckets: dict[str, int]) -> list[list[int]]:
     """Hashed features of each token: its shape, its parts, and the words beside it."""
     out = []
@@ -130,7 +152,8 @@ def node_features(text: str, spans: list[tuple[int, int]], buckets: dict[str, in
             f"plus={t[0] == '+'}",
             f"brackets={'(' in t}",
             f"spaces={min(t.count(' '), 4)}",
-            f"domain={bool(re.search(r'[A-Za-z0-9-]+[.][A-Za-z]{2,}$', t))}",
+            f"domain={_ends_like_a_host(t)}",
+            *[f"refused={kind}" for kind in refused(t)],
         ]
         near = _WORD.findall(text[max(0, a - 24) : a])
         names.append(f"before={near[-1].lower() if near else ''}")
@@ -183,10 +206,12 @@ class Field:
     def __init__(self, nodes: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> None:
         self.nodes, self.chain, self.skip = nodes, chain, skip
 
-    def marginals(self, features: list[list[int]], chain: list[tuple[int, int]], skip: list[tuple[int, int]]) -> np.ndarray:
-        """Loopy sum-product over all edges at once, damped."""
-        n, k = len(features), len(LABELS)
+    def marginals(self, features: list[list[int]], chain: list[tuple[int, int]], skip: list[tuple[int, int]], barred: list[tuple[int, int]] = ()) -> np.ndarray:
+        """Loopy sum-product over all edges at once, damped; ``barred`` are tokens and labels that can't meet."""
+        k = len(LABELS)
         local = np.stack([self.nodes[f].sum(axis=0) for f in features])
+        for i, label in barred:
+            local[i, label] = -1e3
         if not chain and not skip:
             return _softmax(local)
         edges = np.array(chain + skip)
@@ -213,10 +238,15 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(examples: list[tuple[list[list[int]], list[int], list[tuple[int, int]], list[tuple[int, int]]]], steps: int = 300) -> Field | None:
-    """Piecewise training; None without any token that has a kind."""
-    rows = [f for x in examples for f in x[0]]
-    labels = np.array([y for x in examples for y in x[1]], dtype=int)
+#: Weight of the prior in a table of label pairs, in pairs, and the largest log odds: neighbours tell little, alike tokens much.
+CHAIN_PRIOR, CHAIN_MOST = 20.0, 2.0
+SKIP_PRIOR, SKIP_MOST = 0.5, 10.0
+
+
+def fit(examples: list[tuple], steps: int = 300) -> Field | None:
+    """Piecewise training on what ``example`` gives; None without any token that has a kind."""
+    rows = [f for x in examples for f, y in zip(x[0], x[1], strict=True) if y >= 0]
+    labels = np.array([y for x in examples for y in x[1] if y >= 0], dtype=int)
     if not (labels > 0).any():
         return None
     k = len(LABELS)
@@ -230,24 +260,37 @@ def fit(examples: list[tuple[list[list[int]], list[int], list[tuple[int, int]],
         weights -= 1.0 * grad
     freq = (np.bincount(labels, minlength=k) + 1.0) / (len(labels) + k)
 
-    def odds(which: int) -> np.ndarray:
+    def odds(which: int, weight: float, most: float) -> np.ndarray:
         both = np.zeros((k, k))
         total = 0
         for x in examples:
             for a, b in x[which]:
-                both[x[1][a], x[1][b]] += 1
-                both[x[1][b], x[1][a]] += 1
+                both[x[4][a], x[4][b]] += 1
+                both[x[4][b], x[4][a]] += 1
                 total += 2
         prior = np.outer(freq, freq)
-        return np.clip(np.log((both + 20 * prior) / (total + 20) / prior), -2.0, 2.0)
+        return np.clip(np.log((both + weight * prior) / (total + weight) / prior), -most, most)
 
-    return Field(weights, odds(2), odds(3))
+    return Field(weights, odds(2, CHAIN_PRIOR, CHAIN_MOST), odds(3, SKIP_PRIOR, SKIP_MOST))
 
 
-def example(text: str, buckets: dict[str, int]):
+def example(text: str, buckets: dict[str, int]) -> tuple:
+    """Features, labels, chain and skip edges, and supposed labels of a text's tokens.
+
+    A token that no pattern takes but that is alike to one with a kind isn't known not to be of it (its label is -1), unless that
+    kind is refused for it; it is supposed to be of that kind.
+    """
     spans = tokens(text)
-    base = base_spans(text)
-    return node_features(text, spans, buckets), label_of(spans, base), *links(text, spans)
+    known = label_of(spans, base_spans(text))
+    chain, skip = links(text, spans)
+    barred = [[LABELS.index(kind) for kind in refused(text[a:b])] for a, b in spans]
+    supposed = list(known)
+    for edges in (skip, [(j, i) for i, j in reversed(skip)]):
+        for i, j in edges:
+            if supposed[i] > 0 and supposed[j] == 0 and supposed[i] not in barred[j]:
+                supposed[j] = supposed[i]
+    labels = [y if y == z else -1 for y, z in zip(known, supposed, strict=True)]
+    return node_features(text, spans, buckets), labels, chain, skip, supposed
 
 
 def added(text: str, base: list[tuple[int, int, str, int]], field: Field | None, buckets: dict[str, int], sure: float = SURE) -> list[tuple[int, int, str, int]]:
@@ -257,7 +300,8 @@ def added(text: str, base: list[tuple[int, int, str, int]], field: Field | None,
     spans = tokens(text)
     if not spans:
         return []
-    chance = field.marginals(node_features(text, spans, buckets), *links(text, spans))
+    barred = [(i, LABELS.index(kind)) for i, (a, b) in enumerate(spans) for kind in refused(text[a:b])]
+    chance = field.marginals(node_features(text, spans, buckets), *links(text, spans), barred)
     best = chance.argmax(axis=1)
     out, j = [], 0
     edges = sorted((a, e) for a, _, _, e in base)
