@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heliograph.llm.shared import let, window_hashes, written
+from heliograph.llm.shared import let, shifted, window_hashes, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Blocks of two or three bits: every pair within 21 differing bits is found.
-BLOCKS = 22
+#: Blocks of two or three bits: every pair within RADIUS differing bits is found.
+RADIUS = 21
+BLOCKS = RADIUS + 1
 
 
 def plain_words(text: Column) -> Column:
@@ -41,8 +42,18 @@ def simhash(hashes: Column) -> Column:
 
 
 def counted(hashes: Column) -> Column:
-    """An array of longs as a set: each with the number of its occurrence, so that set sizes weigh repeats."""
-    return let(F.sort_array(hashes), lambda s: F.transform(s, lambda h, i: F.xxhash64(h, i.cast("long") - F.array_position(s, h))))
+    """An array of longs as a set: each with the number of its occurrence, so that set sizes weigh repeats. Runs of the sorted array
+    are numbered one by one."""
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: F.coalesce(F.get(s, i - 1) != F.get(s, i), F.lit(True)))
+    numbered = lambda s, a, b: F.transform(F.sequence(F.lit(1), b - a), lambda j: F.xxhash64(F.get(s, a), j))
+    runs = lambda s: let(begins(s), lambda at: F.flatten(F.zip_with(at, F.concat(shifted(at, 1), F.array(F.size(s))), lambda a, b: numbered(s, a, b))))
+    return let(F.sort_array(hashes), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.array().cast("array<bigint>")))
+
+
+def stretches(places: DataFrame, keys: list[str], at: str, first: str, last: str) -> DataFrame:
+    """``keys, first, last``: runs of neighbouring whole numbers ``at``."""
+    run = F.col(at) - F.row_number().over(Window.partitionBy(*keys).orderBy(at))
+    return places.withColumn("_run", run).groupBy(*keys, "_run").agg(F.min(at).alias(first), F.max(at).alias(last)).drop("_run")
 
 
 def block_values(fp: Column) -> Column:
@@ -51,6 +62,14 @@ def block_values(fp: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), bits.alias("bits")) for i, bits in enumerate(cut)])
 
 
+def within_radius(windows: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``rid, item_id, n, start`` of the windows whose fingerprints differ from their item's in at most ``radius`` bits."""
+    blocks = windows.select("rid", "item_id", "n", "start", "fp", F.inline(block_values(F.col("fp"))).alias("block", "bits"))
+    theirs = items.select("item_id", "n", F.col("fp").alias("other"), F.inline(block_values(F.col("fp"))).alias("block", "bits"))
+    met = blocks.join(theirs, ["item_id", "n", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= radius)
+    return met.select("rid", "item_id", "n", "start").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, item_id, start_word, n_words, similarity``: the best window of each pair that reaches ``similarity``.
 
@@ -86,15 +105,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     for more in pieces[1:]:
         seen = seen.union(more)
     pairs = seen.join(keys, ["width", "h"]).select("rid", "width", "item_id").distinct()
-    lined = seen.join(pairs, ["rid", "width"]).join(starts.select("item_id", "width", "h", "n", "offset"), ["item_id", "width", "h"])
-    lined = lined.select("rid", "item_id", "n", "width", (F.col("pos") - F.col("offset")).alias("start")).distinct()
-    first = F.greatest(F.lit(0), F.least(F.col("start"), F.size("w") - F.col("n")))
-    windows = lined.join(held.select("rid", "doc_id", "w"), "rid").select("rid", "doc_id", "item_id", "n", "width", first.alias("start"), F.slice("w", first + 1, F.col("n")).alias("w"))
+    common = seen.join(starts.select("width", "h").distinct(), ["width", "h"], "left_semi")
+    here = stretches(common.select("rid", "width", "h", "pos"), ["rid", "width", "h"], "pos", "p0", "p1")
+    there = written(stretches(starts.select("item_id", "width", "h", "n", "offset"), ["item_id", "width", "h", "n"], "offset", "o0", "o1"), "item-stretches")
+    lined = here.join(pairs, ["rid", "width"]).join(there, ["item_id", "width", "h"])
+    lined = lined.select("rid", "item_id", "n", "width", F.explode(F.sequence(F.col("p0") - F.col("o1"), F.col("p1") - F.col("o0"))).alias("start"))
+    first = F.greatest(F.lit(0), F.least(F.col("start"), F.col("size") - F.col("n")))
+    lined = lined.join(held.select("rid", F.size("w").alias("size")), "rid").select("rid", "item_id", "n", "width", first.alias("start")).distinct()
+    windows = lined.join(held.select("rid", "doc_id", "w"), "rid").select("rid", "doc_id", "item_id", "n", "width", "start", F.slice("w", F.col("start") + 1, F.col("n")).alias("w"))
     windows = written(windows.withColumn("fp", simhash(F.col("w"))), "windows")
 
-    blocks = windows.select("rid", "item_id", "n", "start", F.inline(block_values(F.col("fp"))).alias("block", "bits"))
-    met = blocks.join(items.select("item_id", "n", F.inline(block_values(F.col("fp"))).alias("block", "bits")), ["item_id", "n", "block", "bits"]).select("rid", "item_id", "n", "start").distinct()
-    met = windows.join(met, ["rid", "item_id", "n", "start"])
+    met = windows.join(within_radius(windows, items), ["rid", "item_id", "n", "start"])
     hs = F.array().cast("array<bigint>")
     for k in range(1, SHINGLE + 1):
         hs = F.when(F.col("width") == k, window_hashes(F.col("w"), k)).otherwise(hs)

@@ -281,6 +281,38 @@ def test_decontamination_finds_copies_and_slightly_changed_ones(spark):
     assert sorted(out) == [0, 1] and (out[0].start_word, out[0].similarity) == (50, 1.0) and out[1].similarity == pytest.approx(51 / 61, abs=1e-6)
 
 
+def test_blocks_lose_no_window_within_the_radius_and_the_radius_prunes(spark):
+    r = np.random.default_rng(8)
+    item = int(r.integers(-(2**63), 2**63))
+    rows = []
+    for i in range(4000):
+        flips = r.choice(64, r.integers(0, 30) if i % 4 == 0 else r.binomial(64, 0.5), replace=False)
+        fp = (item ^ sum(1 << int(b) for b in flips)) & (2**64 - 1)
+        rows.append((i, 0, 60, 5, fp - 2**64 if fp >= 2**63 else fp, len(flips)))
+    windows = spark.createDataFrame(rows, "rid long, item_id int, n int, start int, fp long, bits int")
+    items = spark.createDataFrame([(0, 60, item)], "item_id int, n int, fp long")
+    kept = {x.rid for x in decontaminate.within_radius(windows.drop("bits"), items).collect()}
+    assert kept == {x[0] for x in rows if x[5] <= decontaminate.RADIUS}
+    assert len([i for i in kept if i % 4]) < 3000 / 50
+
+
+def test_counted_sets_weigh_repeats(spark):
+    x = [5, 3, 5, 5, 9, 3]
+    got = spark.createDataFrame([(x,), ([],)], "x array<long>").select(decontaminate.counted(F.col("x")).alias("y")).collect()
+    assert len(set(got[0].y)) == 6 and got[1].y == []
+    less = spark.createDataFrame([([3, 5, 5],)], "x array<long>").select(decontaminate.counted(F.col("x")).alias("y")).first().y
+    assert set(less) < set(got[0].y)
+
+
+def test_texts_of_one_word_take_bounded_time(spark):
+    began = time.time()
+    d = docs(spark, ["word " * 2400, "word " * 600, prose(50, 1)])
+    b = spark.createDataFrame([(1, "word " * 800), (2, "word " * 500)], "item_id int, text string")
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.similarity) for r in decontaminate.contaminated(d, b).collect()}
+    assert got == {(0, 1): (0, 800, 1.0), (0, 2): (0, 500, 1.0), (1, 2): (0, 500, 1.0)}
+    assert time.time() - began < 240
+
+
 def test_language_profiles():
     grams = language_id.Grams()
     train = {"en": "the cat and the dog with that thing " * 20, "de": "der hund und die katze nicht ein schatz " * 20}
