@@ -4,7 +4,8 @@ The standard library's parser streams events; each block of text is a line with
 are smoothed with a Gaussian, split in two clusters by an iterated threshold, and the container that holds the upper cluster
 is the content; of it, menus, forms, adverts and the like are left out by element and by telling class names. A name tells if
 every word of it says so or is neutral (``ad-box``, ``comment-list``): ``side-effects`` doesn't. Pages without telling
-elements and names rest on the clusters alone.
+elements and names rest on the clusters alone: where no container below the page holds most of the upper cluster, the clusters choose
+among containers and, directly in the page, among blocks.
 
 Defined results: a null or empty page, or one without text, gives an empty string; unclosed elements end with their parent or the page;
 repeated rows are read each; extra columns are ignored.
@@ -36,6 +37,8 @@ SKIPPED = frozenset("nav footer aside form script style noscript template title
 RAW = frozenset("script style noscript template button select textarea iframe object svg canvas audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div body html td".split())
+#: Containers that are the page itself.
+PAGE = frozenset("html body".split())
 NEVER_SKIPPED = frozenset("html body main article".split())
 SKIPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs"
@@ -48,8 +51,9 @@ NEUTRAL_WORDS = frozenset(
     " right row section site page slot text the title top unit wrap wrapper".split()
 )
 _TOKENS = re.compile(r"[a-z0-9]+")
+_HEADING = re.compile(r"h[1-6]")
 _WHITE = re.compile(r"\s+")
-_TAIL = re.compile(r"<(?:[a-zA-Z/!?][^<>]*)?$")
+_TAIL = re.compile(r"<(?:[a-zA-Z!?]|/[a-zA-Z])[^<>]*$")
 
 
 def tells(name: str) -> bool:
@@ -180,8 +184,12 @@ def main_text(html: str | None) -> str:
         held[page.parents[n]] += held[n]
     enough = [n for n in range(1, len(held)) if page.names[n] in CONTAINERS and held[n] >= COVER * sizes[content].sum()]
     named = [n for n in enough if page.names[n] in ("article", "main")]
-    root = max(named or enough, default=0)  # the innermost: numbers grow inwards
-    within = [root == 0] * len(held)
+    own = [n for n in enough if page.names[n] not in PAGE]
+    if not named and not own:
+        stays = scattered(page, kept, content, ratios >= cut, sizes)
+        return "\n".join(t for t, s in zip(page.texts, stays, strict=True) if s)
+    root = max(named or own)  # the innermost: numbers grow inwards
+    within = [False] * len(held)
     for n in range(1, len(held)):
         within[n] = n == root or within[page.parents[n]]
     # without a named root, blocks elsewhere stay if they are in the upper cluster by themselves too
@@ -189,6 +197,38 @@ def main_text(html: str | None) -> str:
     return "\n".join(t for t, n, k, c in zip(page.texts, page.places, kept, also, strict=True) if k and within[n] or c)
 
 
+def scattered(page: Page, kept: np.ndarray, content: np.ndarray, high: np.ndarray, sizes: np.ndarray) -> list[bool]:
+    """Which blocks are the content where no container below the page holds it.
+
+    The containers next to the upper cluster's blocks are taken one by one: one whose own blocks are mostly (by characters) in the
+    cluster stays as a whole, the others go. Blocks directly in the page stay if they are in the cluster, by themselves or with both
+    neighbours, and so do headings before such a block. A page of one cluster stays whole.
+    """
+    if not (kept & ~content).any() or not (content & high).any():
+        return kept.tolist()
+    near = [0] * len(page.names)
+    for n in range(1, len(near)):
+        near[n] = (0 if page.names[n] in PAGE else n) if page.names[n] in CONTAINERS else near[page.parents[n]]
+    place = np.array([near[n] for n in page.places])
+    both = np.zeros((2, len(near)))
+    for i in np.flatnonzero(kept):
+        both[0, place[i]] += sizes[i]
+        both[1, place[i]] += sizes[i] * content[i]
+    chosen = 2 * both[1] >= both[0]
+    stays, order = [False] * len(place), np.flatnonzero(kept).tolist()
+    for j in range(len(order) - 1, -1, -1):
+        i, after, before = order[j], order[j + 1] if j + 1 < len(order) else None, order[j - 1] if j else None
+        if place[i]:
+            stays[i] = bool(chosen[place[i]] and both[1, place[i]])
+        elif content[i] and high[i]:
+            stays[i] = True
+        elif _HEADING.fullmatch(page.names[page.places[i]]):
+            stays[i] = after is not None and stays[after]
+        else:
+            stays[i] = bool(content[i] and after is not None and before is not None and content[after] and content[before])
+    return stays
+
+
 def extract_pages(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
     """``carry``, ``text`` and ``n_chars`` (code points) for each page."""
 

@@ -569,6 +569,58 @@ def test_clusters_choose_the_content_of_pages_without_telling_names(monkeypatch)
     assert html_extract.main_text(page) != want
 
 
+@pytest.mark.parametrize("shape", ["two containers", "in the body", "menu between", "nested"])
+def test_clusters_choose_where_no_container_holds_the_content(monkeypatch, shape):
+    links = "".join(f"<li><a href=/{i}>{w}</a></li>" for i, w in enumerate(prose(60, 700).split()))
+    head, body = prose(6, 710), [prose(60, 701 + i) for i in range(5)]
+    p = [f"<p>{x}</p>" for x in body]
+    page = {
+        "two containers": f"<div><ul>{links}</ul></div><div><h1>{head}</h1>{p[0]}{p[1]}</div><div>{p[2]}{p[3]}{p[4]}</div><div><ul>{links}</ul></div>",
+        "in the body": f"<ul>{links}</ul><h1>{head}</h1>{''.join(p)}<ul>{links}</ul>",
+        "menu between": f"<h1>{head}</h1>{p[0]}{p[1]}<div><ul>{links}</ul></div>{p[2]}{p[3]}{p[4]}",
+        "nested": f"<table><tr><td><ul>{links}</ul></td></tr></table><section><div><h1>{head}</h1>{p[0]}{p[1]}</div></section><section><div>{p[2]}</div><div>{p[3]}{p[4]}</div></section>",
+    }[shape]
+    page = f"<html><body>{page}</body></html>"
+    want = "\n".join([head, *body])
+    assert html_extract.main_text(page) == want
+    monkeypatch.setattr(html_extract, "threshold", lambda values: float("-inf"))
+    assert html_extract.main_text(page) != want
+
+
+def test_only_tags_are_cut_off_at_the_end():
+    assert html_extract.main_text("<p>a <") == "a <" and html_extract.main_text("<p>a < b") == "a < b" and html_extract.main_text("<p>1 </") == "1 </"
+    assert html_extract.main_text("<article><p>x <b") == html_extract.main_text("<article><p>x </b") == html_extract.main_text("<article><p>x <!-- y") == "x"
+
+
+def test_pages_of_one_kind_stay_whole():
+    assert html_extract.main_text("<body><p>one<p>two<p>six") == "one\ntwo\nsix"
+    assert html_extract.main_text("plain text") == "plain text"
+
+
+def plain_extract(html):
+    """The article of the given pages by regular expressions: no parser, ratios or clusters."""
+    import html as entities
+
+    body = re.search(r"<article[^>]*>(.*?)(?:</article>|$)", html, re.S)
+    body = re.sub(r"<!--.*?-->|<(script|style|noscript|form|nav|aside|footer)\b.*?</\1>", " ", body[1] if body else "", flags=re.S)
+    body = re.sub(r"<(div|section)[^>]*class=[\"']?(?:ad|comments?|notice|sidebar)\b.*?</\1>", "\n", body, flags=re.S)
+    blocks = re.split(r"</?(?:p|h[1-6]|li|ul|ol|blockquote|pre|table|tr|td|th|div|section|figure|figcaption)\b[^>]*>", body)
+    lines = [" ".join(entities.unescape(re.sub(r"<br[^>]*>", " ", re.sub(r"</?(?!br)[a-z][^>]*>", "", b))).split()) for b in blocks]
+    return "\n".join(x for x in lines if x)
+
+
+def test_given_pages_equal_a_plain_extraction():
+    import pyarrow.parquet as pq
+    from pathlib import Path
+
+    path = Path("/root/testdata/sf0.01/pages.parquet")
+    if not path.exists():
+        pytest.skip("no given pages here")
+    rows = pq.read_table(path, columns=["html"]).column("html").to_pylist()
+    wrong = [i for i, x in enumerate(rows) if html_extract.main_text(x) != plain_extract(x)]
+    assert len(rows) > 100 and not wrong, (len(wrong), wrong[:5])
+
+
 def test_only_whole_names_tell():
     p = prose(40, 720)
     for name in ("side-effects", "share-price", "search-results", "skip-count", "related-work", "menu-engineering", "notice-period"):
