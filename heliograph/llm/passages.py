@@ -2,8 +2,8 @@
 
 Each document gives seeds: a fixed share of the hashes of its k-mers of words, the first of equal ones. Every seed that several
 documents hold belongs to the one with the least id, its owner; all other holders are matched with the owner only, so a passage
-that a third of all documents share costs one match a document, not one a pair. A document and an owner with MIN_SEEDS seeds
-are compared whole: the equal runs of FINE words are chained in order by a Fenwick tree of prefix maxima, with costs for gaps; a
+that a third of all documents share costs one match a document, not one a pair. A document and an owner with two neighbouring seeds
+that lie about as far apart in both are compared whole: the equal runs of FINE words are chained in order by a Fenwick tree of prefix maxima, with costs for gaps; a
 chain's two stretches of words are aligned (bit-parallel longest common subsequence), grown at both ends while words are equal,
 cut at the widest gap and aligned again while they aren't similar, and kept from MIN_WORDS on at SIMILARITY.
 
@@ -27,16 +27,19 @@ from operator import or_
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from heliograph.llm.shared import WordHashes, join_counted, map_texts, written
+from heliograph.llm.shared import WordHashes, join_counted, let, map_texts, shifted, written
 
-#: Words in a k-mer, and the share of all k-mers' hashes that are seeds, one in so many: edits beside a k-mer don't unmake a seed.
-K = 5
-ONE_IN = 4
+#: Words in a k-mer, and the share of all k-mers' hashes that are seeds, one in so many: a passage with every fifth word changed has
+#: k-mers of four words only.
+K = 4
+ONE_IN = 3
 MIN_SEEDS = 2
+#: Two seeds of a pair speak for a passage if they are at most so many words apart and keep their distance but for this share.
+NEAR = 160
+SHIFT = 0.25
 #: Runs of seeds that get an owner of their own: from one seed to so many further on.
 RUNS = (1, 2, 3, 5, 8, 12)
 MIN_WORDS = 50
@@ -217,6 +220,20 @@ def passages_between(a: np.ndarray, b: np.ndarray, places: tuple[np.ndarray, np.
     return out
 
 
+def with_owner(rows: DataFrame, key: str) -> DataFrame:
+    """The rows (``key``, ``doc``, others) of keys that several documents have, with ``owner``, the least of these, and ``n``, the rows
+    of the key. Keys are counted before they are shuffled, and very frequent ones don't meet in one task."""
+    owners = rows.groupBy(key).agg(F.min("doc").alias("owner"), F.max("doc").alias("_last"), F.count(F.lit(1)).alias("n"))
+    return join_counted(rows, written(owners.where("owner <> _last").drop("_last"), "owners"), key)
+
+
+def neighbours(seeds: Column) -> Column:
+    """Whether two seeds ``(pos, there)`` that follow each other, sorted, are near and about as far apart on both sides."""
+    step = lambda x, y, name: y[name] - x[name]
+    near = lambda x, y: (step(x, y, "pos") <= NEAR) & (step(x, y, "there") > 0) & (F.abs(step(x, y, "there") - step(x, y, "pos")) <= 1 + SHIFT * step(x, y, "pos"))
+    return let(seeds, lambda s: F.exists(F.zip_with(s, shifted(s, 1), lambda x, y: F.coalesce(near(x, y), F.lit(False))), lambda b: b))
+
+
 def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, other_id, start_word, end_word, other_start, other_end, similarity``: each document's passages with an owner
     (``other_id`` is less than ``doc_id``); word positions, ends exclusive."""
@@ -248,9 +265,7 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end", "similarity"])
 
     found = packed.mapInArrow(seed, "h long, doc long, pos int")
-    holders = Window.partitionBy("h")
-    found = found.withColumn("owner", F.min("doc").over(holders)).withColumn("last", F.max("doc").over(holders))
-    shared = written(found.where("owner <> last").select("h", "doc", "pos", "owner"), "shared-seeds")
+    shared = written(with_owner(found, "h"), "shared-seeds")
 
     def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
         """Pairs of an owner that many documents have are spread over copies of its words."""
@@ -265,8 +280,9 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         turn = F.pmod(F.xxhash64("doc", F.lit(turns)), F.lit(turns))
         return reduce(DataFrame.union, [written(compared(pairs.where(turn == i), packed.where(turn == i)), "passages") for i in range(turns)])
 
-    met = shared.where("doc <> owner").groupBy("doc", "owner").agg(F.count(F.lit(1)).alias("n"))
-    tried = written(met.where(F.col("n") >= MIN_SEEDS).select("doc", "owner"), "pairs")
+    own = shared.where("doc = owner").select("h", F.col("pos").alias("there"), "n")
+    met = join_counted(shared.where("doc <> owner").drop("n"), own, "h").groupBy("doc", "owner").agg(F.sort_array(F.collect_list(F.struct("pos", "there"))).alias("s"))
+    tried = written(met.where(neighbours(F.col("s"))).select("doc", "owner"), "pairs")
     passages = passages_of(tried)
 
     def free(rows: DataFrame, *places: str) -> DataFrame:
@@ -280,11 +296,9 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     hs = free(shared, "pos").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("hs"))
     ends = lambda n: F.zip_with("hs", F.slice("hs", n + 1, F.greatest(F.size("hs") - n, F.lit(0))), lambda x, y: F.struct(F.xxhash64(x["h"], y["h"]).alias("key"), x["pos"].alias("p"), y["pos"].alias("q")))
     keys = hs.select("doc", F.inline(F.flatten(F.array(*[F.filter(ends(n), lambda x: x["q"].isNotNull()) for n in RUNS]))).alias("key", "p", "q"))
-    same = Window.partitionBy("key")
-    keys = keys.withColumn("first", F.min("doc").over(same)).withColumn("last", F.max("doc").over(same))
-    keys = written(keys.where("first <> last").select("key", "doc", "p", "q"), "runs")
+    keys = written(with_owner(written(keys, "runs"), "key").select("key", "doc", "p", "q"), "runs")
     while True:
-        pairs = free(keys, "p", "q").withColumn("owner", F.min("doc").over(same)).where("doc <> owner").select("doc", "owner").distinct()
+        pairs = with_owner(free(keys, "p", "q"), "key").where("doc <> owner").select("doc", "owner").distinct()
         pairs = written(pairs.join(tried, ["doc", "owner"], "left_anti"), "pairs")
         more = passages_of(pairs)
         if more.limit(1).count() == 0:
