@@ -19,28 +19,33 @@ from heliograph.llm.source_mix import mix_sources
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and their hosts' verdicts keep."""
+    """Documents that the rules and their hosts' verdicts keep: a null text goes (it has no words), null sources are one host, rows
+    that are repeated stay or go together."""
     return kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates; rows without an id stay."""
+    """The document with the least id of each group of near-duplicates; rows without an id stay. Null and empty texts are copies
+    of one another; rows of one id are one document and stay together."""
     return docs.join(near_duplicate_ids(docs), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window that is like a benchmark item."""
+    """Documents without a window that is like a benchmark item, at whatever place and to whichever item; null texts and rows without
+    an id stay."""
     leaks = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by its kind; ``n_chars`` follows the text."""
+    """Texts with personal data replaced by its kind, of overlapping spans by the first's; ``n_chars`` follows the text, and both are
+    null for a null text."""
     return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: ``doc_id, source, size, source_size, target, taken`` of documents with a word taken."""
+    """What the mix takes: ``doc_id, source, size, source_size, target, taken`` of documents with a word taken. A null source is a source
+    (the last), a text without words takes nothing, and equal quotients go to the source that comes first."""
     return mix_sources(docs).where("taken > 0")
 
 
