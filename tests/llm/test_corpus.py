@@ -439,6 +439,24 @@ def test_copies_over_owners_are_marked_as_examples(spark):
     assert out[10].spans == "hex:6:34" and out[11].n_live == 1
 
 
+def test_redaction_of_overlaps_nulls_and_other_columns(spark):
+    rows = [(1, "call +4222222222222 now", "a", 1.5), (2, None, None, None), (3, "", "b", 0.0), (4, "me@example.org me@example.org", "c", 2.0), (None, "no data here", "d", 3.0), (4, "me@example.org me@example.org", "c", 2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, base_sha256 double")
+    out = pii.redact(df)
+    assert out.columns == df.columns and out.count() == len(rows)
+    got = {(r.doc_id, r.spans): r.text for r in out.collect()}
+    assert got[1, "a"] == "call [PHONE] now"  # the card inside it begins later
+    assert got[2, None] is None and got[3, "b"] == "" and got[4, "c"] == "[EMAIL] [EMAIL]" and got[None, "d"] == "no data here"
+    assert pii.redact(df.where("false")).count() == 0
+
+
+def test_of_equally_similar_places_the_first_is_told(spark):
+    item = prose(30, 980)
+    d = docs(spark, [f"{prose(9, 981)} {item} {prose(20, 982)} {item} {prose(5, 983)}"])
+    b = spark.createDataFrame([(2, item), (1, item)], "item_id int, text string")
+    assert sorted((r.item_id, r.start_word, r.similarity) for r in decontaminate.contaminated(d, b).collect()) == [(1, 9, 1.0), (2, 9, 1.0)]
+
+
 def test_pipeline_stages_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
