@@ -36,6 +36,20 @@ def with_neighbour(df: DataFrame, series: str, ts: str, values: list[str], ahead
     return out.select(*df.columns, *[F.col("_n")[n].alias(prefix + n) for n in names])
 
 
+def with_both_neighbours(df: DataFrame, series: str, ts: str, values: list[str]) -> DataFrame:
+    """``df`` with ``last_`` and ``next_`` of ``ts`` and of each of ``values``: both neighbours from one window and one join."""
+    names = [ts, *values]
+    day = df.withColumn("_day", F.to_date(ts))
+    row = F.struct(*[F.col(n) for n in names])
+    inside = Window.partitionBy(series, "_day").orderBy(ts)
+    edges = day.groupBy(series, "_day").agg(F.min(row).alias("_first"), F.max(row).alias("_last"))
+    over = Window.partitionBy(series).orderBy("_day")
+    edges = edges.select(series, "_day", F.lag("_last").over(over).alias("_before"), F.lead("_first").over(over).alias("_after"))
+    out = day.withColumns({"_l": F.lag(row).over(inside), "_n": F.lead(row).over(inside)}).join(edges, [series, "_day"])
+    out = out.withColumns({"_l": F.coalesce("_l", "_before"), "_n": F.coalesce("_n", "_after")})
+    return out.select(*df.columns, *[F.col("_l")[n].alias(f"last_{n}") for n in names], *[F.col("_n")[n].alias(f"next_{n}") for n in names])
+
+
 def with_position(df: DataFrame, block: str, block_order: list[Column], inside: list[Column], name: str = "pos", series: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with its 0-based position (in its ``series``) when blocks (such as days) follow ``block_order`` and rows ``inside``
     within a block.

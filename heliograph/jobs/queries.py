@@ -99,7 +99,7 @@ _MAN = "man AS (SELECT doc_id, concat_ws('/', source, doc_id) AS path, n_chars %
 def w1_daily_power(spark: SparkSession, d: str) -> DataFrame:
     """The whole series job: grid, gaps, intervals, night, daily means."""
     r = readings(spark, d)
-    grid = clean.drop_gaps(clean.interpolate_grid(r, GRID), r, MAX_GAP)
+    grid = clean.interpolate_grid(r, GRID, MAX_GAP)
     kept = clean.drop_nonpositive(clean.drop_intervals(grid, intervals(spark)).withColumn("kw", F.col("kw") - 5))
     return kept.groupBy("sensor_id", F.to_date("ts").alias("day")).agg(F.round(F.avg("kw"), 6).alias("mean_kw"), F.count(F.lit(1)).alias("n"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from heliograph.functions.timekeys import from_seconds, seconds, with_neighbour, with_position
+from heliograph.functions.timekeys import from_seconds, seconds, with_both_neighbours, with_neighbour, with_position
 
 
 def to_readings(df: DataFrame, sensor: str, time: str, value: str) -> DataFrame:
@@ -53,11 +53,19 @@ def resample_first(df: DataFrame, every: int) -> DataFrame:
     return df.groupBy("sensor_id", start.alias("ts")).agg(F.min_by("kw", "ts").alias("kw"))
 
 
-def interpolate_grid(readings: DataFrame, every: int) -> DataFrame:
+def interpolate_grid(readings: DataFrame, every: int, max_gap: int | None = None) -> DataFrame:
     """Linear interpolation on a grid of ``every`` seconds from the first reading to before the last; a first reading off the grid
-    also labels the start of its bin. Points are made inside each segment between neighbours."""
-    near = with_neighbour(readings, "sensor_id", "ts", ["kw"]).where("next_ts is not null").withColumn("t0", seconds("ts")).withColumn("t1", seconds("next_ts"))
-    first = F.ceil(F.col("t0") / every) * every
+    also labels the start of its bin. Points are made inside each segment between neighbours.
+
+    With ``max_gap`` no point lies in a gap of more seconds, ends included, as ``drop_gaps`` leaves it: a gap's segment makes none,
+    and neither does the reading that ends it.
+    """
+    near = with_neighbour(readings, "sensor_id", "ts", ["kw"]) if max_gap is None else with_both_neighbours(readings, "sensor_id", "ts", ["kw"])
+    near = near.where("next_ts is not null").withColumn("t0", seconds("ts")).withColumn("t1", seconds("next_ts"))
+    if max_gap is not None:
+        near = near.where(F.col("t1") - F.col("t0") <= max_gap).withColumn("_ends", F.coalesce(F.col("t0") - seconds("last_ts") > max_gap, F.lit(False)))
+    begins = F.col("t0") if max_gap is None else F.col("t0") + F.col("_ends").cast("int")
+    first = F.ceil(begins / every) * every
     last = F.floor((F.col("t1") - 1) / every) * every
     points = near.where(first <= last).select("sensor_id", "t0", "t1", "kw", "next_kw", F.explode(F.sequence(first, last, F.lit(every).cast("long"))).alias("g"))
     grid = points.select("sensor_id", from_seconds(F.col("g")).alias("ts"), (F.col("kw") + (F.col("next_kw") - F.col("kw")) * (F.col("g") - F.col("t0")) / (F.col("t1") - F.col("t0"))).alias("kw"))

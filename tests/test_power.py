@@ -42,6 +42,21 @@ def test_day_borders_give_the_same_neighbours_as_one_window(spark):
     assert [(x.start_ts, x.end_ts) for x in near] == list(zip(times, times[1:]))
 
 
+def test_a_grid_without_gaps_in_one_step_equals_two_steps(spark):
+    """Readings on and off the grid, gaps of exactly the limit and beyond, over days, and a last reading after a gap."""
+    rng, rows = np.random.default_rng(12), []
+    for sensor in "abc":
+        t = 0
+        for i in range(300):
+            t += int(rng.choice([5, 10, 20, 590, 600, 601, 3600, 3601, 7200, 90000]))
+            rows.append((sensor, at("2024-01-01 00:00:00") + dt.timedelta(seconds=t), float(i)))
+    r = spark.createDataFrame(rows, "sensor_id string, ts timestamp_ntz, kw double")
+    for every, limit in ((10, 600), (600, 3600)):
+        one = clean.interpolate_grid(r, every, limit)
+        two = clean.drop_gaps(clean.interpolate_grid(r, every), r, limit)
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+
+
 def test_interval_ends_belong_to_it(spark):
     iv = spark.createDataFrame([(at("2024-01-01 23:59:00"), at("2024-01-02 00:01:00"))], "start_ts timestamp_ntz, end_ts timestamp_ntz")
     r = series(spark, [("2024-01-01 23:58:59", 1), ("2024-01-01 23:59:00", 1), ("2024-01-02 00:00:00", 1), ("2024-01-02 00:01:00", 1), ("2024-01-02 00:01:01", 1)])
