@@ -638,17 +638,31 @@ def p6_uniform_crop(spark: SparkSession, d: str) -> DataFrame:
     return pictures(spark, d).select("vec_id", *[cut((4, 16, 1), i).alias(f"wide{i}") for i in range(3)], *[cut((16, 4, 1), i).alias(f"tall{i}") for i in range(3)])
 
 
+def two_layouts(spark: SparkSession, d: str) -> str:
+    """A folder with events as CSV files of two layouts, in ``a`` and ``b``, with a comma in the value's name."""
+    at = new_folder(spark, "csv")
+    e = table(spark, d, "events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("Date"), F.col("value").cast("double").alias("power, kW"))
+    e.where("event_id % 2 = 0").select("Date", "power, kW", "event_type").write.option("header", True).csv(f"{at}/a")
+    e.where("event_id % 2 = 1").select("event_type", F.concat_ws(", ", F.lit("no"), "event_id").alias("note"), "power, kW", "Date").write.option("header", True).csv(f"{at}/b")
+    return at
+
+
 @query("SELECT date_trunc('second', ts)::TIMESTAMP AS ts, round(value::DOUBLE, 6) AS kw, count(*) AS n FROM events GROUP BY 1, 2")
 def a1_read_pv_csv(spark: SparkSession, d: str) -> DataFrame:
-    """Events as CSV files of two layouts, with a comma in the value's name, read as one table."""
-    at, value = new_folder(spark, "csv"), "power, kW"
-    e = table(spark, d, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("Date"), F.col("value").cast("double").alias(value), (F.col("event_id") % 2).alias("_half"))
-    e.where("_half = 0").select("Date", value, "event_type").write.option("header", True).csv(f"{at}/a")
-    e.where("_half = 1").select("event_type", F.lit("x, y").alias("note"), value, "Date").write.option("header", True).csv(f"{at}/b")
+    """Times and values of CSV files of two layouts."""
+    at, value = two_layouts(spark, d), "power, kW"
     read = files.read_pv_csv(spark, [f"{at}/a", f"{at}/b"], value)
     return read.groupBy("ts", F.round("kw", 6).alias("kw")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS date, event_type, CASE WHEN event_id % 2 = 1 THEN 'no, ' || event_id END AS note, round(value::DOUBLE, 6) AS kw FROM events")
+def a1_union_csvs(spark: SparkSession, d: str) -> DataFrame:
+    """All columns of the files of both layouts, by name."""
+    at = two_layouts(spark, d)
+    out = files.read_csvs(spark, [f"{at}/a", f"{at}/b"])
+    return out.select(F.col("Date").alias("date"), "event_type", "note", F.round(F.col("`power, kW`").cast("double"), 6).alias("kw"))
+
+
 @query(f"WITH {_R} SELECT sensor_id, ts, round(kw, 6) AS kw FROM r WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-12 18:00:00'")
 def a2_series_store(spark: SparkSession, d: str) -> DataFrame:
     """The series stored by day, a week of it stored again, and a stretch read back."""

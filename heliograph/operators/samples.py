@@ -45,7 +45,7 @@ def lag_stack(frames: DataFrame, pv: DataFrame, height: int, step: int) -> DataF
 
 
 #: Neighbouring maps that are put together at once in ``thin``.
-FAN = 16
+FAN = 64
 
 
 def _entries(t: np.ndarray, border: int) -> int:
@@ -53,27 +53,27 @@ def _entries(t: np.ndarray, border: int) -> int:
     return int(np.searchsorted(t, border, "right")) + 1
 
 
-def thin(candidates: DataFrame, anchor: DataFrame, min_gap: int) -> DataFrame:
+def thin(candidates: DataFrame, anchor: DataFrame, min_gap: int, fan: int = FAN) -> DataFrame:
     """Greedy thinning in time order: keep a candidate more than ``min_gap`` seconds after the last kept one; the first
     reference is the series' ``anchor`` (``camera_id, ts``).
 
-    Times are dealt to buckets of a day or 16 gaps. The last kept time before a bucket lies before its start, so only times up to
-    one gap into it, and the next one, can be its first kept one: each bucket is a map from these to its last kept time. Maps of 16
-    neighbouring buckets are put together to one of their stretch, and so on up to one map a series; then the first kept time goes
-    down again from stretch to parts. A group holds what 16 gaps can hold at most, whatever the length of the series, and the
-    number of rounds grows with its logarithm.
+    Times are dealt to buckets of a day or ``fan`` gaps. The last kept time before a bucket lies before its start, so only times up to
+    one gap into it, and the next one, can be its first kept one: each bucket is a map from these to its last kept time. Maps of
+    ``fan`` neighbouring buckets are put together to one of their stretch, and so on up to one map a series; then the first kept
+    time goes down again from stretch to parts. A group holds what a day or ``fan`` gaps can hold at most, whatever the length of
+    the series, and the number of rounds grows with its logarithm.
     """
-    size = max(86400, FAN * min_gap)
+    size = max(86400, fan * min_gap)
     first = anchor.select("camera_id", seconds("ts").alias("a"))
     late = candidates.select("camera_id", seconds("ts").alias("s")).join(first, "camera_id").where(F.col("s") - F.col("a") > min_gap)
     low, high = late.agg(F.min("s"), F.max("s")).first()
     low = (low or 0) // size
     levels = 0
-    while FAN**levels <= (high or 0) // size - low:
+    while fan**levels <= (high or 0) // size - low:
         levels += 1
     late = late.select("camera_id", (F.floor(F.col("s") / size) - low).alias("bucket"), "s").distinct()
     camera = candidates.schema["camera_id"].dataType.simpleString()
-    start = lambda bucket, level: (bucket * FAN**level + low) * size
+    start = lambda bucket, level: (bucket * fan**level + low) * size
 
     def following(t: np.ndarray) -> np.ndarray:
         return np.searchsorted(t, t + min_gap, "right")
@@ -124,14 +124,14 @@ def thin(candidates: DataFrame, anchor: DataFrame, min_gap: int) -> DataFrame:
         return pd.DataFrame({"camera_id": key[0], "s": rows})
 
     by, mapped = ["camera_id", "bucket"], f"camera_id {camera}, bucket long, entry long, last long"
-    up = F.floor(F.col("bucket") / FAN).alias("up")
+    up = F.floor(F.col("bucket") / fan).alias("up")
     maps = [late.groupBy(*by).applyInPandas(exits, mapped)]
     for level in range(1, levels):
         maps.append(maps[-1].groupBy("camera_id", up).applyInPandas(put_together(level), mapped))
     begins = late.groupBy("camera_id").agg(F.min("s").alias("begin")).withColumn("bucket", F.lit(0).cast("long"))
     for below in reversed(maps):
         above = begins.select("camera_id", F.col("bucket").alias("up"), "begin")
-        begins = below.withColumn("up", F.floor(F.col("bucket") / FAN)).join(above, ["camera_id", "up"]).groupBy("camera_id", "up").applyInPandas(handed_down, f"camera_id {camera}, bucket long, begin long")
+        begins = below.withColumn("up", F.floor(F.col("bucket") / fan)).join(above, ["camera_id", "up"]).groupBy("camera_id", "up").applyInPandas(handed_down, f"camera_id {camera}, bucket long, begin long")
     kept = late.join(begins, by).groupBy(*by).applyInPandas(kept_times, f"camera_id {camera}, s long")
     return kept.select("camera_id", from_seconds(F.col("s")).alias("ts"))
 

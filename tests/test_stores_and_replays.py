@@ -65,8 +65,8 @@ def test_merging_deals_rows_once(spark):
     assert plan.count("Exchange") == 1
 
 
-@pytest.mark.parametrize(("seconds_", "step", "gap"), [(3 * 86400, 7, 600), (40 * 86400, 97, 7200), (86400, 1, 59)])
-def test_thinning_long_series(spark, seconds_, step, gap):
+@pytest.mark.parametrize(("seconds_", "step", "gap", "fan"), [(3 * 86400, 7, 600, 64), (40 * 86400, 97, 7200, 64), (40 * 86400, 97, 7200, 3), (30 * 86400, 41, 3600, 2), (86400, 1, 59, 64)])
+def test_thinning_long_series(spark, seconds_, step, gap, fan):
     """More buckets than are put together at once, and a stretch in the middle without times."""
     base = dt.datetime(2024, 1, 1)
     t = [s for s in range(5, seconds_, step) if not seconds_ // 3 < s < seconds_ // 2]
@@ -76,7 +76,7 @@ def test_thinning_long_series(spark, seconds_, step, gap):
         if s - last > gap:
             want.append(s)
             last = s
-    got = sorted(int((r.ts - base).total_seconds()) for r in samples.thin(df, df.limit(0).unionByName(spark.createDataFrame([("a", base + dt.timedelta(seconds=5))], "camera_id string, ts timestamp_ntz")), gap).collect())
+    got = sorted(int((r.ts - base).total_seconds()) for r in samples.thin(df, df.limit(0).unionByName(spark.createDataFrame([("a", base + dt.timedelta(seconds=5))], "camera_id string, ts timestamp_ntz")), gap, fan).collect())
     assert got == want
 
 
