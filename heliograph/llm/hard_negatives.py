@@ -50,7 +50,7 @@ def whole_vectors(column: pa.Array, dim: int, scale: int) -> np.ndarray:
     sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = np.floor(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale)
     if (sizes == dim).all():
-        return flat.reshape(-1, dim)
+        return flat.reshape(len(sizes), dim)
     out = np.zeros((len(sizes), dim))
     out[np.arange(dim) < sizes[:, None]] = flat
     return out

@@ -158,6 +158,12 @@ def test_negatives_equal_brute_force(spark, kind, most_anchors, most_rows):
     assert len(got) == len(set(got)) and set(got) == plain_negatives(rows + odd, lambda i: i % 10 == 0)
 
 
+def test_vectors_without_components(spark):
+    df = spark.createDataFrame([(i, [], i % 2) for i in range(20)], "vec_id long, embedding array<float>, label int")
+    got = {tuple(r) for r in hard_negatives.hard_negatives(df, F.col("id") % 10 == 0).collect()}
+    assert got == plain_negatives([(i, [], i % 2) for i in range(20)], lambda i: i % 10 == 0) and len(got) == 30
+
+
 def test_no_anchors_no_rows(spark):
     df = spark.createDataFrame([(1, [1.0], 1), (2, [0.5], 2)], "vec_id long, embedding array<float>, label int")
     assert hard_negatives.hard_negatives(df, F.col("id") % 10 == 0).count() == 0
