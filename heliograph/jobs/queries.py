@@ -423,7 +423,7 @@ def e5_daily_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH l AS ({_LOG}), o AS (SELECT run, l_orderkey, n, l_partkey, value, list(value) OVER w AS x, avg(value) OVER w AS mean_n, avg(value) OVER (PARTITION BY run ORDER BY l_orderkey, n, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS mean_all FROM l WINDOW w AS (PARTITION BY run ORDER BY l_orderkey, n, l_partkey, l_extendedprice ROWS 19 PRECEDING)) SELECT run, l_orderkey, n, l_partkey, value, round(mean_n, 6) AS mean_n, round(mean_all, 6) AS mean_all, list_sort(x)[(len(x) + 1) // 2] AS median_n, list_min(x) AS min_n, list_max(x) AS max_n FROM o")
 def e6_rolling_meter(spark: SparkSession, d: str) -> DataFrame:
-    out = clean.rolling_meter(metric_log(spark, d), "run", ["l_orderkey", "n", "l_partkey", "l_extendedprice"], "value", F.floor(F.col("l_orderkey") / 1024))
+    out = clean.rolling_meter(metric_log(spark, d).drop("metric"), "run", ["l_orderkey", "n", "l_partkey", "l_extendedprice"], "value", F.floor(F.col("l_orderkey") / 1024))
     return out.select("run", "l_orderkey", "n", "l_partkey", "value", F.round("mean_n", 6).alias("mean_n"), F.round("mean_all", 6).alias("mean_all"), "median_n", "min_n", "max_n")
 
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, IntegralType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from heliograph.functions.timekeys import from_seconds, seconds, with_both_neighbours, with_neighbour, with_position
+from heliograph.functions.scratch import new_folder
+from heliograph.functions.timekeys import from_seconds, seconds, with_both_neighbours, with_neighbour
 
 
 def to_readings(df: DataFrame, sensor: str, time: str, value: str) -> DataFrame:
@@ -104,28 +112,118 @@ def drop_repeats(df: DataFrame, content: str, series: str | None = None, ts: str
     return near.where(F.col("_b_h").isNull() | (F.col("_b_h") != F.col("_h"))).select(*df.columns)
 
 
-def rolling_meter(df: DataFrame, series: str, order: list[str], value: str, block: Column, n: int = 20, size: int = 4096) -> DataFrame:
-    """Window mean, lower median, least, greatest, latest of the last ``n``, and the mean so far; nulls are left out.
+def _meters(v: np.ndarray, there: np.ndarray, begins: np.ndarray, n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many values the last ``n`` rows of each row hold, and their mean, lower median, least and greatest; ``there`` marks rows with
+    a value, ``begins`` is the first row of each row's series."""
+    at = np.arange(len(v))
+    padded = lambda x: np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(n - 1, x.dtype), x]), n)
+    held = padded(there) & (np.arange(n) >= (begins - at + n - 1)[:, None])
+    count, last = held.sum(axis=1), np.nan if v.dtype.kind == "f" else np.iinfo(v.dtype).max
+    mean = np.where(held, padded(v), v.dtype.type(0)).sum(axis=1, dtype=np.float64) / np.maximum(count, 1)
+    w = np.sort(np.where(held, padded(v), last), axis=1)
+    return count, [mean, w[at, np.maximum(count - 1, 0) // 2], w[:, 0], w[at, np.maximum(count - 1, 0)]]
+
+
+def rolling_meter(df: DataFrame, series: str, order: list[str], value: str, block: Column, n: int = 20, size: int = 4096, ranges: int | None = None) -> DataFrame:
+    """Window mean, lower median, least, greatest, latest of the last ``n``, and the mean so far; nulls are left out. Values other than
+    whole numbers are worked out as doubles.
 
-    ``block`` never falls along ``order`` and holds a bounded number of rows (a day, a range of steps); it serves to number the
-    rows of a series. Rows are then windowed in buckets of ``size`` of these numbers: the last ``n - 1`` rows of a bucket go to
-    the next one as well, and sums up to a bucket come from one row a bucket.
+    ``block`` never falls along ``order`` and holds a bounded number of rows (a day, a range of steps). Rows are shuffled once, to
+    ``ranges`` of series and block, sorted there and read ``size`` at a time. What a series that goes on from one range to the next
+    has so far goes through one small row a range: the last ``n - 1`` values, the sum and the count.
     """
-    size = max(size, n)
-    pos = with_position(df.withColumn("_block", block), "_block", [F.col("_block")], [F.col(c) for c in order], "_pos", (series,))
-    own = pos.drop("_block").withColumn("_own", F.floor(F.col("_pos") / size))
-    sent = own.withColumn("_to", F.explode(F.array_distinct(F.array("_own", F.floor((F.col("_pos") + (n - 1)) / size)))))
-    last = Window.partitionBy(series, "_to").orderBy("_pos").rowsBetween(-(n - 1), 0)
-    held = F.array_sort(F.collect_list(value).over(last))
-    near = sent.withColumn("_w", held).withColumn("mean_n", F.avg(value).over(last)).where("_to = _own").drop("_to")
-
-    upto = Window.partitionBy(series).orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)
-    sums = own.groupBy(series, "_own").agg(F.sum(F.col(value).cast("double")).alias("_s"), F.count(value).alias("_c"))
-    sums = sums.select(series, "_own", F.coalesce(F.sum("_s").over(upto), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("_c").over(upto), F.lit(0)).alias("_c"))
-    inside = Window.partitionBy(series, "_own").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.col("_s") + F.coalesce(F.sum(F.col(value).cast("double")).over(inside), F.lit(0.0))
-    count = F.col("_c") + F.count(value).over(inside)
-    out = near.join(sums, [series, "_own"]).withColumn("mean_all", F.when(count > 0, total / count))
-    pick = lambda i: F.when(F.size("_w") > 0, F.get("_w", i))
-    out = out.withColumn("median_n", pick(F.floor((F.size("_w") - 1) / 2).cast("int"))).withColumn("min_n", pick(F.lit(0))).withColumn("max_n", pick(F.size("_w") - 1))
-    return out.select(*df.columns, "mean_n", "mean_all", "median_n", "min_n", "max_n")
+    spark, names, kind = df.sparkSession, df.columns, df.schema[value].dataType
+    whole = isinstance(kind, IntegralType)
+    inner, arrow = (LongType(), pa.int64()) if whole else (DoubleType(), pa.float64())
+    at, of = names.index(value), names.index(series)
+    ranged = df.repartitionByRange(*([ranges] if ranges else []), F.col(series), block).sortWithinPartitions(series, *order)
+    ranged = ranged.withColumn("_v", F.col(value).cast(inner))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, ready, first = TaskContext.get().partitionId(), None, True
+        before = begin = None
+        tail, held = np.empty(0, np.int64 if whole else np.float64), np.empty(0, bool)
+        total, known = 0.0, 0
+        plain = lambda v, there: pa.array(v, arrow, mask=~there).to_pylist()
+        for piece in (b.slice(i, size) for b in batches for i in range(0, b.num_rows, size)):
+            m, own, column = piece.num_rows, piece.column(of), piece.column(len(names))
+            begin = own.slice(0, 1) if begin is None else begin
+            near = pa.concat_arrays([own.slice(0, 1) if before is None else before, own])
+            a, b = near.slice(0, m), near.slice(1)
+            same = np.asarray(pc.equal(a, b).fill_null(False)) | (np.asarray(a.is_null()) & np.asarray(b.is_null()))
+            same[0] &= before is not None
+            before = own.slice(m - 1, 1)
+            t = len(tail) if same[0] else 0
+            if not same[0]:
+                first, total, known = ready is None, 0.0, 0
+            starts = np.flatnonzero(np.r_[True, ~same[1:]])
+            there = np.r_[held[len(held) - t :], ~np.asarray(column.is_null())]
+            v = np.r_[tail[len(tail) - t :], column.fill_null(0).to_numpy()]
+            index = np.cumsum(np.r_[0, ~same[1:]])
+            begins = np.where(index == 0, 0, starts[index] + t)
+            count, found = _meters(v, there, np.r_[np.zeros(t, np.int64), begins], n)
+            sums, counts = np.empty(m), np.empty(m, np.int64)
+            for i, j in zip(starts, [*starts[1:], m], strict=True):
+                np.cumsum(np.where(there[t + i : t + j], v[t + i : t + j], 0), dtype=np.float64, out=sums[i:j])
+                np.cumsum(there[t + i : t + j], out=counts[i:j])
+            sums[: starts[1] if len(starts) > 1 else m] += total
+            counts[: starts[1] if len(starts) > 1 else m] += known
+            total, known = float(sums[-1]), int(counts[-1])
+            in_first = (index == 0) & first
+            first = bool(in_first[-1])
+            heads = np.flatnonzero(in_first & (np.arange(m) + t < n - 1)) if t < n - 1 else []
+            head = [None] * m
+            for i in heads:
+                head[i] = plain(v[: t + i + 1], there[: t + i + 1])
+            if ready is not None:
+                yield packed(*ready)
+            low = max(int(begins[-1]), len(v) - (n - 1))
+            tail, held = v[low:], there[low:]
+            none = count[t:] == 0
+            new = [pa.array(found[0][t:], pa.float64(), mask=none), *[pa.array(x[t:], arrow, mask=none) for x in found[1:]]]
+            new.append(pa.array(sums / np.maximum(counts, 1), mask=counts == 0))
+            here = [pa.array(np.full(m, part, np.int32)), pa.array(sums), pa.array(counts), pa.array(in_first), pa.array(head, pa.list_(arrow))]
+            ready = [*piece.columns[:-1], *new], here
+        if ready is not None:
+            yield packed(*ready, (plain(tail, held), begin))
+
+    def packed(columns: list[pa.Array], here: list[pa.Array], leaves: tuple[list, pa.Array] | None = None) -> pa.RecordBatch:
+        """``_edge`` of rows of a range's first series; the last row of a range ``leaves`` its values to the next one."""
+        m, shown = len(columns[0]), np.array(here[3])
+        tail, opened = pa.nulls(m, pa.list_(arrow)), pa.nulls(m, columns[of].type)
+        if leaves is not None:
+            shown[-1] = True
+            tail, opened = pa.array([None] * (m - 1) + [leaves[0]], pa.list_(arrow)), pa.concat_arrays([opened.slice(1), leaves[1]])
+        edges = pa.StructArray.from_arrays([*here, tail, opened], edge.fieldNames(), mask=pa.array(~shown))
+        return pa.RecordBatch.from_arrays([*columns, edges], schema.fieldNames())
+
+    values = ArrayType(inner)
+    edge = StructType().add("part", IntegerType()).add("sum", DoubleType()).add("count", LongType()).add("first", BooleanType()).add("head", values).add("tail", values).add("opened", df.schema[series].dataType)
+    schema = StructType([*df.schema.fields, *[StructField(k, v) for k, v in {"mean_n": DoubleType(), "_median": inner, "_min": inner, "_max": inner, "_mean": DoubleType(), "_edge": edge}.items()]])
+    path = new_folder(spark, "rolling")
+    ranged.mapInArrow(run, schema).write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+
+    ends = out.where("_edge.tail is not null").select(F.col(series).alias("_s"), "_edge.*")
+    leaves = ends.select("_s", "part", F.lit(1).alias("_k"), "tail", "sum", "count")
+    opens = ends.select(F.col("opened").alias("_s"), "part", F.lit(0).alias("_k"), *[F.lit(None).cast(ends.schema[c].dataType).alias(c) for c in ("tail", "sum", "count")])
+    along = Window.partitionBy("_s").orderBy("part", "_k")
+    upto, late = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(-2 * n, -1)
+    carried = leaves.union(opens).select(F.col("part").alias("_part"), "_k", F.sum("sum").over(upto).alias("_before"), F.sum("count").over(upto).alias("_known"), F.flatten(F.collect_list("tail").over(late)).alias("_past")).where("_k = 0 and _known is not null").drop("_k")
+    out = out.join(F.broadcast(carried), F.when(F.col("_edge.first"), F.col("_edge.part")) == F.col("_part"), "left")
+    count = F.col("_edge.count") + F.col("_known")
+    total = F.col("_edge.sum") + F.col("_before")
+    so_far = F.when(F.col("_part").isNull(), F.col("_mean")).when(count > 0, total / count)
+    past = F.concat("_past", "_edge.head")  # of rows that reach back over the start of a range
+    near = F.array_sort(F.array_compact(F.slice(past, F.greatest(F.size(past) - (n - 1), F.lit(1)), n)))
+    out = out.withColumn("_w", F.when(F.col("_edge.head").isNotNull() & F.col("_past").isNotNull(), near))
+    pick = lambda i, plain: F.when(F.col("_w").isNull(), F.col(plain)).otherwise(F.get("_w", i)).cast(kind)
+    mean = F.aggregate("_w", F.lit(0.0), lambda a, x: a + x) / F.when(F.size("_w") > 0, F.size("_w"))
+    return out.select(
+        *names,
+        F.when(F.col("_w").isNull(), F.col("mean_n")).otherwise(mean).alias("mean_n"),
+        so_far.alias("mean_all"),
+        pick(F.floor((F.size("_w") - 1) / 2).cast("int"), "_median").alias("median_n"),
+        pick(F.lit(0), "_min").alias("min_n"),
+        pick(F.size("_w") - 1, "_max").alias("max_n"),
+    )

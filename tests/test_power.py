@@ -231,3 +231,29 @@ def test_quantiles(spark, q):
     df = spark.createDataFrame([([1.0, 4.0, 10.0],), ([2.0],), ([],)], "x array<double>")
     got = [r.q for r in df.select(scoring.quantile(F.col("x"), q).alias("q")).collect()]
     assert got == [pytest.approx(np.quantile([1, 4, 10], q)), 2.0, None]
+
+
+@pytest.mark.parametrize("kind,ranges", [("double", 9), ("double", 1), ("int", 40)])
+def test_rolling_meter_goes_on_over_ranges_and_shuffles_each_row_once(spark, kind, ranges):
+    """Ranges of some ten rows and fewer, also within a window, a series without a name, and a series of nulls only."""
+    rng = np.random.default_rng(4)
+    rows = [(run, i, None if run == "c" or rng.random() < 0.2 else int(rng.integers(0, 50))) for run, k in ((None, 23), ("a", 60), ("b", 1), ("c", 7), ("d", 31)) for i in range(k)]
+    df = spark.createDataFrame([(run, i, v if v is None or kind == "int" else float(v)) for run, i, v in rows], f"run string, step int, value {kind}").repartition(3)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    df = df.localCheckpoint()
+    before = shuffled()
+    out = clean.rolling_meter(df, "run", ["step"], "value", F.floor(F.col("step") / 2), n=5, size=4, **({"ranges": ranges} if ranges > 1 else {})).collect()
+    assert shuffled() - before <= len(rows) + 6 * ranges + 10
+    got = {(r.run, r.step): r for r in out}
+    assert len(got) == len(out) == len(rows)
+    for run in (None, "a", "b", "c", "d"):
+        x = [v for r, _, v in rows if r == run]
+        for i in range(len(x)):
+            near, far, r = sorted(v for v in x[max(0, i - 4) : i + 1] if v is not None), [v for v in x[: i + 1] if v is not None], got[run, i]
+            assert (r.min_n, r.median_n, r.max_n) == ((near[0], near[(len(near) - 1) // 2], near[-1]) if near else (None, None, None))
+            assert r.mean_n == (pytest.approx(np.mean(near)) if near else None) and r.mean_all == (pytest.approx(np.mean(far)) if far else None)
