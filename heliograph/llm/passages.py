@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.shared import WordHashes, join_counted, let, map_texts, shifted, written
+from heliograph.llm.shared import WordHashes, discard, join_counted, let, map_texts, shifted, written
 
 #: Words in a k-mer, and the share of all k-mers' hashes that are seeds, one in so many: a passage with every fifth word changed has
 #: k-mers of four words only.
@@ -220,13 +220,22 @@ def passages_between(a: np.ndarray, b: np.ndarray, places: tuple[np.ndarray, np.
     return out
 
 
-def with_owner(rows: DataFrame, key: str) -> DataFrame:
+def with_owner(rows: DataFrame, key: str, there: str | None = None) -> DataFrame:
     """The rows (``key``, ``doc``, others) of keys that several documents have, with ``owner``, the least of these, and ``n``, the rows
-    of the key. Keys are counted before they are shuffled, and very frequent ones don't meet in one task."""
-    owners = rows.groupBy(key).agg(F.min("doc").alias("owner"), F.max("doc").alias("_last"), F.count(F.lit(1)).alias("n"))
+    of the key; with a column ``there`` also the owner's, as ``there``. Keys are counted before they are shuffled, and very frequent
+    ones don't meet in one task."""
+    more = [F.min_by(there, "doc").alias("there")] if there else []
+    owners = rows.groupBy(key).agg(F.min("doc").alias("owner"), F.max("doc").alias("_last"), F.count(F.lit(1)).alias("n"), *more)
     return join_counted(rows, written(owners.where("owner <> _last").drop("_last"), "owners"), key)
 
 
+def touched(keys: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The rows (``key, doc, p, q``) of keys that a document of ``fresh`` (``doc, fresh``) holds: after new passages no other key can get
+    another owner."""
+    again = keys.join(fresh, "doc", "left").groupBy("key").agg(F.max("fresh").alias("fresh"), F.count(F.lit(1)).alias("n"))
+    return join_counted(keys, written(again.where("fresh").drop("fresh"), "keys"), "key").select("key", "doc", "p", "q")
+
+
 def neighbours(seeds: Column) -> Column:
     """Whether two seeds ``(pos, there)`` that follow each other, sorted, are near and about as far apart on both sides."""
     step = lambda x, y, name: y[name] - x[name]
@@ -265,7 +274,7 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end", "similarity"])
 
     found = packed.mapInArrow(seed, "h long, doc long, pos int")
-    shared = written(with_owner(found, "h"), "shared-seeds")
+    shared = written(with_owner(found, "h", "pos").drop("n"), "shared-seeds")
 
     def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
         """Pairs of an owner that many documents have are spread over copies of its words."""
@@ -280,8 +289,7 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         turn = F.pmod(F.xxhash64("doc", F.lit(turns)), F.lit(turns))
         return reduce(DataFrame.union, [written(compared(pairs.where(turn == i), packed.where(turn == i)), "passages") for i in range(turns)])
 
-    own = shared.where("doc = owner").select("h", F.col("pos").alias("there"), "n")
-    met = join_counted(shared.where("doc <> owner").drop("n"), own, "h").groupBy("doc", "owner").agg(F.sort_array(F.collect_list(F.struct("pos", "there"))).alias("s"))
+    met = shared.where("doc <> owner").groupBy("doc", "owner").agg(F.sort_array(F.collect_list(F.struct("pos", "there"))).alias("s"))
     tried = written(met.where(neighbours(F.col("s"))).select("doc", "owner"), "pairs")
     passages = passages_of(tried)
 
@@ -290,17 +298,22 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         spans = passages.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
         held = lambda at: F.exists("spans", lambda x: (x["start_word"] <= F.col(at)) & (x["end_word"] >= F.col(at) + K))
         inside = reduce(or_, map(held, places))
-        return rows.join(spans, "doc", "left").where(~F.coalesce(inside, F.lit(False)))
+        return rows.join(spans, "doc", "left").where(~F.coalesce(inside, F.lit(False))).drop("spans")
 
     # runs: keys of two free seeds of a document, so far apart in order, that another document has too
     hs = free(shared, "pos").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("hs"))
     ends = lambda n: F.zip_with("hs", F.slice("hs", n + 1, F.greatest(F.size("hs") - n, F.lit(0))), lambda x, y: F.struct(F.xxhash64(x["h"], y["h"]).alias("key"), x["pos"].alias("p"), y["pos"].alias("q")))
-    keys = hs.select("doc", F.inline(F.flatten(F.array(*[F.filter(ends(n), lambda x: x["q"].isNotNull()) for n in RUNS]))).alias("key", "p", "q"))
-    keys = written(with_owner(written(keys, "runs"), "key").select("key", "doc", "p", "q"), "runs")
+    runs = written(hs.select("doc", F.inline(F.flatten(F.array(*[F.filter(ends(n), lambda x: x["q"].isNotNull()) for n in RUNS]))).alias("key", "p", "q")), "runs")
+    keys = written(with_owner(runs, "key").select("key", "doc", "p", "q", "owner"), "runs")
+    discard(shared, runs)
+    owned = keys
     while True:
-        pairs = with_owner(free(keys, "p", "q"), "key").where("doc <> owner").select("doc", "owner").distinct()
+        pairs = owned.where("doc <> owner").select("doc", "owner").distinct()
         pairs = written(pairs.join(tried, ["doc", "owner"], "left_anti"), "pairs")
         more = passages_of(pairs)
-        if more.limit(1).count() == 0:
+        fresh = more.select(F.col("doc_id").alias("doc"), F.lit(True).alias("fresh")).distinct()
+        if fresh.limit(1).count() == 0:
+            discard(packed, keys)
             return passages.distinct()
         tried, passages = tried.union(pairs), passages.union(more)
+        owned = with_owner(free(touched(keys, fresh), "p", "q"), "key")

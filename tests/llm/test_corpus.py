@@ -710,3 +710,18 @@ def test_many_license_matches_of_one_rule_cost_linear_time(spark):
     at = time.time()
     row = license_scan.scan_licenses(docs(spark, [text])).first()
     assert (row.n_base, row.first_word, row.last_word, row.base_labels) == (20_000, 1, 5 * 19_999 + 1, "mit") and time.time() - at < 60
+
+
+def test_passages_leave_no_table_that_nothing_reads_and_runs_are_owned_once(spark, monkeypatch, tmp_path):
+    """Words, seeds and runs go; a later round takes only keys of documents with new passages."""
+    monkeypatch.setattr("heliograph.llm.shared.shared_root", lambda spark: str(tmp_path))
+    shared = prose(60, 300).split()
+    texts = [" ".join([prose(40, 301 + i), *q, prose(40, 311 + i)]) for i, q in enumerate([shared[:24], shared[17:44], shared[37:]])]
+    texts += [" ".join([prose(50, s), *shared, prose(50, s + 1)]) for s in (320, 330)]
+    assert passages.shared_passages(docs(spark, texts)).count() == 1
+    assert not {p.name.rsplit("-", 5)[0] for p in tmp_path.iterdir()} & {"words", "shared-seeds", "runs"}
+    rows = spark.createDataFrame([(1, d, 10 * d) for d in (3, 4, 9)] + [(2, 5, 1), (2, 7, 2), (3, 4, 8)], "h long, doc long, pos int")
+    assert {(x.h, x.doc, x.owner, x.there) for x in passages.with_owner(rows, "h", "pos").collect()} == {(1, d, 3, 30) for d in (3, 4, 9)} | {(2, 5, 5, 1), (2, 7, 5, 1)}
+    keys = spark.createDataFrame([(1, 3, 0, 1), (1, 4, 0, 1), (2, 4, 5, 6), (2, 5, 5, 6), (3, 5, 0, 1), (3, 6, 0, 1)], "key long, doc long, p int, q int")
+    fresh = spark.createDataFrame([(4, True)], "doc long, fresh boolean")
+    assert sorted((x.key, x.doc) for x in passages.touched(keys, fresh).collect()) == [(1, 3), (1, 4), (2, 4), (2, 5)]
