@@ -3,7 +3,7 @@
 Each document gives seeds: a fixed share of the hashes of its k-mers of words, the first of equal ones. Every seed that several
 documents hold belongs to the one with the least id, its owner; all other holders are matched with the owner only, so a passage
 that a third of all documents share costs one match a document, not one a pair. A document and an owner with two neighbouring seeds
-that lie about as far apart in both are compared whole: the equal runs of FINE words are chained in order by a Fenwick tree of prefix maxima, with costs for gaps; a
+that lie about as far apart in both are compared whole (with few such seeds only if one byte a word shows a passage too): the equal runs of FINE words are chained in order by a Fenwick tree of prefix maxima, with costs for gaps; a
 chain's two stretches of words are aligned (bit-parallel longest common subsequence), grown at both ends while words are equal,
 cut at the widest gap and aligned again while they aren't similar, and kept from MIN_WORDS on at SIMILARITY.
 
@@ -11,7 +11,8 @@ A seed's owner may hold that seed only, in a short quotation, while others share
 in no passage of their document are matched again, by runs: two seeds, up to twelve apart in order, are one key, owned by the
 least of the documents that hold it outside their passages. This is repeated until no new passage appears.
 
-Words are compared by 32 bits of their hashes.
+Words are compared by 32 bits of their hashes. Seeds and runs are dealt once, by ranges of their hashes, where owners are found;
+rows of keys that very many documents hold are dealt by document instead and joined with their owner.
 
 Documents that share a passage are linked through the owners of its seeds. Defined results: null and empty texts and null ids
 share nothing; repeated rows of an id are one document; a passage repeated inside one document counts at its first place; case
@@ -27,10 +28,10 @@ from operator import or_
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.shared import WordHashes, discard, join_counted, let, map_texts, shifted, written
+from heliograph.llm.shared import WordHashes, discard, join_counted, map_texts, written
 
 #: Words in a k-mer, and the share of all k-mers' hashes that are seeds, one in so many: a passage with every fifth word changed has
 #: k-mers of four words only.
@@ -54,6 +55,12 @@ LEADING = 16
 STEP = 24
 #: Pairs of one owner that one copy of its words serves.
 OWNER_PAIRS = 2000
+#: Seeds or runs that one task has at hand at a time, about, and rows of a key in one batch beyond which the rest take another way.
+GROUP = 400_000
+CROWD = 100
+#: Words by which a passage of one byte a word may be shorter, and neighbouring seeds from which on a pair isn't screened so.
+SLACK = 5
+STRONG = 8
 #: Pairs are compared in up to so many turns, by a hash of their document, so that the words sent to owners are on disk for one
 #: turn only; fewer turns serve for fewer pairs than this a turn.
 TURNS = 4
@@ -132,8 +139,8 @@ def chains(matches: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     return out
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence; equal ends are cut off first."""
+def common(a: np.ndarray, b: np.ndarray, least: float = 0) -> int:
+    """Length of the longest common subsequence, or some number below ``least`` if that isn't reached; equal ends are cut off first."""
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
     head = int(differ[0]) if len(differ) else n
@@ -147,30 +154,36 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     where: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         where[x] = where.get(x, 0) | 1 << i
+    met = list(filter(None, map(where.get, b.tolist())))
+    if head + tail + len(met) < least:
+        return head + tail + len(met)
     full = (1 << len(a)) - 1
     row = full
-    for places in filter(None, map(where.get, b.tolist())):
+    for places in met:
         hit = row & places
         row = (row + hit | row - hit) & full
     return head + tail + len(a) - row.bit_count()
 
 
 def aligned(a: np.ndarray, b: np.ndarray, core_a: tuple[int, int], core_b: tuple[int, int]) -> tuple[int, int, int, int, float]:
-    """The stretches grown while words are equal, and the share of the longer one that is in order in the other."""
+    """The stretches grown while words are equal, and the share of the longer one that is in order in the other (less than SIMILARITY
+    may be too much, but stays less)."""
     (a0, a1), (b0, b1) = core_a, core_b
     while a0 > 0 and b0 > 0 and a[a0 - 1] == b[b0 - 1]:
         a0, b0 = a0 - 1, b0 - 1
     while a1 < len(a) and b1 < len(b) and a[a1] == b[b1]:
         a1, b1 = a1 + 1, b1 + 1
-    return a0, a1, b0, b1, common(a[a0:a1], b[b0:b1]) / max(a1 - a0, b1 - b0, 1)
+    longer = max(a1 - a0, b1 - b0, 1)
+    return a0, a1, b0, b1, common(a[a0:a1], b[b0:b1], SIMILARITY * longer - 0.5) / longer
 
 
 def fine_runs(x: np.ndarray) -> np.ndarray:
     """A hash for each run of FINE words, in order."""
-    n, wide = max(len(x) - FINE + 1, 0), x.astype(np.uint64)
-    runs = np.zeros(n, dtype=np.uint64)
-    for j in range(FINE):  # multiplication wraps
-        runs = runs * np.uint64(0x9E3779B97F4A7C15) + wide[j : j + n]
+    if len(x) < FINE:
+        return np.empty(0, np.uint64)
+    runs = x.astype(np.uint64)
+    for width, by in ((1, 0x9E3779B97F4A7C15), (2, 0x9E3779B97F4A7C15**2 % 2**64)):  # FINE is four: two words, two pairs; it wraps
+        runs = runs[:-width] * np.uint64(by) + runs[width:]
     return runs
 
 
@@ -197,14 +210,15 @@ def anchors(a: np.ndarray, places: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
         return []
     order = np.lexsort((p, o - p))
     p, o = p[order], o[order]
-    begins = np.r_[True, (np.diff(p) != 1) | (np.diff(o) != 1)]
-    since = np.arange(len(p)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]
-    kept = (since % STEP == 0) | np.r_[begins[1:], True]
+    begins = np.ones(len(p) + 1, dtype=bool)  # and one past the end
+    begins[1:-1] = (p[1:] - p[:-1] != 1) | (o[1:] - o[:-1] != 1)
+    since = np.arange(len(p)) - np.flatnonzero(begins)[np.cumsum(begins[:-1]) - 1]
+    kept = (since % STEP == 0) | begins[1:]
     return list(zip(p[kept].tolist(), o[kept].tolist(), strict=True))
 
 
-def passages_between(a: np.ndarray, b: np.ndarray, places: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int, int, int, float]]:
-    """The passages of two documents' words (``places``: ``first_places(b)``). A chain that isn't similar as a whole is cut at
+def passages_between(a: np.ndarray, b: np.ndarray, places: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, least: int = MIN_WORDS) -> list[tuple[int, int, int, int, float]]:
+    """The passages of ``least`` words and more of two documents' words (``places``: ``first_places(b)``). A chain that isn't similar as a whole is cut at
     its widest gap, and its pieces are aligned again."""
     out, todo = [], chains(anchors(a, first_places(b) if places is None else places))
     while todo:
@@ -212,7 +226,7 @@ def passages_between(a: np.ndarray, b: np.ndarray, places: tuple[np.ndarray, np.
         found = aligned(a, b, (chain[0][0], chain[-1][0] + FINE), (chain[0][1], chain[-1][1] + FINE))
         x0, x1, y0, y1, same = found
         if same >= SIMILARITY:
-            if min(x1 - x0, y1 - y0) >= MIN_WORDS:
+            if min(x1 - x0, y1 - y0) >= least:
                 out.append(found)
         elif len(chain) > 1:
             at = max(range(1, len(chain)), key=lambda i: max(chain[i][0] - chain[i - 1][0], chain[i][1] - chain[i - 1][1]))
@@ -220,6 +234,97 @@ def passages_between(a: np.ndarray, b: np.ndarray, places: tuple[np.ndarray, np.
     return out
 
 
+def prime(least: int) -> int:
+    """The first prime number from ``least`` on: ids with a common step are dealt evenly by the remainder."""
+    return next(n for n in range(max(2, least), 2 * least + 4) if all(n % i for i in range(2, int(n**0.5) + 1)))
+
+
+def lists(group: np.ndarray, columns: dict[str, np.ndarray], name: str) -> pa.RecordBatch:
+    """A row for each run of equal numbers in ``group``, named ``name``, with its part of each column as a list."""
+    begins = np.flatnonzero(np.concatenate([np.ones(min(len(group), 1), bool), group[1:] != group[:-1]]))
+    offsets = pa.array(np.append(begins, len(group)), pa.int32())
+    parts = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(group[begins], pa.int64()), *parts], [name, *columns])
+
+
+def flat(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def by_key(groups: int, key: np.ndarray, doc: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    """The rows of a batch as lists by group of keys. Of a key that more than CROWD rows have, the first ones and the last go there;
+    the others go to negative groups, by document, since other batches may have as many."""
+    order = np.lexsort((doc, key.view(np.uint64)))
+    key, doc, more = key[order], doc[order], {k: x[order] for k, x in more.items()}
+    group = ((key.view(np.uint64) >> np.uint64(33)) * np.uint64(groups) >> np.uint64(31)).astype(np.int64)
+    ends = np.ones(len(key) + 1, dtype=bool)
+    ends[1:-1] = key[1:] != key[:-1]
+    rank = np.arange(len(key)) - np.flatnonzero(ends)[np.cumsum(ends[:-1]) - 1]
+    crowd = np.flatnonzero((rank >= CROWD) & ~ends[1:])
+    if len(crowd):
+        group[crowd] = -1 - doc[crowd] % groups
+        order = np.argsort(group, kind="stable")
+        group, key, doc, more = group[order], key[order], doc[order], {k: x[order] for k, x in more.items()}
+    return lists(group, {"key": key, "doc": doc, **more}, "group")
+
+
+def owned(table: pa.Table, *more: str) -> tuple[np.ndarray, ...]:
+    """Of a group that ``by_key`` made, the rows of keys that several documents have: key, document, owner, the columns ``more`` and
+    for the first of these the owner's, and the rows that stand for keys that may be crowded. Rows of a negative group stay, all
+    without owners."""
+    key, doc, *rest = [flat(table.column(c)) for c in ("key", "doc", *more)]
+    if table.column("group")[0].as_py() < 0:
+        return key, doc, None, *rest, None, None
+    order = np.lexsort((rest[0], doc, key))
+    key, doc, rest = key[order], doc[order], [x[order] for x in rest]
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(begins, len(key)))
+    kept = np.repeat(doc[begins] != doc[begins + sizes - 1], sizes)
+    first = np.repeat(begins, sizes)[kept]
+    heads = np.repeat(sizes > CROWD, sizes)[kept] & (np.flatnonzero(kept) == first)
+    return key[kept], doc[kept], doc[first], *[x[kept] for x in rest], rest[0][first], heads
+
+
+def crowded(rest: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows of crowded keys with the columns of ``heads``, a row (or equal ones) a key."""
+    n = written(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "crowded")
+    return join_counted(rest, written(heads.distinct().join(n, "key"), "owners"), "key").drop("n")
+
+
+def near_pairs(doc: np.ndarray, owner: np.ndarray, pos: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents and owners with two seeds that follow each other, are near, and lie about as far apart on both sides, and whether
+    they have many of these."""
+    order = np.lexsort((there, pos, owner, doc))
+    doc, owner, pos, there = (x[order] for x in (doc, owner, pos, there))
+    step, other = pos[1:] - pos[:-1], there[1:] - there[:-1]
+    near = (doc[1:] == doc[:-1]) & (owner[1:] == owner[:-1]) & (doc[1:] != owner[1:]) & (step <= NEAR) & (other > 0) & (abs(other - step) <= 1 + SHIFT * step)
+    doc, owner = doc[1:][near], owner[1:][near]
+    begins = np.flatnonzero(np.concatenate([np.ones(min(len(doc), 1), bool), (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1])]))
+    return doc[begins], owner[begins], np.diff(np.append(begins, len(doc))) >= STRONG
+
+
+def free_runs(doc: np.ndarray, pos: np.ndarray, h: np.ndarray, spans: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Runs of two seeds that lie in none of their document's passages (``spans``: documents, starts and ends): key, document, places."""
+    order = np.lexsort((h, pos, doc))
+    doc, pos, h = doc[order], pos[order], h[order]
+    kept = np.ones(len(doc), dtype=bool)
+    kept[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]) | (h[1:] != h[:-1])
+    at = np.argsort(spans[0], kind="stable")
+    held, start, end = (x[at] for x in spans)
+    low, high = np.searchsorted(held, doc), np.searchsorted(held, doc, "right")
+    row = np.repeat(np.arange(len(doc)), high - low)
+    span = np.arange(len(row)) - np.repeat(np.cumsum(high - low) - high, high - low)
+    kept[row[(start[span] <= pos[row]) & (end[span] >= pos[row] + K)]] = False
+    doc, pos, h = doc[kept], pos[kept], h[kept].view(np.uint64)
+    out = []
+    for n in RUNS:
+        i = np.flatnonzero(doc[n:] == doc[:-n])
+        key = (h[i] ^ (h[i] >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + h[i + n]  # wraps
+        key = (key ^ (key >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(((key ^ (key >> np.uint64(29))).view(np.int64), doc[i], pos[i], pos[i + n]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def with_owner(rows: DataFrame, key: str, there: str | None = None) -> DataFrame:
     """The rows (``key``, ``doc``, others) of keys that several documents have, with ``owner``, the least of these, and ``n``, the rows
     of the key; with a column ``there`` also the owner's, as ``there``. Keys are counted before they are shuffled, and very frequent
@@ -236,13 +341,6 @@ def touched(keys: DataFrame, fresh: DataFrame) -> DataFrame:
     return join_counted(keys, written(again.where("fresh").drop("fresh"), "keys"), "key").select("key", "doc", "p", "q")
 
 
-def neighbours(seeds: Column) -> Column:
-    """Whether two seeds ``(pos, there)`` that follow each other, sorted, are near and about as far apart on both sides."""
-    step = lambda x, y, name: y[name] - x[name]
-    near = lambda x, y: (step(x, y, "pos") <= NEAR) & (step(x, y, "there") > 0) & (F.abs(step(x, y, "there") - step(x, y, "pos")) <= 1 + SHIFT * step(x, y, "pos"))
-    return let(seeds, lambda s: F.exists(F.zip_with(s, shifted(s, 1), lambda x, y: F.coalesce(near(x, y), F.lit(False))), lambda b: b))
-
-
 def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, other_id, start_word, end_word, other_start, other_end, similarity``: each document's passages with an owner
     (``other_id`` is less than ``doc_id``); word positions, ends exclusive."""
@@ -250,47 +348,107 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def make():
         known = WordHashes()
-        return lambda texts: [((word_hashes(t, known) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(),) for t in texts]
 
-    packed = written(map_texts(base, ("doc",), "text", make, {"w": pa.binary()}, "w binary", binary=True), "words")
+        def hashed(texts: list) -> list[tuple]:
+            out = [(word_hashes(t, known) & np.uint64(0xFFFFFFFF)).astype("<u4") for t in texts]
+            return [(w.tobytes(), (w & np.uint32(0xFF)).astype(np.uint8).tobytes()) for w in out]
+
+        return hashed
+
+    packed = written(map_texts(base, ("doc",), "text", make, {"w": pa.binary(), "v": pa.binary()}, "w binary, v binary", binary=True), "words", "doc")
+    groups = 1 + (packed.agg(F.sum(F.length("v"))).first()[0] or 0) // (ONE_IN * GROUP)
+    parts = prime(groups)
 
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [seeds(np.frombuffer(w, "<u4").astype(np.uint64)) for w in batch.column(1).to_pylist()]
-            counts = [len(h) for h, _ in found]
-            ids = np.repeat(batch.column(0).to_numpy(), counts)
+            ids = np.repeat(batch.column(0).to_numpy(), [len(h) for h, _ in found])
             join = lambda xs: np.concatenate(xs) if xs else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(join([h for h, _ in found]), pa.int64()), pa.array(ids, pa.int64()), pa.array(join([p for _, p in found]), pa.int32())], ["h", "doc", "pos"])
+            yield by_key(groups, join([h for h, _ in found]), ids, pos=join([p for _, p in found]).astype(np.int32))
+
+    def own_seeds(table: pa.Table) -> pa.Table:
+        key, doc, owner, pos, there, heads = owned(table, "pos")
+        columns = {"key": key, "doc": doc, "pos": pos, "owner": owner, "there": there}
+        order = np.argsort(doc % parts, kind="stable")
+        out = [lists((doc % parts)[order], {k: x[order] for k, x in columns.items() if x is not None}, "part")]
+        if owner is None:
+            for k, kind in (("owner", pa.int64()), ("there", pa.int32())):
+                out[0] = out[0].append_column(k, pa.nulls(len(out[0]), pa.list_(kind)))
+        else:
+            out.append(lists(np.full(heads.sum(), -1), {k: x[heads] for k, x in columns.items()}, "part"))
+        return pa.Table.from_batches([x.cast(out[0].schema) for x in out])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {k: batch.column(k).to_numpy() for k in batch.schema.names}
+            order = np.argsort(columns["doc"] % parts, kind="stable")
+            yield lists((columns["doc"] % parts)[order], {k: x[order] for k, x in columns.items()}, "part")
+
+    def propose(table: pa.Table) -> pa.Table:
+        return pa.table(dict(zip(("doc", "owner", "strong"), near_pairs(*[flat(table.column(c)) for c in ("doc", "owner", "pos", "there")]), strict=True)))
+
+    def run(seeds: pa.Table, spans: pa.Table) -> pa.Table:
+        if not len(seeds):
+            return pa.Table.from_batches([by_key(groups, *[np.empty(0, np.int64)] * 2, p=np.empty(0, np.int32), q=np.empty(0, np.int32))])
+        key, doc, p, q = free_runs(*[flat(seeds.column(c)) for c in ("doc", "pos", "key")], [spans.column(c).to_numpy() for c in ("doc", "start_word", "end_word")])
+        return pa.Table.from_batches([by_key(groups, key, doc, p=p, q=q)])
+
+    def own_runs(table: pa.Table) -> pa.Table:
+        key, doc, owner, p, q, *_ = owned(table, "p", "q")
+        return pa.table({"key": key, "doc": doc, "p": p, "q": q, "owner": pa.nulls(len(key), pa.int64()) if owner is None else owner})
+
+    kinds = [pa.int64()] * 6 + [pa.float64()]
+    names = ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end", "similarity"]
+
+    def pairwise(batch: pa.RecordBatch, kind: str, least: int) -> Iterator[tuple]:
+        """Document, owner, copy and passages of each pair in a batch."""
+        last = None
+        for doc, owner, copy, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if b != last:  # pairs of one owner mostly follow each other
+                last, other = b, np.frombuffer(b, kind)
+                places = first_places(other)
+            yield doc, owner, copy, passages_between(np.frombuffer(a, kind), other, places, least)
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x[:3] for x in pairwise(batch, "u1", MIN_WORDS - SLACK) if x[3]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], ["doc", "owner", "copy"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, last = [], None
-            for doc, owner, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if b != last:  # pairs of one owner mostly follow each other
-                    last, other = b, np.frombuffer(b, "<u4")
-                    places = first_places(other)
-                rows += [(doc, owner, *found[:4], round(found[4], 6)) for found in passages_between(np.frombuffer(a, "<u4"), other, places)]
-            kinds = [pa.int64()] * 6 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end", "similarity"])
-
-    found = packed.mapInArrow(seed, "h long, doc long, pos int")
-    shared = written(with_owner(found, "h", "pos").drop("n"), "shared-seeds")
-
-    def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
-        """Pairs of an owner that many documents have are spread over copies of its words."""
-        counts = written(pairs.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.ceil(F.col("n") / OWNER_PAIRS)), "owners")
-        spread = join_counted(pairs, counts, "owner").select("doc", "owner", F.pmod(F.xxhash64("doc"), "copies").alias("copy"))
-        owners = packed.join(counts, packed["doc"] == counts["owner"]).select("owner", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("w").alias("b"))
-        both = spread.join(words, "doc").select("doc", "owner", "copy", F.col("w").alias("a")).join(owners, ["owner", "copy"]).select("doc", "owner", "a", "b")
-        return both.mapInArrow(align, "doc_id long, other_id long, start_word long, end_word long, other_start long, other_end long, similarity double")
+            rows = [(doc, owner, *x[:4], round(x[4], 6)) for doc, owner, _, found in pairwise(batch, "<u4", MIN_WORDS) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+    def sides(pairs: DataFrame, words: str) -> DataFrame:
+        """The words of both documents of pairs ``doc, owner, copy``."""
+        owners = pairs.select("owner", "copy").distinct().join(packed.select(F.col("doc").alias("owner"), F.col(words).alias("b")), "owner")
+        return pairs.join(packed.select("doc", F.col(words).alias("a")), "doc").join(owners, ["owner", "copy"]).select("doc", "owner", "copy", "a", "b")
 
     def passages_of(pairs: DataFrame) -> DataFrame:
-        turns = min(TURNS, 1 + pairs.count() // TURN_PAIRS)
+        """Pairs ``doc, owner, strong`` are screened by one byte a word unless they are strong, then compared. Those of an owner that many documents have are spread over copies
+        of its words."""
+        counts = written(pairs.groupBy("owner").agg(F.count(F.lit(1)).alias("n")).withColumn("copies", F.ceil(F.col("n") / OWNER_PAIRS)), "owners")
+        spread = written(join_counted(pairs, counts, "owner").select("doc", "owner", "strong", F.pmod(F.xxhash64("doc"), "copies").alias("copy")), "copies")
+        likely = sides(spread.where("not strong"), "v").mapInArrow(screen, "doc long, owner long, copy long")
+        left = written(likely.union(spread.where("strong").select("doc", "owner", "copy")), "screened")
+        turns = min(TURNS, 1 + left.count() // TURN_PAIRS)
         turn = F.pmod(F.xxhash64("doc", F.lit(turns)), F.lit(turns))
-        return reduce(DataFrame.union, [written(compared(pairs.where(turn == i), packed.where(turn == i)), "passages") for i in range(turns)])
-
-    met = shared.where("doc <> owner").groupBy("doc", "owner").agg(F.sort_array(F.collect_list(F.struct("pos", "there"))).alias("s"))
-    tried = written(met.where(neighbours(F.col("s"))).select("doc", "owner"), "pairs")
+        schema = "doc_id long, other_id long, start_word long, end_word long, other_start long, other_end long, similarity double"
+        out = reduce(DataFrame.union, [written(sides(left.where(turn == i), "w").mapInArrow(align, schema), "passages") for i in range(turns)])
+        discard(counts, spread, left)
+        return out
+
+    found = packed.select("doc", "w").mapInArrow(seed, "group long, key array<long>, doc array<long>, pos array<int>")
+    in_parts = "part long, key array<long>, doc array<long>, pos array<int>, owner array<long>, there array<int>"
+    shared = [written(found.groupBy("group").applyInArrow(own_seeds, in_parts), "shared-seeds")]
+    zipped = lambda df, *names: df.select(F.inline(F.arrays_zip(*names)).alias(*names))
+    rest = shared[0].where("owner is null")
+    if rest.limit(1).count():
+        rows = crowded(zipped(rest, "key", "doc", "pos"), zipped(shared[0].where("part = -1"), "key", "owner", "there"))
+        shared.append(written(rows.select("key", "doc", "pos", "owner", "there").mapInArrow(pack, in_parts), "shared-seeds"))
+    in_docs = reduce(DataFrame.union, [shared[0].where("owner is not null and part >= 0"), *shared[1:]])
+
+    tried = written(in_docs.groupBy("part").applyInArrow(propose, "doc long, owner long, strong boolean"), "pairs")
     passages = passages_of(tried)
 
     def free(rows: DataFrame, *places: str) -> DataFrame:
@@ -301,19 +459,23 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return rows.join(spans, "doc", "left").where(~F.coalesce(inside, F.lit(False))).drop("spans")
 
     # runs: keys of two free seeds of a document, so far apart in order, that another document has too
-    hs = free(shared, "pos").groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "h"))).alias("hs"))
-    ends = lambda n: F.zip_with("hs", F.slice("hs", n + 1, F.greatest(F.size("hs") - n, F.lit(0))), lambda x, y: F.struct(F.xxhash64(x["h"], y["h"]).alias("key"), x["pos"].alias("p"), y["pos"].alias("q")))
-    runs = written(hs.select("doc", F.inline(F.flatten(F.array(*[F.filter(ends(n), lambda x: x["q"].isNotNull()) for n in RUNS]))).alias("key", "p", "q")), "runs")
-    keys = written(with_owner(runs, "key").select("key", "doc", "p", "q", "owner"), "runs")
-    discard(shared, runs)
-    owned = keys
+    spans = passages.select(F.pmod("doc_id", F.lit(parts)).alias("part"), F.col("doc_id").alias("doc"), "start_word", "end_word").distinct()
+    runs = in_docs.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(run, "group long, key array<long>, doc array<long>, p array<int>, q array<int>")
+    keys = written(runs.groupBy("group").applyInArrow(own_runs, "key long, doc long, p int, q int, owner long"), "runs")
+    rest = keys.where("owner is null")
+    discard(*shared)
+    if rest.limit(1).count():
+        rows = crowded(rest.drop("owner"), keys.where("owner = doc").select("key", "owner"))
+        first, keys = keys, written(keys.where("owner is not null").unionByName(rows), "runs")
+        discard(first)
+    held = keys
     while True:
-        pairs = owned.where("doc <> owner").select("doc", "owner").distinct()
-        pairs = written(pairs.join(tried, ["doc", "owner"], "left_anti"), "pairs")
+        pairs = held.where("doc <> owner").select("doc", "owner").distinct()
+        pairs = written(pairs.join(tried, ["doc", "owner"], "left_anti").withColumn("strong", F.lit(False)), "pairs")
         more = passages_of(pairs)
         fresh = more.select(F.col("doc_id").alias("doc"), F.lit(True).alias("fresh")).distinct()
         if fresh.limit(1).count() == 0:
             discard(packed, keys)
             return passages.distinct()
         tried, passages = tried.union(pairs), passages.union(more)
-        owned = with_owner(free(touched(keys, fresh), "p", "q"), "key")
+        held = with_owner(free(touched(keys, fresh), "p", "q"), "key")

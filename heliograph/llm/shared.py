@@ -35,24 +35,34 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later reads neither recompute it nor depend on an executor's disk."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: later reads neither recompute it nor depend on an executor's disk.
+
+    With ``by`` it is a table in buckets of that column, as many as shuffles have partitions: joins on it shuffle the other side only.
+    """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    at = uuid.uuid4().hex
+    path = f"{shared_root(spark)}/{name}-{at}"
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        if by:
+            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            df.repartition(parts, by).write.bucketBy(parts, by).sortBy(by).format("parquet").option("path", path).saveAsTable(f"{name}_{at}")
+        else:
+            df.write.parquet(path)
     finally:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
+    out = spark.table(f"{name}_{at}") if by else spark.read.schema(df.schema).parquet(path)
+    out._written_at, out._table = path, f"{name}_{at}" if by else None
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing reads any more."""
     for df in tables:
+        if df._table:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
         delete(df.sparkSession, df._written_at)
 
 

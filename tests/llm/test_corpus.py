@@ -725,3 +725,69 @@ def test_passages_leave_no_table_that_nothing_reads_and_runs_are_owned_once(spar
     keys = spark.createDataFrame([(1, 3, 0, 1), (1, 4, 0, 1), (2, 4, 5, 6), (2, 5, 5, 6), (3, 5, 0, 1), (3, 6, 0, 1)], "key long, doc long, p int, q int")
     fresh = spark.createDataFrame([(4, True)], "doc long, fresh boolean")
     assert sorted((x.key, x.doc) for x in passages.touched(keys, fresh).collect()) == [(1, 3), (1, 4), (2, 4), (2, 5)]
+
+
+def test_pairs_with_a_short_stretch_in_common_are_told_by_one_byte_a_word(spark, monkeypatch):
+    """Words of four bytes are sent for likely pairs only, words don't move again, and seeds and runs move once."""
+    made, plain = {}, passages.written
+
+    def written(df, name, *by):
+        made.setdefault(name, []).append((plain(df, name, *by), df._jdf.queryExecution().executedPlan().toString()))
+        return made[name][-1][0]
+
+    monkeypatch.setattr(passages, "written", written)
+    monkeypatch.setattr(passages, "discard", lambda *tables: None)
+    opening, shared = prose(14, 700), prose(60, 701)
+    texts = [opening + " " + prose(80, 710 + i) for i in range(8)] + [prose(40, s) + " " + shared for s in (730, 731)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = passages.shared_passages(docs(spark, texts)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert [(r.doc_id, r.other_id, r.start_word, r.end_word) for r in out] == [(9, 8, 40, 100)]
+    assert {(r.doc, r.owner) for r in made["pairs"][0][0].collect()} == {(i, 0) for i in range(1, 8)} | {(9, 8)}
+    assert [(r.doc, r.owner) for r in made["screened"][0][0].collect()] == [(9, 8)]
+    assert made["shared-seeds"][0][1].count("Exchange hashpartitioning") == 1 == made["runs"][0][1].count("Exchange hashpartitioning(group")
+    assert "Bucketed: true" in made["screened"][0][1] and "Bucketed: true" in made["passages"][0][1]
+
+
+def test_keys_by_groups_have_the_owners_that_counting_gives(monkeypatch):
+    """Rows beyond CROWD of a batch go to groups by document, and their keys have one row that stands for them."""
+    monkeypatch.setattr(passages, "CROWD", 5)
+    r, groups, rows, crowd, heads = np.random.default_rng(3), {}, [], [], {}
+    for _ in range(6):
+        key = np.where(r.random(300) < 0.3, r.integers(0, 3, 300), r.integers(0, 200, 300)).astype(np.uint64) * np.uint64(2**64 // 201)
+        key, doc, pos = key.view(np.int64), r.integers(0, 150, 300), r.integers(0, 9, 300).astype(np.int32)
+        rows += zip(key.tolist(), doc.tolist(), pos.tolist(), strict=True)
+        batch = passages.by_key(7, key, doc, pos=pos)
+        for i in range(len(batch)):
+            groups.setdefault(batch.column("group")[i].as_py(), []).append(batch.slice(i, 1))
+    least, most, got = {}, {}, []
+    for k, d, p in rows:
+        least[k], most[k] = min(least.get(k, (d, p)), (d, p)), max(most.get(k, d), d)
+    for batches in groups.values():
+        key, doc, owner, pos, there, head = passages.owned(passages.pa.Table.from_batches(batches), "pos")
+        if owner is None:
+            crowd += zip(key.tolist(), doc.tolist(), pos.tolist(), strict=True)
+            continue
+        assert all((o, t) == least[k] for k, o, t in zip(key.tolist(), owner.tolist(), there.tolist(), strict=True))
+        got += zip(key.tolist(), doc.tolist(), pos.tolist(), strict=True)
+        heads |= dict(zip(key[head].tolist(), owner[head].tolist(), strict=True))
+    assert crowd and {k for k, *_ in crowd} <= set(heads) and all(heads[k] == least[k][0] for k in heads)
+    assert sorted(got + crowd) == sorted(x for x in rows if least[x[0]][0] < most[x[0]])
+
+
+def test_passages_that_very_many_documents_share(spark):
+    """More holders of a seed and of a run in one batch than go one way."""
+    shared, opening = prose(60, 740), prose(14, 741)
+    texts = [" ".join([opening, prose(30, 10_000 + i), *[shared] * (i % 2), prose(12, 20_000 + i)]) for i in range(1400)]
+    out = passages.shared_passages(docs(spark, texts)).collect()
+    assert {(i, 1) for i in range(3, 1400, 2)} <= {(r.doc_id, r.other_id) for r in out}  # some also by a chance word beside it
+    assert all(r.doc_id % 2 == r.other_id % 2 == 1 and 43 <= r.start_word <= 44 and 104 <= r.end_word <= 105 for r in out)
+
+
+def test_lengths_below_a_bound_are_told_early():
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        a, b, least = r.integers(0, 8, r.integers(0, 30)), r.integers(0, 8, r.integers(0, 30)), r.integers(0, 20)
+        assert (passages.common(a, b, least) >= least) == (passages.common(a, b) >= least)
