@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.shared import WordHashes, discard, join_counted, map_texts, written
+from heliograph.llm.shared import WordHashes, discard, frequent, join_counted, map_texts, written
 
 #: Words in a k-mer, and the share of all k-mers' hashes that are seeds, one in so many: a passage with every fifth word changed has
 #: k-mers of four words only.
@@ -53,6 +53,8 @@ FINE = 4
 #: Leading bits of a run's hash by which most runs that a document lacks are told at once.
 LEADING = 16
 STEP = 24
+#: Bytes of words of one owner's documents that are compared together, about.
+AT_ONCE = 100_000
 #: Pairs of one owner that one copy of its words serves.
 OWNER_PAIRS = 2000
 #: Seeds or runs that one task has at hand at a time, about, and rows of a key in one batch beyond which the rest take another way.
@@ -169,58 +171,78 @@ def aligned(a: np.ndarray, b: np.ndarray, core_a: tuple[int, int], core_b: tuple
     """The stretches grown while words are equal, and the share of the longer one that is in order in the other (less than SIMILARITY
     may be too much, but stays less)."""
     (a0, a1), (b0, b1) = core_a, core_b
+    equal = a1 - a0 == b1 - b0 and (a[a0:a1] == b[b0:b1]).all()
     while a0 > 0 and b0 > 0 and a[a0 - 1] == b[b0 - 1]:
         a0, b0 = a0 - 1, b0 - 1
     while a1 < len(a) and b1 < len(b) and a[a1] == b[b1]:
         a1, b1 = a1 + 1, b1 + 1
     longer = max(a1 - a0, b1 - b0, 1)
-    return a0, a1, b0, b1, common(a[a0:a1], b[b0:b1], SIMILARITY * longer - 0.5) / longer
+    return a0, a1, b0, b1, 1.0 if equal else common(a[a0:a1], b[b0:b1], SIMILARITY * longer - 0.5) / longer
 
 
 def fine_runs(x: np.ndarray) -> np.ndarray:
-    """A hash for each run of FINE words, in order."""
+    """A hash for each run of FINE words, in order; of words of one byte the run itself, mixed."""
     if len(x) < FINE:
         return np.empty(0, np.uint64)
+    if x.dtype == np.uint8:
+        runs = x.astype(np.uint32)
+        for width in (1, 2):  # FINE is four: two words, two pairs
+            runs = (runs[:-width] << np.uint32(8 * width)) | runs[width:]
+        return runs * np.uint32(0x9E3779B1)
     runs = x.astype(np.uint64)
-    for width, by in ((1, 0x9E3779B97F4A7C15), (2, 0x9E3779B97F4A7C15**2 % 2**64)):  # FINE is four: two words, two pairs; it wraps
+    for width, by in ((1, 0x9E3779B97F4A7C15), (2, 0x9E3779B97F4A7C15**2 % 2**64)):  # it wraps
         runs = runs[:-width] * np.uint64(by) + runs[width:]
     return runs
 
 
+def leading_bits(runs: np.ndarray) -> np.ndarray:
+    return runs >> runs.dtype.type(8 * runs.itemsize - LEADING)
+
+
 def first_places(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct runs of FINE words, sorted, the first place of each, and which leading bits occur."""
     known, at = np.unique(fine_runs(b), return_index=True)
     leading = np.zeros(1 << LEADING, dtype=bool)
-    leading[known >> np.uint64(64 - LEADING)] = True
+    leading[leading_bits(known)] = True
     return known, at, leading
 
 
-def anchors(a: np.ndarray, places: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
-    """Places ``(a's, owner's)`` of runs of FINE words of ``a`` that the owner, known by its ``first_places``, has too, each run
-    at its first place; of a longer equal stretch its ends and every STEP-th place."""
-    runs, (known, at, leading) = fine_runs(a), places
-    p = np.flatnonzero(leading[runs >> np.uint64(64 - LEADING)])
+def anchors(texts: list[np.ndarray], places: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[list[tuple[int, int]]]:
+    """For each of the texts places ``(its, owner's)`` of runs of FINE words that the owner, known by its ``first_places``, has too,
+    each run at its first place; of a longer equal stretch its ends and every STEP-th place."""
+    runs, (known, at, leading) = fine_runs(np.concatenate(texts)), places
+    p = np.flatnonzero(leading[leading_bits(runs)])
     if not len(p):
-        return []
+        return [[] for _ in texts]
     near = np.minimum(np.searchsorted(known, runs[p]), len(known) - 1)
     equal = known[near] == runs[p]
-    near, first = np.unique(near[equal], return_index=True)
-    p, o = p[equal][first], at[near]
-    if not len(p):
-        return []
-    order = np.lexsort((p, o - p))
-    p, o = p[order], o[order]
+    p, near = p[equal], near[equal]
+    sizes = np.array([len(a) for a in texts])
+    ends = np.cumsum(sizes)
+    text = np.searchsorted(ends, p, "right")
+    inside = p + FINE <= ends[text]  # not from one text into the next
+    p, near, text = p[inside], near[inside], text[inside]
+    _, first = np.unique(text * len(known) + near, return_index=True)
+    text = text[first]
+    p, o = p[first] - (ends - sizes)[text], at[near[first]]
+    order = np.lexsort((p, o - p, text))
+    p, o, text = p[order], o[order], text[order]
     begins = np.ones(len(p) + 1, dtype=bool)  # and one past the end
-    begins[1:-1] = (p[1:] - p[:-1] != 1) | (o[1:] - o[:-1] != 1)
+    begins[1:-1] = (p[1:] - p[:-1] != 1) | (o[1:] - o[:-1] != 1) | (text[1:] != text[:-1])
     since = np.arange(len(p)) - np.flatnonzero(begins)[np.cumsum(begins[:-1]) - 1]
     kept = (since % STEP == 0) | begins[1:]
-    return list(zip(p[kept].tolist(), o[kept].tolist(), strict=True))
+    pairs, cuts = list(zip(p[kept].tolist(), o[kept].tolist(), strict=True)), np.searchsorted(text[kept], np.arange(len(texts) + 1)).tolist()
+    return [pairs[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
-def passages_between(a: np.ndarray, b: np.ndarray, places: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None, least: int = MIN_WORDS) -> list[tuple[int, int, int, int, float]]:
-    """The passages of ``least`` words and more of two documents' words (``places``: ``first_places(b)``). A chain that isn't similar as a whole is cut at
+def passages_between(a: np.ndarray, b: np.ndarray, matches: list[tuple[int, int]] | None = None, least: int = MIN_WORDS) -> list[tuple[int, int, int, int, float]]:
+    """The passages of ``least`` words and more of two documents' words (``matches``: their ``anchors``). A chain that isn't similar as a whole is cut at
     its widest gap, and its pieces are aligned again."""
-    out, todo = [], chains(anchors(a, first_places(b) if places is None else places))
+    out, matches = [], anchors([a], first_places(b))[0] if matches is None else matches
+    if not matches:
+        return out
+    (p, o), (q, r) = matches[0], matches[-1]
+    todo = [matches] if q - p == r - o <= STEP else chains(matches)  # near places of one distance are one chain
     while todo:
         chain = todo.pop()
         found = aligned(a, b, (chain[0][0], chain[-1][0] + FINE), (chain[0][1], chain[-1][1] + FINE))
@@ -239,29 +261,45 @@ def prime(least: int) -> int:
     return next(n for n in range(max(2, least), 2 * least + 4) if all(n % i for i in range(2, int(n**0.5) + 1)))
 
 
+#: Numbers that travel as bytes, many in a row.
+KINDS = {"key": "<i8", "doc": "<i8", "owner": "<i8", "pos": "<i4", "there": "<i4", "p": "<i4", "q": "<i4"}
+
+
 def lists(group: np.ndarray, columns: dict[str, np.ndarray], name: str) -> pa.RecordBatch:
-    """A row for each run of equal numbers in ``group``, named ``name``, with its part of each column as a list."""
+    """A row for each run of equal numbers in ``group``, named ``name``, with its part of each column as bytes (``KINDS``)."""
     begins = np.flatnonzero(np.concatenate([np.ones(min(len(group), 1), bool), group[1:] != group[:-1]]))
-    offsets = pa.array(np.append(begins, len(group)), pa.int32())
-    parts = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in columns.values()]
+    ends = np.append(begins, len(group))
+    parts = []
+    for c, x in columns.items():
+        x = np.ascontiguousarray(x, KINDS[c])
+        parts.append(pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]).cast(pa.binary()))
     return pa.RecordBatch.from_arrays([pa.array(group[begins], pa.int64()), *parts], [name, *columns])
 
 
-def flat(column: pa.ChunkedArray) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+def flat(rows: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column(name).to_pylist()), KINDS[name])
+
+
+def equal_keys(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal numbers begins, and its length."""
+    begins = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))
+    return begins, np.diff(np.append(begins, len(key)))
 
 
 def by_key(groups: int, key: np.ndarray, doc: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
-    """The rows of a batch as lists by group of keys. Of a key that more than CROWD rows have, the first ones and the last go there;
+    """The rows of a batch as bytes by group of keys. Of a key that more than CROWD rows have, the first ones and the last go there;
     the others go to negative groups, by document, since other batches may have as many."""
-    order = np.lexsort((doc, key.view(np.uint64)))
+    order = np.argsort(key.view(np.uint64))
+    begins, sizes = equal_keys(key[order])
+    crowd = []
+    for i in np.flatnonzero(sizes > CROWD + 1):  # few
+        rows = slice(begins[i], begins[i] + sizes[i])
+        order[rows] = order[rows][np.argsort(doc[order[rows]])]
+        crowd.append(np.arange(begins[i] + CROWD, begins[i] + sizes[i] - 1))
     key, doc, more = key[order], doc[order], {k: x[order] for k, x in more.items()}
     group = ((key.view(np.uint64) >> np.uint64(33)) * np.uint64(groups) >> np.uint64(31)).astype(np.int64)
-    ends = np.ones(len(key) + 1, dtype=bool)
-    ends[1:-1] = key[1:] != key[:-1]
-    rank = np.arange(len(key)) - np.flatnonzero(ends)[np.cumsum(ends[:-1]) - 1]
-    crowd = np.flatnonzero((rank >= CROWD) & ~ends[1:])
-    if len(crowd):
+    if crowd:
+        crowd = np.concatenate(crowd)
         group[crowd] = -1 - doc[crowd] % groups
         order = np.argsort(group, kind="stable")
         group, key, doc, more = group[order], key[order], doc[order], {k: x[order] for k, x in more.items()}
@@ -272,13 +310,15 @@ def owned(table: pa.Table, *more: str) -> tuple[np.ndarray, ...]:
     """Of a group that ``by_key`` made, the rows of keys that several documents have: key, document, owner, the columns ``more`` and
     for the first of these the owner's, and the rows that stand for keys that may be crowded. Rows of a negative group stay, all
     without owners."""
-    key, doc, *rest = [flat(table.column(c)) for c in ("key", "doc", *more)]
+    key, doc, *rest = [flat(table, c) for c in ("key", "doc", *more)]
     if table.column("group")[0].as_py() < 0:
         return key, doc, None, *rest, None, None
-    order = np.lexsort((rest[0], doc, key))
+    order = np.argsort(key)
+    begins, sizes = equal_keys(key[order])
+    order = order[np.repeat(sizes > 1, sizes)]  # most keys have one row
+    order = order[np.lexsort((rest[0][order], doc[order], key[order]))]
     key, doc, rest = key[order], doc[order], [x[order] for x in rest]
-    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(begins, len(key)))
+    begins, sizes = equal_keys(key)
     kept = np.repeat(doc[begins] != doc[begins + sizes - 1], sizes)
     first = np.repeat(begins, sizes)[kept]
     heads = np.repeat(sizes > CROWD, sizes)[kept] & (np.flatnonzero(kept) == first)
@@ -334,11 +374,12 @@ def with_owner(rows: DataFrame, key: str, there: str | None = None) -> DataFrame
     return join_counted(rows, written(owners.where("owner <> _last").drop("_last"), "owners"), key)
 
 
-def touched(keys: DataFrame, fresh: DataFrame) -> DataFrame:
+def touched(keys: DataFrame, fresh: DataFrame, many: DataFrame | None = None) -> DataFrame:
     """The rows (``key, doc, p, q``) of keys that a document of ``fresh`` (``doc, fresh``) holds: after new passages no other key can get
-    another owner."""
-    again = keys.join(fresh, "doc", "left").groupBy("key").agg(F.max("fresh").alias("fresh"), F.count(F.lit(1)).alias("n"))
-    return join_counted(keys, written(again.where("fresh").drop("fresh"), "keys"), "key").select("key", "doc", "p", "q")
+    another owner. Only these are joined; ``many``: ``frequent(keys, "key")``."""
+    again = keys.join(fresh, "doc").select("key").distinct()
+    counted = again.join(F.broadcast(frequent(keys, "key") if many is None else many), "key", "left").select("key", F.coalesce("n", F.lit(1)).alias("n"))
+    return join_counted(keys, written(counted, "keys"), "key").select("key", "doc", "p", "q")
 
 
 def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -372,8 +413,8 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         order = np.argsort(doc % parts, kind="stable")
         out = [lists((doc % parts)[order], {k: x[order] for k, x in columns.items() if x is not None}, "part")]
         if owner is None:
-            for k, kind in (("owner", pa.int64()), ("there", pa.int32())):
-                out[0] = out[0].append_column(k, pa.nulls(len(out[0]), pa.list_(kind)))
+            for k in ("owner", "there"):
+                out[0] = out[0].append_column(k, pa.nulls(len(out[0]), pa.binary()))
         else:
             out.append(lists(np.full(heads.sum(), -1), {k: x[heads] for k, x in columns.items()}, "part"))
         return pa.Table.from_batches([x.cast(out[0].schema) for x in out])
@@ -384,13 +425,17 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             order = np.argsort(columns["doc"] % parts, kind="stable")
             yield lists((columns["doc"] % parts)[order], {k: x[order] for k, x in columns.items()}, "part")
 
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(flat(batch, c)) for c in batch.schema.names], batch.schema.names)
+
     def propose(table: pa.Table) -> pa.Table:
-        return pa.table(dict(zip(("doc", "owner", "strong"), near_pairs(*[flat(table.column(c)) for c in ("doc", "owner", "pos", "there")]), strict=True)))
+        return pa.table(dict(zip(("doc", "owner", "strong"), near_pairs(*[flat(table, c) for c in ("doc", "owner", "pos", "there")]), strict=True)))
 
     def run(seeds: pa.Table, spans: pa.Table) -> pa.Table:
         if not len(seeds):
             return pa.Table.from_batches([by_key(groups, *[np.empty(0, np.int64)] * 2, p=np.empty(0, np.int32), q=np.empty(0, np.int32))])
-        key, doc, p, q = free_runs(*[flat(seeds.column(c)) for c in ("doc", "pos", "key")], [spans.column(c).to_numpy() for c in ("doc", "start_word", "end_word")])
+        key, doc, p, q = free_runs(*[flat(seeds, c) for c in ("doc", "pos", "key")], [spans.column(c).to_numpy() for c in ("doc", "start_word", "end_word")])
         return pa.Table.from_batches([by_key(groups, key, doc, p=p, q=q)])
 
     def own_runs(table: pa.Table) -> pa.Table:
@@ -401,13 +446,19 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     names = ["doc_id", "other_id", "start_word", "end_word", "other_start", "other_end", "similarity"]
 
     def pairwise(batch: pa.RecordBatch, kind: str, least: int) -> Iterator[tuple]:
-        """Document, owner, copy and passages of each pair in a batch."""
-        last = None
-        for doc, owner, copy, a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if b != last:  # pairs of one owner mostly follow each other
-                last, other = b, np.frombuffer(b, kind)
-                places = first_places(other)
-            yield doc, owner, copy, passages_between(np.frombuffer(a, kind), other, places, least)
+        """Document, owner, copy and passages of each pair in a batch. Pairs of one owner mostly follow each other and are compared
+        together, up to AT_ONCE bytes."""
+        sides, held = [c.to_pylist() for c in batch.columns[3:]], 0
+        ids = list(zip(*[c.to_pylist() for c in batch.columns[:3]], strict=True))
+        begin = 0
+        for i, (a, b) in enumerate(zip(*sides, strict=True)):
+            held += len(a)
+            if i + 1 < len(ids) and sides[1][i + 1] == b and held < AT_ONCE:
+                continue
+            other, texts = np.frombuffer(b, kind), [np.frombuffer(x, kind) for x in sides[0][begin : i + 1]]
+            for at, x, matches in zip(ids[begin : i + 1], texts, anchors(texts, first_places(other)), strict=True):
+                yield *at, passages_between(x, other, matches, least)
+            begin, held = i + 1, 0
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -438,13 +489,12 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         discard(counts, spread, left)
         return out
 
-    found = packed.select("doc", "w").mapInArrow(seed, "group long, key array<long>, doc array<long>, pos array<int>")
-    in_parts = "part long, key array<long>, doc array<long>, pos array<int>, owner array<long>, there array<int>"
+    found = packed.select("doc", "w").mapInArrow(seed, "group long, key binary, doc binary, pos binary")
+    in_parts = "part long, key binary, doc binary, pos binary, owner binary, there binary"
     shared = [written(found.groupBy("group").applyInArrow(own_seeds, in_parts), "shared-seeds")]
-    zipped = lambda df, *names: df.select(F.inline(F.arrays_zip(*names)).alias(*names))
     rest = shared[0].where("owner is null")
     if rest.limit(1).count():
-        rows = crowded(zipped(rest, "key", "doc", "pos"), zipped(shared[0].where("part = -1"), "key", "owner", "there"))
+        rows = crowded(rest.select("key", "doc", "pos").mapInArrow(unpack, "key long, doc long, pos int"), shared[0].where("part = -1").select("key", "owner", "there").mapInArrow(unpack, "key long, owner long, there int"))
         shared.append(written(rows.select("key", "doc", "pos", "owner", "there").mapInArrow(pack, in_parts), "shared-seeds"))
     in_docs = reduce(DataFrame.union, [shared[0].where("owner is not null and part >= 0"), *shared[1:]])
 
@@ -460,7 +510,7 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     # runs: keys of two free seeds of a document, so far apart in order, that another document has too
     spans = passages.select(F.pmod("doc_id", F.lit(parts)).alias("part"), F.col("doc_id").alias("doc"), "start_word", "end_word").distinct()
-    runs = in_docs.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(run, "group long, key array<long>, doc array<long>, p array<int>, q array<int>")
+    runs = in_docs.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(run, "group long, key binary, doc binary, p binary, q binary")
     keys = written(runs.groupBy("group").applyInArrow(own_runs, "key long, doc long, p int, q int, owner long"), "runs")
     rest = keys.where("owner is null")
     discard(*shared)
@@ -468,14 +518,18 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         rows = crowded(rest.drop("owner"), keys.where("owner = doc").select("key", "owner"))
         first, keys = keys, written(keys.where("owner is not null").unionByName(rows), "runs")
         discard(first)
-    held = keys
+    held, many = keys, None
     while True:
         pairs = held.where("doc <> owner").select("doc", "owner").distinct()
         pairs = written(pairs.join(tried, ["doc", "owner"], "left_anti").withColumn("strong", F.lit(False)), "pairs")
+        if pairs.limit(1).count() == 0:
+            discard(packed, keys)
+            return passages.distinct()
         more = passages_of(pairs)
         fresh = more.select(F.col("doc_id").alias("doc"), F.lit(True).alias("fresh")).distinct()
         if fresh.limit(1).count() == 0:
             discard(packed, keys)
             return passages.distinct()
         tried, passages = tried.union(pairs), passages.union(more)
-        held = with_owner(free(touched(keys, fresh), "p", "q"), "key")
+        many = frequent(keys, "key") if many is None else many
+        held = with_owner(free(touched(keys, fresh, many), "p", "q"), "key")

@@ -84,6 +84,11 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str = "n", limi
     return rows.join(hot, key).unionByName(rest)
 
 
+def frequent(rows: DataFrame, key: str) -> DataFrame:
+    """Keys that more than HOT of the rows have, with ``n``, their number, written once: for the others a number need not be known."""
+    return written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT), "frequent")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, also where ``body`` uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

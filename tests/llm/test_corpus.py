@@ -791,3 +791,42 @@ def test_lengths_below_a_bound_are_told_early():
     for _ in range(300):
         a, b, least = r.integers(0, 8, r.integers(0, 30)), r.integers(0, 8, r.integers(0, 30)), r.integers(0, 20)
         assert (passages.common(a, b, least) >= least) == (passages.common(a, b) >= least)
+
+
+def test_a_later_round_joins_the_rows_of_touched_keys_only(spark, monkeypatch):
+    """Rows of all keys don't go through a join to learn that most aren't touched; very frequent keys are told once."""
+    plans, plain = [], passages.written
+
+    def written(df, name, *by):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name, *by)
+
+    monkeypatch.setattr(passages, "written", written)
+    monkeypatch.setattr("heliograph.llm.shared.HOT", 3)
+    rows = [(1, d, 0, 1) for d in range(6)] + [(2, 4, 5, 6), (2, 7, 5, 6), (3, 8, 0, 1), (3, 9, 0, 1)]
+    keys = spark.createDataFrame(rows, "key long, doc long, p int, q int")
+    fresh = spark.createDataFrame([(4, True)], "doc long, fresh boolean")
+    got = passages.touched(keys, fresh)
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[0] < 3)
+    assert not [x for plan in plans for x in plan.splitlines() if "Join" in x and "[doc" in x and "LeftOuter" in x]
+
+
+@pytest.mark.parametrize("kind", ["u1", "<u4"])
+def test_texts_compared_together_have_the_places_of_each_alone(kind):
+    """Places by a plain version, texts that end or begin with another's words, and one equal stretch without chaining."""
+    r = np.random.default_rng(31)
+    for _ in range(60):
+        other = r.integers(0, 40, r.integers(0, 120)).astype(kind)
+        texts = [r.integers(0, 40, r.integers(0, 60)).astype(kind) for _ in range(5)]
+        at = int(r.integers(0, max(1, len(other) - 40)))
+        texts += [other[at : at + 2], other[at + 2 : at + 4], np.concatenate([texts[0], other[at : at + 30], texts[1]])]
+        together = passages.anchors(texts, passages.first_places(other))
+        for a, got in zip(texts, together, strict=True):
+            first = lambda x: {tuple(x[i : i + 4].tolist()): i for i in range(len(x) - 4, -1, -1)}
+            here, there = first(a), first(other)
+            want = {(p, there[w]) for w, p in here.items() if w in there}
+            ends = {(p, o) for p, o in want if not {(p - 1, o - 1), (p + 1, o + 1)} <= want}
+            assert set(got) <= want and ends <= set(got)
+            assert passages.passages_between(a, other, got, 10) == passages.passages_between(a, other, None, 10)
+    a, b = (np.concatenate([r.integers(*x, 20), np.arange(12), r.integers(*x, 20)]).astype(kind) for x in ((50, 100), (100, 150)))
+    assert passages.passages_between(a, b, None, 12) == [(20, 32, 20, 32, 1.0)] and passages.passages_between(a, b, None, 13) == []
