@@ -494,8 +494,12 @@ def shared_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shared = [written(found.groupBy("group").applyInArrow(own_seeds, in_parts), "shared-seeds")]
     rest = shared[0].where("owner is null")
     if rest.limit(1).count():
-        rows = crowded(rest.select("key", "doc", "pos").mapInArrow(unpack, "key long, doc long, pos int"), shared[0].where("part = -1").select("key", "owner", "there").mapInArrow(unpack, "key long, owner long, there int"))
+        # written, so that no task runs two Python workers, to unpack rows and to pack them again
+        rest = written(rest.select("key", "doc", "pos").mapInArrow(unpack, "key long, doc long, pos int"), "rest")
+        heads = written(shared[0].where("part = -1").select("key", "owner", "there").mapInArrow(unpack, "key long, owner long, there int"), "heads")
+        rows = crowded(rest, heads)
         shared.append(written(rows.select("key", "doc", "pos", "owner", "there").mapInArrow(pack, in_parts), "shared-seeds"))
+        discard(rest, heads)
     in_docs = reduce(DataFrame.union, [shared[0].where("owner is not null and part >= 0"), *shared[1:]])
 
     tried = written(in_docs.groupBy("part").applyInArrow(propose, "doc long, owner long, strong boolean"), "pairs")
